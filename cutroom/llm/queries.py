@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, sharding
+from . import chat, decontaminate, langid, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_leaks": decontaminate.op1_leaks,
     "op2_language_id": langid.op2_language_id,
+    "op3_pack": packing.op3_pack,
     "op5_shard": sharding.op5_shard,
+    "op7_quality": quality.op7_quality,
+    "op8_chat": chat.op8_chat,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 #: Equal draws need only md5, which DuckDB has; the checksum of a text (CRC-32) is folded byte by byte over the bits.
