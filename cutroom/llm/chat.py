@@ -117,8 +117,7 @@ def format_paths(paths: DataFrame, messages: DataFrame, tree: str, node: str, ro
     return rows.mapInArrow(write, schema)
 
 
-@F.arrow_udf("struct<n_turns: bigint, turns_sha256: string, loss_chars: bigint, loss_sha256: string, formatted_chars: bigint>")
-def read_back(formatted: pa.Array, loss: pa.Array) -> pa.Array:
+def _digests(formatted: pa.Array, loss: pa.Array) -> pa.Array:
     """Digests of the turns and of the text under the loss mask, parsed from the formatted conversation."""
     out = []
     for text, spans in zip(formatted.to_pylist(), loss.to_pylist(), strict=True):
@@ -129,6 +128,11 @@ def read_back(formatted: pa.Array, loss: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(kinds)], fields=[pa.field(n, t) for n, t in kinds])
 
 
+def read_back(formatted: str, loss: str) -> Column:
+    kind = "struct<n_turns: bigint, turns_sha256: string, loss_chars: bigint, loss_sha256: string, formatted_chars: bigint>"
+    return F.arrow_udf(_digests, kind)(F.col(formatted), F.col(loss))
+
+
 def format_trees(messages: DataFrame, tree: str, node: str, parent: str, score: str, role: str, text: str, branches: int = 1) -> DataFrame:
     """The best ``branches`` paths of each reply tree as conversations (tree, leaf, branch, formatted, loss)."""
     return format_paths(reply_paths(messages, tree, node, parent, score, branches), messages, tree, node, role, text)
