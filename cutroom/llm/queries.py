@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, packing, quality, sharding, toxicity
+from . import chat, decontaminate, html, langid, packing, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_leaks": decontaminate.op1_leaks,
     "op2_language_id": langid.op2_language_id,
     "op3_pack": packing.op3_pack,
+    "op4_repeats": suffixes.op4_repeats,
     "op5_shard": sharding.op5_shard,
+    "op6_main_text": html.op6_main_text,
     "op7_quality": quality.op7_quality,
     "op8_chat": chat.op8_chat,
     "op10_toxicity": toxicity.op10_toxicity,
