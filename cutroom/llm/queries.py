@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, langid, packing, quality, sharding, suffixes, toxicity
+from . import chat, decontaminate, html, jaccard, langid, packing, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_leaks": decontaminate.op1_leaks,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_main_text": html.op6_main_text,
     "op7_quality": quality.op7_quality,
     "op8_chat": chat.op8_chat,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -256,14 +256,15 @@ def _covered(spans: list, size: int, length: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, text, kept (bytes without the removed runs), n_bytes, n_removed, n_spans of every row.
+    """``docs`` with kept (bytes without the removed runs), n_bytes, n_removed, n_spans.
 
     Texts are UTF-8 bytes, a null is empty; a text shorter than ``length`` keeps everything. Strings are judged on the
-    input. Repeated rows repeat each other. Null keys stay; other columns are not read; an empty table stays empty.
+    input. Repeated rows repeat each other. Null keys stay; a column of an output's name is replaced; an empty table
+    stays empty.
     """
     spans = repeated_windows(docs, key, text, length, gram).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select(*_text_key(key, text))
-    joined = rows.join(spans.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "spans"), F.expr("id <=> i2 and h <=> h2"), "left")
+    spans = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, docs[key].eqNullSafe(F.col("__id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("__h")), "left")
     kinds = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
 
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -278,8 +279,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             out.append((own[~gone].tobytes(), len(own), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())))
         return pa.StructArray.from_arrays([pa.array([x[j] for x in out], t) for j, (_, t) in enumerate(kinds)], fields=[pa.field(n, t) for n, t in kinds])
 
-    done = F.arrow_udf(cut, "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")(F.col("text"), F.col("spans"))
-    return joined.select(F.col("id").alias(key), F.col("text").alias(text), done.alias("c")).select(key, text, "c.*")
+    done = F.arrow_udf(cut, "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")(F.col(text), F.col("__spans"))
+    return joined.withColumn("__c", done).withColumns({x: F.col(f"__c.{x}") for x, _ in kinds}).drop("__c", "__id", "__h", "__spans")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
