@@ -4,6 +4,10 @@ Every passage of every training text is a query (its different words); items who
 score (the item as its own query) are retrieved and then verified: enough word 3-grams of the item's question part and
 of its answer part must stand in the passage. Impacts are divided by the item's own score, so one threshold holds for
 all items. Passages are two segments long and overlap by one, so an item no longer than a segment lies whole in one.
+
+Most passages are dismissed many at a time by a bound on the items: an item's common terms, whose impacts sum to less than a
+part of the threshold, count as present, only the others are looked up and summed. Where no item's bound reaches the
+threshold there is no pivot to find; the rest are searched by block-max WAND.
 """
 
 from __future__ import annotations
@@ -68,7 +72,10 @@ class Index:
     ids: list
     vocabulary: np.ndarray  # sorted word hashes
     postings: list[Postings]
-    bounds: np.ndarray
+    rare_from: np.ndarray  # for each term, where its postings in the next two begin: items for which it isn't common
+    rare_items: np.ndarray
+    rare_impacts: np.ndarray
+    common: np.ndarray  # for each item, the impacts of its common terms
     parts: list[tuple[np.ndarray, np.ndarray]]  # 3-gram hashes of question and answer
     segment: int
 
@@ -83,8 +90,8 @@ def _hashed(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
-def build_index(items: list[tuple], k1: float = 1.2, b: float = 0.75, least_segment: int = 64) -> Index:
-    """Index of (id, text) rows; items without a word are left out."""
+def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: float = 0.75, least_segment: int = 64) -> Index:
+    """Index of (id, text) rows; items without a word are left out. ``least`` is the threshold it will be searched with."""
     kept = [(i, t, w) for i, t in items if t for w in [_hashed(t)] if len(w)]
     ids = [i for i, _, _ in kept]
     lengths = np.array([len(w) for _, _, w in kept], float)
@@ -105,8 +112,20 @@ def build_index(items: list[tuple], k1: float = 1.2, b: float = 0.75, least_segm
         impact = score / own[at]
         cuts = np.arange(0, len(at), POSTINGS_PER_BLOCK)
         postings.append(Postings(at, impact, at[np.append(cuts[1:], len(at)) - 1], np.maximum.reduceat(impact, cuts), float(impact.max())))
+    term = np.repeat(np.arange(len(postings)), [len(p.items) for p in postings])
+    item = np.concatenate([p.items for p in postings]) if postings else np.zeros(0, np.int64)
+    impact = np.concatenate([p.impacts for p in postings]) if postings else np.zeros(0)
+    order = np.lexsort((impact, item))
+    summed = np.cumsum(impact[order])
+    first = np.searchsorted(item[order], np.arange(len(kept)))
+    summed -= np.append(0.0, summed)[first][item[order]]
+    is_common = np.zeros(len(item), bool)
+    is_common[order] = summed < least / 2
+    common = np.bincount(item[is_common], weights=impact[is_common], minlength=len(kept))
+    rare = ~is_common
+    rare_from = np.searchsorted(term[rare], np.arange(len(postings) + 1))
     parts = [tuple(_grams(_hashed(x)) for x in question_and_answer(t)) for _, t, _ in kept]
-    return Index(ids, vocabulary, postings, np.array([p.bound for p in postings]), parts, max(least_segment, int(lengths.max(initial=0))))
+    return Index(ids, vocabulary, postings, rare_from, item[rare], impact[rare], common, parts, max(least_segment, int(lengths.max(initial=0))))
 
 
 def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -174,13 +193,18 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least: float, verif
     hit = np.flatnonzero(index.vocabulary[term] == words)
     pairs = np.unique(segment[hit] * len(index.vocabulary) + term[hit])
     seg_of, term_of = np.divmod(pairs, len(index.vocabulary))
-    bound = np.bincount(seg_of, weights=index.bounds[term_of], minlength=base[-1] + 1)
     owner = np.repeat(np.arange(len(segments)), segments)
-    follows = np.zeros(base[-1] + 1, bool)
-    follows[:-2] = owner[1:] == owner[:-1] if len(owner) > 1 else False
+    follows = np.zeros(base[-1] + 1, bool)  # the next segment is of the same row
+    follows[: len(owner) - 1] = owner[1:] == owner[:-1]
     at = np.searchsorted(seg_of, np.arange(base[-1] + 2))
-    # where even the words' largest impacts stay below the threshold, no pivot exists and nothing can be retrieved
-    for seg in np.flatnonzero(bound[:-1] + np.where(follows[:-1], bound[1:], 0) >= least - 1e-9).tolist():
+    many = index.rare_from[term_of + 1] - index.rare_from[term_of]
+    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.rare_from[term_of], many)
+    seg, item, impact = np.repeat(seg_of, many), index.rare_items[entry], index.rare_impacts[entry]
+    second = (seg > 0) & follows[seg - 1]  # a segment is also the second of the passage before
+    key = np.concatenate([seg * len(index.ids) + item, (seg[second] - 1) * len(index.ids) + item[second]])
+    key, where = np.unique(key, return_inverse=True)
+    bound = np.bincount(where, weights=np.concatenate([impact, impact[second]]), minlength=len(key)) + index.common[key % len(index.ids)]
+    for seg in np.unique(key[bound >= least - 1e-9] // len(index.ids)).tolist():
         end = seg + 2 if follows[seg] else seg + 1
         terms = np.unique(term_of[at[seg] : at[end]]).tolist()
         candidates = block_max_wand(index, terms, least)
@@ -210,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     parts = max(1, -(-items.count() // ITEMS_PER_INDEX))
     found = None
     for n in range(parts):  # at most ITEMS_PER_INDEX items or so at a time on the driver
-        index = build_index([(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == n).collect()])
+        index = build_index([(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == n).collect()], least)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
