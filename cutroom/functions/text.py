@@ -18,7 +18,7 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def _parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_sentences(df: DataFrame, text: str = "text", min_len: int = 1) -> DataFrame:
@@ -190,7 +190,7 @@ def parse_terms(df: DataFrame, reply: str = "reply", subject: str = "subject") -
     array = lambda c: F.from_json(c, "array<string>")
     listed = _parts(text, "[,，]")
     terms = F.coalesce(F.when(F.trim(text).startswith("["), array(text)), array(F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit(""))), F.when(F.size(listed) > 0, listed), F.array(F.col(subject)))
-    return df.withColumn("terms", F.filter(F.transform(terms, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return df.withColumn("terms", F.filter(F.transform(terms, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def clean_script(df: DataFrame, text: str = "text", out: str = "clean") -> DataFrame:
@@ -355,14 +355,29 @@ def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame
     return got.select(by, "line_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.trim(chosen).alias("text"))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the table at a time as bits of one whole number."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0) | down
+        diagonal = (((same & up) + up) ^ up) | same
+        right_up, right_down = down | (~(diagonal | up) & full), up & diagonal
+        distance += bool(right_up & top) - bool(right_down & top)
+        right_up = (right_up << 1 | 1) & full
+        up = (right_down << 1 & full) | (~(diagonal | right_up) & full)
+        down = right_up & diagonal
+    return distance
+
+
 def _similarity(a: str, b: str) -> float:
     a, b = a.lower(), b.lower()
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+    return 1 - edit_distance(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
 def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:

@@ -88,7 +88,7 @@ def modality_blend(text_sims: DataFrame, image_sims: DataFrame, by: str, w_text:
     """T-9. Weighted sum of the text cosine and the best image cosine, the latter rescaled to 0 .. 1; text alone without images."""
     best = image_sims.groupBy(by, "seg_idx", "media_idx").agg(F.max("sim").alias("__img"))
     rows = text_sims.join(best, [by, "seg_idx", "media_idx"], "left")
-    return rows.select(by, "seg_idx", "media_idx", F.round(F.when(F.col("__img").isNull(), F.col("sim")).otherwise(w_text * F.col("sim") + w_image * (F.col("__img") + 1) / 2), 6).alias("blend"))
+    return rows.select(by, "seg_idx", "media_idx", F.round(F.when(F.col("__img").isNull(), F.col("sim")).otherwise(w_text * F.col("sim") + w_image * (F.col("__img") + 1) / 2), 9).alias("blend"))
 
 
 def representative_images(n: int, most: int) -> list[int]:

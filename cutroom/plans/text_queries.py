@@ -1,0 +1,235 @@
+"""Queries of text segmentation, captions and captured replies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cutroom.functions import text as x
+from cutroom.sources import readers, writers
+
+from .catalog import query
+
+
+def _docs(get):
+    return get("documents").select("doc_id", "text")
+
+
+def _units(get):
+    """Lines of a script as captions: (script_id, line_idx, text, start, end)."""
+    return get("lines").select("script_id", F.col("line_idx").alias("cue_idx"), F.col("line").alias("text"), (F.col("line_idx") * 2.0).alias("start"), (F.col("line_idx") * 2.0 + 1.5).alias("end"))
+
+
+@query("split_sentences", r"""select doc_id, cast(generate_subscripts(l, 1) - 1 as int) as pos, unnest(l) as sentence from (select doc_id, case when len(l) = 0 then [text] else l end as l from
+    (select doc_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: s <> '') as l from {documents}))""")
+def _(get):
+    return x.split_sentences(_docs(get)).select("doc_id", "pos", "sentence")
+
+
+@query("split_sentences_merged")
+def _(get):
+    return x.split_sentences(_docs(get), min_len=30).select("doc_id", "pos", "sentence")
+
+
+@query("segment_script")
+def _(get):
+    return x.segment_script(_docs(get)).select("doc_id", "pos", "segment")
+
+
+@query("split_on_punctuation", r"""select doc_id, cast(generate_subscripts(l, 1) - 1 as int) as pos, unnest(l) as unit from (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '[\n.?,、;:!…？，。；：！]'),
+    lambda s: replace(trim(s), chr(1), '.')), lambda s: s <> '') as l from {documents})""")
+def _(get):
+    # the point at a number's end: this table's texts have digits on both sides of a point or on none
+    return x.split_on_punctuation(_docs(get)).select("doc_id", "pos", "unit")
+
+
+@query("chunk_by_words")
+def _(get):
+    return x.chunk_by_words(_docs(get)).select("doc_id", "pos", "chunk", "words", "minutes")
+
+
+@query("chunk_by_chars")
+def _(get):
+    return x.chunk_by_chars(_docs(get)).select("doc_id", "pos", "chunk")
+
+
+@query("caption_groups")
+def _(get):
+    return x.caption_groups(get("words"), ["script_id", "seg_idx"], "word_idx")
+
+
+@query("phrase_groups")
+def _(get):
+    return x.phrase_groups(get("conversations").select("conv_id", "turn", F.split("text", " ").alias("units"))).select("conv_id", "turn", "pos", "phrase")
+
+
+@query("recognised_segments_to_cues", r"""with w as (select *, coalesce(sum(b) over (partition by script_id, seg_idx order by word_idx rows between unbounded preceding and 1 preceding), 0) as cue from (select *, cast(regexp_matches(trim(word), '[.,!?;:、。，！？；：…]$') as int) as b from {words})),
+    c as (select script_id, seg_idx, cue, min(start) as s, max("end") as e, string_agg(word, ' ' order by word_idx) as t, max(b) as b from w group by 1, 2, 3), d as (select *, case when b = 1 then left(t, length(t) - 1) else t end as t2 from c),
+    f as (select *, min(s) over (partition by script_id, seg_idx, p) as s2 from (select *, sum(case when trim(t2) <> '' then 1 else 0 end) over (partition by script_id, seg_idx order by cue rows between unbounded preceding and 1 preceding) as p from d))
+    select script_id, seg_idx, cast(row_number() over (partition by script_id, seg_idx order by cue) as int) as cue_idx, round(s2, 3) as start, round(e, 3) as "end", t2 as text from f where trim(t2) <> ''""")
+def _(get):
+    return x.recognised_segments_to_cues(get("words"), ["script_id", "seg_idx"], "word_idx")
+
+
+@query("parse_terms", """select doc_id, case doc_id % 4 when 0 then 'a|b c' when 1 then 'x|y' when 2 then 'p|q' else 'subject' end as terms from {documents}""")
+def _(get):
+    rows = get("documents").selectExpr("doc_id", "case doc_id % 4 when 0 then '[\"a\", \"b c\"]' when 1 then 'Here: [\"x\", \"y\"] ok' when 2 then ' p， q,' else '' end as reply", "'subject' as subject")
+    return x.parse_terms(rows).select("doc_id", F.array_join("terms", "|").alias("terms"))
+
+
+@query("clean_script", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[*#]', '', 'g'), '\[.*\]', '', 'g'), '\(.*\)', '', 'g') as clean from {documents}""")
+def _(get):
+    return x.clean_script(_docs(get)).select("doc_id", "clean")
+
+
+@query("hook_validity", r"""select doc_id, case when v then h else upper(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ')) end as hook_text, v as from_reply from
+    (select doc_id, text, upper(trim(string_split(text, chr(10))[1])) as h, length(trim(string_split(text, chr(10))[1])) between 10 and 80 as v from {documents} where lang = 'en')""")
+def _(get):
+    return x.hook_validity(get("documents").where("lang = 'en'").select("doc_id", "text"), "text", "text").select("doc_id", "hook_text", "from_reply")
+
+
+@query("normalise_for_speech")
+def _(get):
+    return x.normalise_for_speech(_docs(get)).select("doc_id", "spoken")
+
+
+@query("spell_numbers", """select event_id, concat('play ', case event_id % 4 when 0 then 'seven' when 1 then 'forty-two' when 2 then 'one hundred five' else '1000' end, ' now') as spelled from {events}""")
+def _(get):
+    return x.spell_numbers(get("events").selectExpr("event_id", "concat('play ', case event_id % 4 when 0 then '7' when 1 then '42' when 2 then '105' else '1000' end, ' now') as text")).select("event_id", "spelled")
+
+
+@query("wrap_lines")
+def _(get):
+    return x.wrap_lines(get("lines").select("script_id", "line_idx", F.col("line").alias("text"))).select("script_id", "line_idx", "pos", "line")
+
+
+@query("bracket_strip", "select doc_id, trim(translate(text, '[](){}', '      ')) as bare from {documents}")
+def _(get):
+    return x.bracket_strip(_docs(get)).select("doc_id", "bare")
+
+
+@query("time_format", """select event_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) as t, ms as back from (select event_id, cast(floor(round(value * 100 * 1000, 6)) as bigint) as ms from {events})""")
+def _(get):
+    t = x.format_time(F.col("value") * 100)
+    return get("events").select("event_id", t.alias("t"), x.parse_time(t).alias("back"))
+
+
+@query("transcript_overlap", r"""select conv_id, turn, round(s, 6) as overlap, case when s < 0.1 then 'fail' when s < 0.3 then 'warn' else 'ok' end as verdict from (select conv_id, turn, len(list_distinct(list_intersect(a, b))) / cast(greatest(1, len(a)) as double) as s from
+    (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') as a, list_filter(regexp_split_to_array(lower(coalesce(lag(text) over (partition by conv_id order by turn), '')), '\s+'), lambda w: w <> '') as b from {conversations}))""")
+def _(get):
+    from pyspark.sql import Window
+
+    rows = get("conversations").withColumn("heard", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return x.transcript_overlap(rows, "text", "heard").select("conv_id", "turn", "overlap", "verdict")
+
+
+@query("levenshtein_similarity", """select doc_id, round(1 - levenshtein(lower(left(text, 60)), lower(substr(text, 3, 60))) / cast(greatest(length(left(text, 60)), length(substr(text, 3, 60))) as double), 6) as similarity from {documents} where lang = 'en' and length(text) = octet_length(encode(text))""")
+def _(get):
+    rows = get("documents").where("lang = 'en' and char_length(text) = octet_length(text)").selectExpr("doc_id", "left(text, 60) as a", "substr(text, 3, 60) as b")
+    return x.levenshtein_similarity(rows, "a", "b").select("doc_id", "similarity")
+
+
+@query("best_fuzzy_match", """select doc_id, a, arg_max(b, (s, b)) as b, max(s) as similarity from (select l.doc_id, a, b, round(1 - levenshtein(lower(a), lower(b)) / cast(greatest(length(a), length(b)) as double), 6) as s from
+    (select script_id as doc_id, line as a from {lines} where line_idx = 0 and length(line) = octet_length(encode(line))) l join (select script_id as doc_id, line as b from {lines} where line_idx > 0 and length(line) = octet_length(encode(line))) r on l.doc_id = r.doc_id and abs(length(a) // 10 - length(b) // 10) <= 1) group by 1, 2""")
+def _(get):
+    ascii_ = get("lines").where("char_length(line) = octet_length(line)")
+    left = ascii_.where("line_idx = 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("a"))
+    right = ascii_.where("line_idx > 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("b"))
+    return x.best_fuzzy_match(left, right, "doc_id", "a", "b")
+
+
+@query("lexicon_tag_words", r"""select script_id, seg_idx, word_idx, sticker, w in ('idiot', 'the') as is_shock from (select *, lower(regexp_replace(word, '[^\p{L}]', '', 'g')) as w from {words}) left join (values ('the', 'S1'), ('and', 'S2'), ('of', 'S3')) as l(k, sticker) on k = w""")
+def _(get):
+    words = get("words")
+    lexicon = words.sparkSession.createDataFrame([("the", "S1", 0), ("And", "S2", 1), ("of", "S3", 2), ("of", "S9", 7)], "key string, sticker string, ord int")
+    return x.lexicon_tag_words(words, lexicon, ["idiot", "the"]).select("script_id", "seg_idx", "word_idx", "sticker", "is_shock")
+
+
+@query("fragment_to_sentence", r"""with f as (select script_id, line_idx as frag_idx, line as fragment, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda w: w <> '')) as n from {lines}), g as (select *, sum(n) over (partition by script_id order by frag_idx) - n / 2.0 as mid from f),
+    s as (select script_id, frag_idx // 2 as sent_idx, string_agg(fragment, ' ' order by frag_idx) as sentence, cast(sum(n) as bigint) as n from f group by 1, 2), e as (select *, sum(n) over (partition by script_id order by sent_idx) as upto, sum(n) over (partition by script_id) as total from s)
+    select script_id, frag_idx, sent_idx, case when sent_idx % 3 = 0 then 'prompt' else sentence end as evidence from (select g.script_id, frag_idx, e.sent_idx, e.sentence, row_number() over (partition by g.script_id, frag_idx order by e.sent_idx) as rn from g join e on g.script_id = e.script_id and g.mid <= e.upto) where rn = 1""")
+def _(get):
+    lines = get("lines")
+    sentences = lines.withColumn("sent_idx", F.floor(F.col("line_idx") / 2)).groupBy("script_id", "sent_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda s: s["line"]), " ").alias("sentence"))
+    sentences = sentences.withColumn("prompt", F.when(F.col("sent_idx") % 3 == 0, F.lit("prompt")).otherwise(F.lit(" ")))
+    return x.fragment_to_sentence(lines.select("script_id", F.col("line_idx").alias("frag_idx"), F.col("line").alias("fragment")), sentences, "script_id").select("script_id", "frag_idx", "sent_idx", "evidence")
+
+
+@query("caption_line_match", r"""select script_id, line_idx, cast(line_idx * 2 as double) as start, cast(line_idx * 2 as double) + 1.5 as "end", trim(line) as text from (select script_id, line, row_number() over (partition by script_id order by line_idx) - 1 as line_idx, min(length(regexp_replace(lower(line), '[^\p{L}\p{N}\p{M}]', '', 'g'))) over (partition by script_id) as least from {lines}) where least > 0""")
+def _(get):
+    from pyspark.sql import Window
+
+    lines = get("lines").select("script_id", (F.row_number().over(Window.partitionBy("script_id").orderBy("line_idx")).cast("bigint") - 1).alias("line_idx"), "line")
+    full = lines.groupBy("script_id").agg(F.min(F.char_length(F.regexp_replace("line", r"(?U)[\W_]+", ""))).alias("least")).where("least > 0").select("script_id")
+    lines = lines.join(full, "script_id", "left_semi")
+    units = lines.select("script_id", F.col("line_idx").alias("unit_idx"), F.col("line").alias("unit"), (F.col("line_idx") * 2.0).alias("start"), (F.col("line_idx") * 2.0 + 1.5).alias("end"))
+    return x.caption_line_match(units, lines, "script_id")
+
+
+@query("caption_correction")
+def _(get):
+    cues = _units(get).where("char_length(text) < 400 and cue_idx < 40").withColumn("text", F.regexp_replace("text", "[.,]", ""))
+    lines = get("lines").where("char_length(line) < 400 and line_idx < 40").select("script_id", F.col("line_idx"), "line")
+    return x.caption_correction(cues, lines, "script_id")
+
+
+@query("caption_word_layout")
+def _(get):
+    rows = get("conversations").select("conv_id", "turn", F.split("text", " ").alias("words"), F.split("text", "\n").alias("lines"))
+    return x.caption_word_layout(rows)
+
+
+_SRT = "concat(row_number() over (partition by script_id order by line_idx), chr(10), {t0}, ' --> ', {t1}, chr(10), line, chr(10), chr(10))"
+_TIME = "printf('%02d:%02d:%02d,%03d', ({e}) // 3600000, ({e}) // 60000 % 60, ({e}) // 1000 % 60, ({e}) % 1000)"
+
+
+@query("srt_texts", "select script_id, string_agg(b, '' order by line_idx) as srt from (select script_id, line_idx, " + _SRT.format(t0=_TIME.format(e="line_idx * 2000"), t1=_TIME.format(e="line_idx * 2000 + 1500")) + " as b from {lines}) group by script_id")
+def _(get):
+    return writers.srt_texts(_units(get), "script_id")
+
+
+@query("read_srt", "select script_id, cast(row_number() over (partition by script_id order by line_idx) - 1 as int) as cue_idx, line_idx * 2000 as start_ms, line_idx * 2000 + 1500 as end_ms, rtrim(line) as text from {lines}")
+def _(get):
+    return readers.read_srt(writers.srt_texts(_units(get), "script_id"), "script_id")
+
+
+@query("read_voice_catalog", "select distinct concat('en-V', p_partkey, '-', case when p_partkey % 2 = 0 then 'Male' else 'Female' end) as voice from {part} where p_partkey % 3 = 0")
+def _(get):
+    text = F.concat(F.lit("Name: "), F.when(F.col("p_partkey") % 3 == 0, "en").otherwise("fr"), F.lit("-V"), F.col("p_partkey"), F.lit("\nGender: "), F.when(F.col("p_partkey") % 2 == 0, "Male").otherwise("Female"), F.lit("\n"))
+    return readers.read_voice_catalog(get("part").select(text.alias("value")), locales=["EN-"])
+
+
+def _hits(get, body: str):
+    return get("pages").selectExpr("page_id as pool", "concat('t', page_id) as term", "cast(page_id % 5 as int) as term_ord", f"{body} as body")
+
+
+@query("normalize_video_hits", "select concat('t', page_id) as term, concat('v', page_id) as url, cast(5 + page_id % 20 as int) as duration from {pages}")
+def _(get):
+    body = """concat('{"videos":[{"duration":3,"video_files":[{"link":"short","width":1080,"height":1920}]},{"duration":', 5 + page_id % 20, ',"image":"i","video_files":[{"link":"small","width":540,"height":960},{"link":"v', page_id, '","width":1080,"height":1920},{"link":"late","width":1080,"height":1920}],"video_pictures":[{"picture":"p"}]}]}')"""
+    return readers.normalize_video_hits(_hits(get, body), "files").select("term", "url", "duration")
+
+
+@query("normalize_video_renditions", "select concat('t', page_id) as term, concat('b', page_id) as url, 9 as duration from {pages} where page_id % 2 = 0")
+def _(get):
+    body = """concat('{"hits":[{"duration":9,"videos":{"large":{"url":"","width":', 100, '},"medium":{"url":"b', page_id, '","width":', case when page_id % 2 = 0 then 1280 else 640 end, '},"small":{"url":"s","width":1080}}}]}')"""
+    rows = readers.normalize_video_hits(_hits(get, body), "renditions")
+    return rows.where("url <> 's'").select("term", "url", "duration")
+
+
+@query("normalize_image_hits", "select concat('t', page_id) as term, case when page_id % 2 = 0 then 'L' else 'o' end as url, 5 as duration from {pages} union all select concat('t', page_id), 'ok.png', 5 from {pages} union all select concat('t', page_id), 'web', 5 from {pages}")
+def _(get):
+    sized = """concat('{"photos":[{"src":{"large2x":"', case when page_id % 2 = 0 then 'L' else '' end, '","original":"o"}}]}')"""
+    wiki, web = "'{\"pages\":[{\"url\":\"x.svg\",\"mime\":\"image/svg\"},{\"url\":\"ok.png\",\"mime\":\"image/png\"}]}'", "'{\"hits\":[{\"largeImageURL\":\"\",\"webformatURL\":\"web\"}]}'"
+    parts = [readers.normalize_image_hits(_hits(get, b), p) for p, b in (("sized", sized), ("wiki", wiki), ("web", web))]
+    return readers.concat_hits(*parts).select("term", "url", "duration")
+
+
+@query("normalize_short_clip_hits", "select concat('t', page_id) as term, 'wide' as url, cast(1280 as int) as width from {pages}")
+def _(get):
+    body = """'{"clips":[{"duration":40,"files":[{"width":1920,"height":1080,"url":"long"}]},{"duration":8,"files":[{"width":640,"height":480,"url":"narrow"},{"width":1280,"height":720,"url":"wide"},{"width":2000,"height":100,"url":"flat"}]}]}'"""
+    return readers.normalize_short_clip_hits(_hits(get, body)).select("term", "url", "width")
+
+
+@query("normalize_footage_hits", "select page_id as pool, concat('h264-', page_id) as url, cast(60 as double) as duration from {pages} union all select page_id, 'b', cast(100 as double) from {pages}")
+def _(get):
+    body = """concat('{"entries":[{"url":"a","duration":60,"formats":[{"height":1080,"codec":"vp9","url":"vp"},{"height":1080,"codec":"avc1","url":"h264-', page_id, '"},{"height":2160,"codec":"avc1","url":"big"}]},{"url":"c","duration":5,"formats":[]},{"url":"b","duration":100,"formats":[{"height":720,"codec":"av01","url":"b"}]},{"url":"d","duration":100,"formats":[{"height":720,"codec":"av01","url":"third"}]}]}')"""
+    return readers.normalize_footage_hits(_hits(get, body), "pool").select("pool", "url", "duration")

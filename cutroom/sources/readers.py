@@ -55,7 +55,7 @@ def read_task_manifests(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     get = lambda k: F.get_json_object("value", f"$.{k}")
     terms = get("search_terms")
-    listed = F.coalesce(F.when(terms.startswith("["), F.from_json(terms, "array<string>")), F.filter(F.transform(F.split(terms, "[,，]"), F.trim), lambda x: x != ""))
+    listed = F.coalesce(F.when(terms.startswith("["), F.from_json(terms, "array<string>")), F.filter(F.transform(F.split(terms, "[,，]"), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("task_id"), get("script").alias("script"), listed.alias("terms"), get("params").alias("params"))
 
 
