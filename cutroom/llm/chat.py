@@ -65,8 +65,9 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: s
     while len(levels) < rounds and jump.where("up is not null").limit(1).count():
         levels.append(jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far")))
         far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("depth").alias("far_depth"), F.col("total").alias("far_total"))
-        step = jump.join(far, F.expr("tree <=> t and up = n"), "left")
-        jump = settle(step.select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("far_total", F.lit(0.0))).alias("total")))
+        step = jump.where("up is not null").join(far, F.expr("tree <=> t and up = n"))  # those at a root are done
+        step = step.select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.col("far_depth")).alias("depth"), (F.col("total") + F.col("far_total")).alias("total"))
+        jump = settle(jump.where("up is null").unionByName(step))
     ends = jump.where("up is null").join(leaves.select(F.col("tree").alias("t"), F.col("node").alias("n")), F.expr("tree <=> t and node = n"), "left_semi")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
     best = ends.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
