@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch. Texts are long, so a batch of the default size would fill a worker's memory.
+BATCH_ROWS = 1000
 
 #: The white space of the word definition, [\x20\x09-\x0D].
 WHITE = np.zeros(256, bool)
@@ -31,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python workers batches of ``BATCH_ROWS`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a folder of our own only where none is set."""
     sc = spark.sparkContext
@@ -87,12 +95,20 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, np.flatnonzero(closes) + 1, np.searchsorted(offs, s, side="right") - 1
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, _BASE), np.full(n, _BASE_INV)
+_held: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; those for a block are kept, those for a longer text are not."""
+    if _held and n <= len(_held[0][0]):
+        return _held[0]
+    size = max(n, 2 * BLOCK_BYTES)
+    up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    made = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size == 2 * BLOCK_BYTES:
+        _held.append(made)
+    return made
 
 
 @lru_cache(maxsize=1)
@@ -102,8 +118,7 @@ def _letters() -> np.ndarray:
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial hash mod 2**64 (n + 1 values) and the factors that make a slice's hash independent of its place."""
-    bits = max(16, int(len(data)).bit_length())
-    up, down = _powers(bits)
+    up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
@@ -139,3 +154,26 @@ def shingles(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np
         h ^= h >> _U(32)
     at = np.flatnonzero(row[:n] == row[k - 1 :])
     return mix(h[at]), row[at], at
+
+
+FILTER_BITS = 24
+
+
+def only(rows: DataFrame, keys: DataFrame, on: list[str], absent: bool = False) -> DataFrame:
+    """Rows whose key may be in ``keys`` (some others too), or those whose key isn't, without shuffling them.
+
+    A bitmap of 2**FILTER_BITS hashed keys, a fixed 2 MB, is combined on the executors and broadcast. With very many keys
+    it passes more rows than need be and changes nothing else.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    found = words.toArrow()  # at most 2**19 numbers, however many keys there are
+    bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def test(at: pa.Array) -> pa.Array:
+        p = at.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1) == (0 if absent else 1))
+
+    return rows.where(F.arrow_udf(test, "boolean")(place))

@@ -4,13 +4,14 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 anchor, the place of its smallest k-gram hash, so equal windows have equal anchors at equal distances. Suffixes at the
 anchors stand for all windows they own:
 
-1. Anchored suffixes go to range partitions by their leading bytes; the splitters are quantiles of a bounded sample. A bucket is sorted by
-   multikey quicksort (leading bytes, then the k-gram, then the owned text), and neighbours are compared: equal
-   owned texts repeat as a whole; equal k-grams with different owned texts may share single windows.
-2. Only of the latter, one of each different text, the windows themselves are sorted and compared in the same way.
-
-A key that fills several buckets is a splitter more than once; its rows are dealt over those buckets, and they are
-compared across the boundaries by partially aggregated counts.
+1. Anchored suffixes go to range partitions by their leading bytes; the splitters are quantiles of a bounded sample. A
+   bucket is sorted by multikey quicksort (leading bytes, then the k-gram, then the owned text), and neighbours are
+   compared: equal owned texts repeat as a whole; equal k-grams with different owned texts may share single windows.
+2. Only of the latter, one of each different text, the owned texts themselves go to the same buckets, where the suffixes
+   at all their windows are sorted and compared in the same way.
+
+A key that fills several buckets is a splitter more than once. Its rows are dealt over those buckets and compared across
+the boundaries by counts that are combined before the shuffle, whole texts first and then windows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, blocks, mix, prefix_hash, settle, span_hash, utf8
+from .common import BLOCK_BYTES, blocks, mix, only, prefix_hash, settle, small_batches, span_hash, utf8
 
 LENGTH, GRAM = 400, 100
-#: Rows that the splitters are taken from, at most about.
-SAMPLE_ROWS, SAMPLE_DOCS = 40_000, 1500
+#: Documents that the splitters are taken from, at most about.
+SAMPLE_DOCS = 1500
 _PLACE_BITS = 28
 
 
@@ -115,9 +116,10 @@ def _unsigned(column: pa.Array) -> np.ndarray:
 
 
 def _deal(splitters: np.ndarray, key: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each row, and whether its key is a splitter, so that equal rows may be in other buckets."""
+    """Bucket of each row, and whether its key is a splitter more than once, so that equal rows are in other buckets too."""
     left, right = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
-    return left + (salt % (right - left + 1).astype(np.uint64)).astype(np.int64), right > left
+    wide = right > left + 1
+    return left + np.where(wide, salt % (right - left + 1).astype(np.uint64), 0).astype(np.int64), wide
 
 
 def _splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
@@ -162,14 +164,13 @@ def compare_neighbours(rows: DataFrame) -> DataFrame:
         yield from pa.Table.from_arrays([*(cells[f.name].take(at) for f in fields), *flags], names=names).to_batches(max_chunksize=20_000)
 
     near = settle(rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(compare, schema))
-    inside = near.where("not open").drop("open")
-    # across the boundaries: the rows of keys that are splitters
-    spread = near.where("open").drop("open", "whole", "mixed", "first")
+    # across the boundaries: the rows of keys that fill several buckets
+    spread = near.where("open").drop("whole", "mixed", "first")
     texts = spread.groupBy("lead", "gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "lo")).alias("least"))
     grams = texts.groupBy("lead", "gram").agg((F.min("own") != F.max("own")).alias("mixed"))
     across = spread.join(texts, ["lead", "gram", "own"]).join(grams, ["lead", "gram"])
     across = across.withColumns({"whole": F.col("n") > 1, "first": F.struct("id", "h", "lo").eqNullSafe(F.col("least"))})
-    return inside.unionByName(across.select(*inside.columns).where("whole or mixed"))
+    return near.where("not open").unionByName(across.select(*near.columns).where("whole or mixed"))
 
 
 def _text_key(id_: str, text: str):
@@ -180,7 +181,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     """(id, h, lo, hi): ranges of starts of windows that also start elsewhere; h is the text's hash, which with the id names a row."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(*_text_key(key, text))
+    rows = small_batches(docs).select(*_text_key(key, text))
     id_type = docs.schema[key].dataType
     longs = lambda names: [T.StructField(x, T.LongType()) for x in names]
     schema = T.StructType([T.StructField("id", id_type), *longs(("h", "lo", "hi", "lead", "gram", "own", "bucket")), T.StructField("open", T.BooleanType())])
@@ -212,39 +213,88 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     whole = found.where("whole").select("id", "h", "lo", "hi")
 
     # windows of different texts under one k-gram
-    asked = found.where("mixed and first").groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = rows.select(F.col("id").alias("i"), F.col("h").alias("g"), "text")  # a repeated row gives the same windows again, which count as one
-    window_schema = T.StructType([f for f in schema.fields if f.name not in ("bucket", "open")])
+    asked = found.where("mixed and first").groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi", "lead", "gram", "open")).alias("spans"))
+    wanted = only(rows, asked, ["id", "h"])
+    joined = wanted.join(asked.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "spans"), F.expr("id <=> i2 and h <=> h2")).select("id", "h", "text", "spans")
+    part_schema = T.StructType([schema["id"], *longs(("h", "lo", "lead", "gram", "bucket")), T.StructField("part", T.BinaryType())])
+
+    def parts(batches):
+        for batch in batches:
+            data, offs = utf8(batch.column(2))
+            take, cells, owned = [], [], []
+            for i, spans in enumerate(batch.column(3).to_pylist()):
+                for s in (s for s in spans if not s["open"]):
+                    take.append(i)
+                    cells.append((s["lo"], s["lead"], s["gram"]))
+                    owned.append(data[offs[i] + s["lo"] : offs[i] + s["hi"] + length].tobytes())
+            lo, lead, gram_ = np.array(cells, np.int64).reshape(-1, 3).T
+            bucket, _ = _deal(shared.value, _range_key(lead.astype(np.int64).view(np.uint64), gram_.astype(np.int64).view(np.uint64)), np.zeros(len(lo), np.uint64))
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (lo, lead, gram_, bucket)), pa.array(owned, pa.binary())], names=part_schema.names)
+
+    span_schema = T.StructType([schema[x] for x in ("id", "h", "lo", "hi")])
+
+    def compare_windows(batches):
+        held = list(batches)  # one bucket: a bounded share of the parts
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        order = multikey_order(*(_unsigned(table.column(x)) for x in ("lead", "gram")))
+        table = table.take(pa.array(order)).combine_chunks()
+        gram_ = table.column("gram").to_numpy()
+        data, offs = utf8(table.column("part"))
+        groups = np.append(np.flatnonzero(np.append(True, gram_[1:] != gram_[:-1])), len(gram_)) if len(gram_) else np.zeros(1, np.int64)
+        for a, z in blocks(offs[groups]):
+            a, z = int(groups[a]), int(groups[z])
+            row, lo, hi = _shared_windows(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a], gram_[a:z], length)
+            ids = pa.array(row + a)
+            start = table.column("lo").take(ids).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(table.column(x).take(ids).combine_chunks() for x in ("id", "h")), pa.array(start + lo), pa.array(start + hi)], names=span_schema.names)
+
+    inside = joined.where(F.exists("spans", lambda s: ~s["open"])).mapInArrow(parts, part_schema)
+    inside = inside.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(compare_windows, span_schema)
 
     def windows(batches):
         for batch in batches:
             data, offs = utf8(batch.column(2))
             for i, spans in enumerate(batch.column(3).to_pylist()):
                 own = data[offs[i] : offs[i + 1]]
-                for s in spans:  # the text that one anchor owns
+                for s in (s for s in spans if s["open"]):
                     part = own[s["lo"] : s["hi"] + length]
                     total, down = prefix_hash(part)
                     at = np.arange(s["hi"] - s["lo"] + 1)
-                    start = at + s["lo"]
-                    lead, digest = _lead(part, at), span_hash(total, down, at, at + length)
-                    alone = mix(start.astype(np.uint64) ^ (batch.column(1)[i : i + 1].to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                     ids = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(start), pa.array(start), *(pa.array(x.view(np.int64)) for x in (lead, digest, alone))], names=window_schema.names)
-
-    joined = texts.join(asked.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "spans"), F.expr("i <=> i2 and g <=> h2")).select("i", "g", "text", "spans")
-    single = settle(joined.mapInArrow(windows, window_schema))
-    n = single.count()
-    drawn = single if n <= SAMPLE_ROWS else single.where(F.rand(7) < SAMPLE_ROWS / n)
-    drawn = np.array([(r["lead"], r["gram"]) for r in drawn.select("lead", "gram").collect()], np.int64).reshape(-1, 2).view(np.uint64)
-    again = spark.sparkContext.broadcast(_splitters(_range_key(drawn[:, 0], drawn[:, 1]), buckets))
-
-    def place(batches):
-        for b in batches:
-            yield lay(again.value, b.columns, pa.array(np.arange(b.num_rows)), *(b.column(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi")), *(_unsigned(b.column(x)) for x in ("lead", "gram", "own")))
-
-    # two equal windows have one hash in ``gram`` and different places in ``own``
-    shared_windows = compare_neighbours(single.mapInArrow(place, schema)).where("mixed").select("id", "h", "lo", "hi")
-    return whole.unionByName(shared_windows)
+                    numbers = (at + s["lo"], _lead(part, at).view(np.int64), span_hash(total, down, at, at + length).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *map(pa.array, numbers)], names=["id", "h", "lo", "lead", "digest"])
+
+    # the same of keys that fill several buckets: equal windows by partially aggregated counts
+    window_schema = T.StructType([schema["id"], *longs(("h", "lo", "lead", "digest"))])
+    spread = joined.where(F.exists("spans", lambda s: s["open"])).mapInArrow(windows, window_schema)
+    twice = spread.groupBy("lead", "digest").count().where("count > 1").select("lead", "digest")
+    across = spread.join(twice, ["lead", "digest"], "left_semi").select("id", "h", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(inside).unionByName(across)
+
+
+def _shared_windows(data: np.ndarray, offs: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (row, first, last) of the windows of each text that another text of its group has too."""
+    many = np.diff(offs) - length + 1
+    row = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    at = offs[row] + place
+    total, down = prefix_hash(data)
+    keys = group[row].view(np.uint64), _lead(data, at), span_hash(total, down, at, at + length)
+    order = multikey_order(*keys)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for key in keys:
+        same &= key[order][1:] == key[order][:-1]
+    shared = np.zeros(len(order) + 2, bool)
+    shared[order[1:][same] + 1] = True
+    shared[order[:-1][same] + 1] = True
+    edge = np.zeros(len(order) + 1, bool)
+    edge[:-1] = place == 0
+    opens = np.flatnonzero(shared[1:-1] & (~shared[:-2] | edge[:-1]))
+    closes = np.flatnonzero(shared[1:-1] & (~shared[2:] | edge[1:]))
+    return row[opens], place[opens], place[closes]
 
 
 def _covered(spans: list, size: int, length: int) -> np.ndarray:
@@ -263,8 +313,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     stays empty.
     """
     spans = repeated_windows(docs, key, text, length, gram).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("__id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("__h")), "left")
+    spans = settle(spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "spans"))
+    marked = docs.withColumns({"__id": F.col(key), "__h": F.xxhash64(F.col(text))})
+    found = spans.select(F.col("__id").alias("__i2"), F.col("__h").alias("__h2"), F.col("spans").alias("__spans"))
+    joined = only(marked, spans, ["__id", "__h"]).join(found, F.expr("__id <=> __i2 and __h <=> __h2"), "left").drop("__i2", "__h2")
+    whole = only(marked, spans, ["__id", "__h"], absent=True).withColumn("__spans", F.lit(None).cast(found.schema["__spans"].dataType))
+    joined = joined.unionByName(whole)
     kinds = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
 
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
