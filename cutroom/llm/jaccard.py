@@ -5,7 +5,7 @@ sets, so lists that unrelated sets share stay short. Two kinds of skipping by se
 
 * by index: a list is kept in blocks by the token's position in the sets; a block is skipped where its positions and
   sizes leave too few tokens for the overlap that is asked;
-* by answers: first each set is compared with one leader of each of its lists only. Its further answers are derived
+* by answers: first each set is compared with one leader of each of its lists only, the set in which the list's token comes first. Its further answers are derived
   from the leader's: sets that are linked through leaders are not compared again, and two sets whose distances to one
   leader differ by more than the threshold can't be linked (Jaccard distance is a metric). Only what is left is verified.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, blocks, fold_case, mix, prefix_hash, runs, settle, shingles, span_hash, utf8
+from .common import WHITE, blocks, fold_case, mix, only, prefix_hash, runs, settle, shingles, small_batches, span_hash, utf8
 from .components import components
 
 WORDS = 5
@@ -150,10 +150,11 @@ def _pairs_of_lists(batches):
         yield from pairs(pa.Table.from_batches(held))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
-    """(a, b, dist, linked) of class pairs, from the whole sets. texts: (cid, text)."""
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WORDS) -> DataFrame:
+    """(a, b, dist, linked) of class pairs, from the whole texts of one row of each class."""
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    held = texts.join(wanted, "cid", "left_semi")
+    named = settle(classes.join(wanted, "cid", "left_semi").select("cid", F.col("least.id").alias("id"), F.col("least.h").alias("h")))
+    held = only(rows, named, ["id", "h"]).join(named.select("cid", F.col("id").alias("i"), F.col("h").alias("g")), F.expr("i <=> id and g <=> h")).groupBy("cid").agg(F.min("text").alias("text"))
     rows = pairs.join(held.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
 
     def compare(batches):
@@ -177,7 +178,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def each(batch: pa.RecordBatch, column: str):
         data, offs = utf8(batch.column(column))
@@ -190,9 +191,27 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64))], names=["token"])
 
-    often = rows.select("text").mapInArrow(first_tokens, "token long").groupBy("token").count().where(F.col("count") > LONG_LIST)
-    often = np.array([r["token"] for r in often.orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).collect()], np.int64)
-    shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    def frequent(tokens, room: int) -> np.ndarray:
+        found = rows.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") > LONG_LIST)
+        found = found.orderBy(F.desc("count"), "token").limit(room).select("token").toArrow()
+        return found.column("token").to_numpy().view(np.uint64)
+
+    often = np.sort(frequent(first_tokens, FREQUENT_TOKENS // 2))
+    seen = spark.sparkContext.broadcast(often)
+
+    def all_tokens(batches):
+        """Of sets that are frequent tokens for a good part, as in large groups of near copies, all other tokens."""
+        for batch in batches:
+            kept = []
+            for own in each(batch, "text"):
+                if np.isin(own[:64], seen.value).mean() > 0.25 if len(own) and len(seen.value) else False:
+                    kept.append(own[~np.isin(own, seen.value)])
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64))], names=["token"])
+
+    if len(often):
+        often = np.union1d(often, frequent(all_tokens, FREQUENT_TOKENS // 2))
+    shared = spark.sparkContext.broadcast(often)
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
@@ -207,13 +226,12 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     members = settle(rows.mapInArrow(described, schema))
     classes = settle(members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    texts = classes.select("cid", F.col("least.id").alias("i"), F.col("least.h").alias("g")).join(rows, F.expr("i <=> id and g <=> h")).select("cid", "text")
 
-    # answers of the leaders: the smallest class of each list and size band
+    # answers of the leaders: in each list and size band the class that has the token first, as the least edited one has
     lists = _lists(classes).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))
-    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("cid", "n", "pos")).alias("l"), F.max("cid").alias("top")).where("l.cid < top").select("token", "band", F.col("l.cid").alias("a"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
+    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("pos", "cid", "n")).alias("l"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("token", "band", F.col("l.cid").alias("a"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
     first = settle(lists.join(leaders, ["token", "band"]).where("cid <> a").where(_fits("n", "pos", "ln", "lp")).select("a", F.col("cid").alias("b")).distinct())
-    known = verified(first, texts, k)
+    known = verified(first, classes, rows, k)
     edges = known.where("linked").select("a", "b")
     comps = settle(components(edges))
 
@@ -224,10 +242,13 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     several = open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     open_lists = open_lists.join(several, "token", "left_semi").join(nearest, "cid", "left")
     open_lists = open_lists.select("token", "cid", "n", "pos", "comp", F.coalesce("leader", "cid").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    rest = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(settle(rest), texts, k).where("linked").select("a", "b")
+    rest = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = verified(settle(rest), classes, rows, k).where("linked").select("a", "b")
 
-    comps = components(edges.unionByName(more)).withColumnRenamed("node", "cid")
+    # rows that repeat a key are one node
+    repeated = members.where("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("id", "a")
+    repeated = members.where("n > 0").join(repeated, "id").where("cid <> a").select("a", F.col("cid").alias("b"))
+    comps = components(edges.unionByName(more).unionByName(repeated)).withColumnRenamed("node", "cid")
     named = settle(classes.select("cid", F.col("least.id").alias("low")).join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "component").select("cid", "component_id")
