@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, prefix_hash, runs, shingles, span_hash, utf8
+from .common import blocks, prefix_hash, runs, shingles, small_batches, span_hash, utf8
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -246,7 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     if rows:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + r[0] for r in rows])), ids.take(pa.array([r[1] for r in rows])), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], names=names)
 
-        part = docs.select(key, text).mapInArrow(scan, schema)
+        part = small_batches(docs).select(key, text).mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy(key, "__item").orderBy(F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap"))
     return found.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(key, F.col("__item").alias(item), *(F.round(x, 6).alias(x) for x in names[2:]))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: A tag, a comment, a declaration or an unclosed rest; attribute values may hold ">".
 _MARKUP = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -192,7 +194,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col(key).alias("id"), host.alias("host"), F.col(page).alias("page"))
+    rows = small_batches(pages).select(F.col(key).alias("id"), host.alias("host"), F.col(page).alias("page"))
     schema = T.StructType([T.StructField("id", pages.schema[key].dataType), T.StructField("host", T.StringType()), T.StructField("body", T.LongType()), T.StructField("hash", T.LongType())])
 
     def subtrees(batches):

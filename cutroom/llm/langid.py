@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, id_crc
+from .common import BLOCK_BYTES, id_crc, small_batches
 
 UNKNOWN = "und"
 
@@ -77,7 +77,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     ``fit_docs`` is the documented bound of the sample: rows with a label and a text are drawn by a hash of their key
     so that about that many are expected, however many there are. No labelled row gives a model without languages.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = small_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     n = labelled.where(F.col(lang).isNotNull()).count()
     if n > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: tuple, text: str = "text", lang_out: str =
         lang = pa.array([names[i] if i >= 0 else UNKNOWN for i in best.tolist()], pa.string())
         return pa.StructArray.from_arrays([lang, pa.array(prob)], fields=list(kind))
 
-    got = docs.withColumn("__lang", predict(F.col(text)))
+    got = small_batches(docs).withColumn("__lang", predict(F.col(text)))
     return got.withColumns({lang_out: F.col("__lang.lang"), score_out: F.col("__lang.score")}).drop("__lang")
 
 

@@ -8,22 +8,24 @@ the pieces of equal length. The rank is made without a task that holds a whole l
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, settle
+from .common import BLOCK_BYTES, settle, small_batches
 from .sharding import ranked
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Words whose ids a worker remembers at most, and the longest such word.
-KNOWN_WORDS, KNOWN_CHARS = 300_000, 48
+#: Words whose ids a worker remembers at most, the longest such word, and words that are encoded as one text.
+KNOWN_WORDS, KNOWN_CHARS, WORDS_AT_ONCE = 250_000, 48, 256
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -32,11 +34,29 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A comma or full stop at a word's end that belongs to a longer run of signs, so it can't be cut off.
+_RUN_OF_SIGNS = re.compile(r"[^\w\s][,.] |_[,.] ")
+
+
+def _words(text: str) -> list[str]:
+    """Words that the tokenizer encodes on their own: parts at blanks, line feeds and before a word's last , or .
+
+    Its splitter keeps letters, single digits and runs of other signs apart, so a sign behind a letter or digit is a part
+    of its own. Plain ASCII is lower-cased here, as the tokenizer does, so that fewer different words come up.
+    """
+    text = text.replace("\n", " ") + " "
+    if text.isascii():
+        text = text.lower()
+    if not _RUN_OF_SIGNS.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes.
 
-    This vocabulary's splitter never joins characters over a blank or a line feed, so texts are split there and each
-    different word is encoded once. A text with a string of the added tokens' form goes through the tokenizer whole.
+    Each different word is encoded once, as long as a worker remembers it. A text with a string of the added tokens'
+    form goes through the tokenizer whole.
     """
 
     _held: dict[str, "WordEncoder"] = {}
@@ -49,6 +69,10 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part of a word
+        for part, i in vocabulary.items():
+            self.ends[i] = part.endswith("</w>")
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -56,11 +80,26 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters alone are one part each: many go as one text, cut behind each part's end."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[i : i + WORDS_AT_ONCE] for i in range(0, len(letters), WORDS_AT_ONCE)]
+        odd = [w for w in words if not w.isalpha()]
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
+            cuts = [0, *((np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()]
+            if len(cuts) != len(group) + 1:
+                odd += group
+                continue
+            out.update(zip(group, (ids[a:z] for a, z in pairwise(cuts)), strict=True))
+        out.update(zip(odd, self._whole(odd), strict=True))
+        return [out[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
+        split = [[] if "<|" in t else _words(t) for t in texts]
         fresh = list(set().union(*split) - self.known.keys())
         self.known.update(zip(fresh, self._encode(fresh), strict=True))
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
@@ -69,7 +108,7 @@ class WordEncoder:
             if i >= room or len(w) > KNOWN_CHARS:
                 del self.known[w]
         whole = [i for i, t in enumerate(texts) if "<|" in t]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
@@ -102,7 +141,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(numbers[:, j]) for j in range(4))], names=schema.names)
                 a = z
 
-    return docs.select(key, text).mapInArrow(cut, schema)
+    return small_batches(docs).select(key, text).mapInArrow(cut, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, tuple[tuple[int, int], ...]]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import WHITE, blocks, mix, prefix_hash, runs, shingles, span_hash, utf8
+from .common import WHITE, blocks, mix, prefix_hash, runs, shingles, small_batches, span_hash, utf8
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = known.count()
     if n > fit_docs:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(known, "k").select("text", "q")
+    rows = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k").select("text", "q")  # as many rows as the sample
 
     def lines(batches):
         for b in batches:
@@ -152,7 +152,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
             share = good / np.maximum(1, np.bincount(row, weights=words, minlength=len(column)))
         return pa.StructArray.from_arrays([*(pa.array(x) for x in counts), pa.array(share)], fields=[pa.field(n, t) for n, t in kinds])
 
-    got = docs.withColumn("__q", measure(F.col(text))).withColumns({n: F.col(f"__q.{n}") for n, _ in kinds}).drop("__q")
+    got = small_batches(docs).withColumn("__q", measure(F.col(text))).withColumns({n: F.col(f"__q.{n}") for n, _ in kinds}).drop("__q")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return got.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= least_content))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import blocks, id_crc, mix, prefix_hash, runs, span_hash, utf8
+from .common import blocks, id_crc, mix, prefix_hash, runs, small_batches, span_hash, utf8
 from .decontaminate import WORD, fold
 
 CLEAN, TOXIC = 0, 1
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = known.count()
     if n > fit_docs:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(known, "k").select("text", "y")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k").select("text", "y")  # as many rows as the sample
 
     def train(batches):
         texts, y = [], []
@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             y += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, np.array(y, np.int64)))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(train, "model binary").collect()[0]["model"])
+    made = rows.repartition(1).mapInArrow(train, "model binary").collect()  # the sample is bounded
+    return pickle.loads(made[0]["model"]) if made else learn([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, tagger: Tagger, text: str = "text", least_span: float = 0.5) -> DataFrame:
@@ -233,7 +234,7 @@ def score(docs: DataFrame, tagger: Tagger, text: str = "text", least_span: float
                     spans[a + row[i]].append({"start": int(points[s[i]] - zero[row[i]]), "end": int(points[e[i]] - zero[row[i]]), "p": float(p[i])})
         return pa.StructArray.from_arrays([pa.array(result), pa.array(spans, pa.list_(span))], fields=[pa.field("score", pa.float64()), pa.field("spans", pa.list_(span))])
 
-    got = docs.withColumn("__t", measure(F.col(text)))
+    got = small_batches(docs).withColumn("__t", measure(F.col(text)))
     return got.withColumns({"score": F.col("__t.score"), "toxic_spans": F.col("__t.spans")}).drop("__t")
 
 

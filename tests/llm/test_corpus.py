@@ -149,7 +149,7 @@ def test_repeats_are_exact(spark, copies):
     rng = random.Random(copies)
     passage = "".join(rng.choice("abcdé ") for _ in range(90))
     texts = [(n, "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(0, 150))) + passage * (n % 3 != 0) + "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(0, 150)))) for n in range(copies)]
-    texts += [(500, "z" * 200), (501, None), (502, ""), (503, texts[1][1]), (503, texts[1][1]), (504, texts[1][1][:130] + "#" + texts[1][1][131:])]
+    texts += [(500, "z" * 200), (505, "abc" * 90 + "x" + "abc" * 20), (506, "bca" * 30), (501, None), (502, ""), (503, texts[1][1]), (503, texts[1][1]), (504, texts[1][1][:130] + "#" + texts[1][1][131:])]
     got = suffixes.remove_repeats(table(spark, texts), length=40, gram=12).select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "lang").collect()
     want = Counter((i, *x) for (i, t), x in zip(texts, brute_repeats([t for _, t in texts], 40)))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
