@@ -44,7 +44,7 @@ def split_sentences(df: DataFrame, text: str = "text", min_len: int = 1) -> Data
     return df.select("*", F.posexplode(parts).alias("pos", "sentence"))
 
 
-def segment_list(text: str, least: int = 20, most: int = 120) -> list[str]:
+def segment_list(text: str, least: int = 25, most: int = 150) -> list[str]:
     """X-2 for one text: sentences; long ones are packed anew at commas, short ones wait for the next.
 
     A waiting short one is let go before the sentence that would have completed it, not with it.
@@ -56,7 +56,7 @@ def segment_list(text: str, least: int = 20, most: int = 120) -> list[str]:
             packed.append(s)
             continue
         held = ""
-        for part in (p.strip() for p in s.split(",")):
+        for part in (p.strip() for p in s.split(",") if p.strip()):
             if held and len(held) + 2 + len(part) > most:
                 packed.append(held)
                 held = part
@@ -66,19 +66,15 @@ def segment_list(text: str, least: int = 20, most: int = 120) -> list[str]:
             packed.append(held)
     out, wait = [], ""
     for s in packed:
-        if len(s) >= least:
-            if wait:
-                out.append(wait)
-            out.append(s)
-            wait = ""
-        else:
-            wait = f"{wait} {s}".strip()
-    if wait:
-        if out:
-            out[-1] = f"{out[-1]} {wait}"
+        size = len(s) + (len(wait) + 2 if wait else 0)
+        if size < least:
+            wait = f"{wait}. {s}" if wait else s
+        elif wait or size > most:  # what waits goes alone, this one waits
+            out += [wait] if wait else []
+            wait = s
         else:
-            out.append(wait)
-    return out
+            out.append(s)
+    return out + [wait] * bool(wait)
 
 
 def _exploded(df: DataFrame, column: str, fold, out: str, kind: str = "string") -> DataFrame:
@@ -91,7 +87,7 @@ def _exploded(df: DataFrame, column: str, fold, out: str, kind: str = "string")
     return rows.select(*df.columns, F.posexplode("__list").alias("pos", out))
 
 
-def segment_script(df: DataFrame, text: str = "text", least: int = 20, most: int = 120) -> DataFrame:
+def segment_script(df: DataFrame, text: str = "text", least: int = 25, most: int = 150) -> DataFrame:
     """X-2. Segments of a script in order (pos, segment)."""
     return _exploded(df, text, lambda t: segment_list(t, least, most), "segment")
 
@@ -126,18 +122,21 @@ def chunk_by_chars(df: DataFrame, text: str = "text", most: int = 300) -> DataFr
     return df.select("*", F.posexplode(chunks).alias("pos", "chunk"))
 
 
-def caption_groups(words: DataFrame, by: list[str], order: str, most_words: int = 4, most_chars: int = 40) -> DataFrame:
-    """X-6. Timed words in caption groups; a group ends with a punctuated word, at a number of words, or before it gets too long."""
+#: Marks that end a caption group wherever they stand in a word.
+GROUP_MARKS = "?,.、;:!…？，。；：！"
+
+
+def caption_groups(words: DataFrame, by: list[str], order: str, most_words: int = 4, most_chars: int = 40, most_lines: int = 2) -> DataFrame:
+    """X-6. Timed words in caption groups; a group ends with a punctuated word, at a number of words, or once its text with
+    a blank behind each word is longer than its lines. Blank words are skipped."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf[pdf["word"].str.strip() != ""].sort_values(order)
         group, n, size, out = 0, 0, 0, []
-        for w in pdf["word"]:
-            if n and size + 1 + len(w) > most_chars:
-                group, n, size = group + 1, 0, 0
+        for w in pdf["word"].str.strip():
             out.append(group)
-            n, size = n + 1, size + len(w) + bool(n)
-            if n >= most_words or re.search(r"[.,!?;:]", w):
+            n, size = n + 1, size + len(w) + 1
+            if n >= most_words or size > most_chars * most_lines or any(c in GROUP_MARKS for c in w):
                 group, n, size = group + 1, 0, 0
         return pdf.assign(group=pd.array(out, dtype="int32"))
 
@@ -154,8 +153,9 @@ def phrase_list(units: list[str]) -> list[str]:
     out, held = [], []
     for i, u in enumerate(units):
         held.append(u)
-        if re.search(r"[.!?]$", u) or len(held) >= 8 or i == len(units) - 1 or (u.endswith(",") and len(held) >= 4):
-            out.append(re.sub(r"\s+([.,!?;:])", r"\1", " ".join(held)))
+        end = u.rstrip()[-1:]
+        if (end and end in ".!?。！？") or len(held) >= 8 or i == len(units) - 1 or (end and end in ",，" and len(held) >= 4):
+            out.append(re.sub(r"\s+([,.!?。，！？])", r"\1", " ".join(held).strip()))
             held = []
     return out
 
@@ -234,31 +234,35 @@ def spell_numbers(df: DataFrame, text: str = "text", out: str = "spelled") -> Da
     return df.withColumn(out, F.array_join(tokens, " "))
 
 
-def wrap_list(text: str, most_chars: int = 30, most_lines: int = 2) -> list[str]:
-    """X-14 for one caption: wrap, break early after a comma on a line over 60 % full, then even out two lines."""
+def wrap_list(text: str, most_chars: int = 40, most_lines: int = 2) -> list[str]:
+    """X-14 for one caption: lines of whole words, commas left out. A comma ends a line that is over 60 % full; what
+    doesn't fit the lines is left out; then a line under 70 % takes the next line's first word if it has room for it."""
     lines, held = [], ""
-    for w in text.split():
-        joined = f"{held} {w}".strip()
-        if held and len(joined) > most_chars:
-            lines.append(held)
-            held = w
-        else:
-            held = joined
-        if held.endswith(",") and len(held) > 0.6 * most_chars:
+    for phrase in (p.split() for p in text.split(",") if p.strip()):
+        for w in phrase:
+            fits = len(held) + len(w) + bool(held) <= most_chars
+            if not fits:
+                lines.append(held or w)
+                held = w if held else ""
+                if len(lines) >= most_lines:
+                    break
+            else:
+                held = f"{held} {w}" if held else w
+        if len(held) > 0.6 * most_chars:
             lines.append(held)
             held = ""
-    if held:
+            if len(lines) >= most_lines:
+                break
+    if held and len(lines) < most_lines:
         lines.append(held)
-    if len(lines) > most_lines:
-        lines = [*lines[: most_lines - 1], " ".join(lines[most_lines - 1 :])]
-    if len(lines) == 2 and len(lines[1]) < 0.7 * len(lines[0]):
-        head = lines[0].split()
-        if len(head) > 1 and len(head[-1]) + 1 + len(lines[1]) <= most_chars:
-            lines = [" ".join(head[:-1]), f"{head[-1]} {lines[1]}"]
+    for i in range(len(lines) - 1):
+        first, _, rest = lines[i + 1].partition(" ")
+        if rest and len(lines[i]) < 0.7 * most_chars and len(lines[i]) + 1 + len(first) <= most_chars:
+            lines[i], lines[i + 1] = f"{lines[i]} {first}", rest
     return lines
 
 
-def wrap_lines(df: DataFrame, text: str = "text", most_chars: int = 30, most_lines: int = 2) -> DataFrame:
+def wrap_lines(df: DataFrame, text: str = "text", most_chars: int = 40, most_lines: int = 2) -> DataFrame:
     """X-14. Lines of a caption in order (pos, line)."""
     return _exploded(df, text, lambda t: wrap_list(t, most_chars, most_lines), "line")
 
@@ -411,14 +415,17 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
 
 
 def layout_list(words: list[str], lines: list[str]) -> list[tuple[int, int, int]]:
-    """J-10 for one caption: (word number, line, position); words that no line holds from there on are passed over."""
-    flat = [(n, p, w.strip(".,!?").lower()) for n, line in enumerate(lines) for p, w in enumerate(line.split())]
-    at, out = 0, []
-    for i, w in enumerate(words):
-        k = next((k for k in range(at, len(flat)) if flat[k][2] == w.strip(".,!?").lower()), None)
-        if k is not None:
-            out.append((i, flat[k][0], flat[k][1]))
-            at = k + 1
+    """J-10 for one caption: (word number, line, position). Each word of the lines takes the next timed word that is equal
+    without marks and case; timed words in between are passed over for good."""
+    bare = lambda w: re.sub("[.,!?]", "", w).strip().lower()
+    timed, out = iter(enumerate(words)), []
+    for n, line in enumerate(lines):
+        position = 0
+        for w in line.split():
+            k = next((i for i, t in timed if bare(t) == bare(w)), None)
+            if k is not None:
+                out.append((k, n, position))
+                position += 1
     return out
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Default topic keywords in order of precedence, and accented spellings that count as the plain one.
-TOPIC_KEYWORDS = ("haaland", "mbappe", "messi", "ronaldo", "bellingham", "yamal", "neymar", "palmer")
-TOPIC_ALIASES = {"mbappé": "mbappe"}
+TOPIC_KEYWORDS = ("ronaldo", "messi", "haaland", "mbappe", "neymar", "bellingham", "vinicius", "yamal", "barcelona", "real madrid")
+TOPIC_ALIASES = {"mbappé": "mbappe", "vinícius": "vinicius"}
 #: Inclusive duration ranges in seconds with their labels.
 DURATION_BUCKETS = ((0, 15, "10-15s"), (16, 25, "16-25s"), (26, 40, "26-40s"), (41, 10_000, "41s+"))
 

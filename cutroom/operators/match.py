@@ -182,8 +182,9 @@ def rank_media_for_script(sims: DataFrame, by: str) -> DataFrame:
 def select_clips_for_script(sims: DataFrame, audio: DataFrame, by: str, max_clip: float, max_reuse: int = 2) -> DataFrame:
     """G-3. (by, clip, seg_idx, media_idx, seconds): ceil(audio / max_clip) clips over the segments in turn.
 
-    Usage lowers a score by 0, .2, .4, .6, then 1 (with a limit of one use: by 1, or .3 where reuse must be); items at
-    their limit are out. A pool too small for the limit raises it to what is needed. A score of -1 or less is never taken.
+    Uses lower a score by 0, .2, .4, .6 and, at the limit, by 1 (with a limit of one use: by 1 while unused items are
+    left, else by .3). A pool of fewer items than clips has a limit of what is needed, or less if more wasn't allowed.
+    A score of -1 or less is never taken.
     """
 
     def fold(pdf: pd.DataFrame) -> list[tuple]:
@@ -193,16 +194,17 @@ def select_clips_for_script(sims: DataFrame, audio: DataFrame, by: str, max_clip
         pool = {s: list(zip(g["media_idx"], g["sim"], strict=True)) for s, g in pdf.sort_values("media_idx").groupby("seg_idx")}
         size = pdf["media_idx"].nunique()
         required = -(-need // size)
-        limit = max_reuse if need <= size * max_reuse else (required if max_reuse == 1 else min(required, max(max_reuse, required)))
+        limit = max_reuse if need <= size else required if max_reuse == 1 else min(required, max_reuse)
         uses, out = {}, []
         for clip in range(need):
             best, best_score = None, -1.0
             for m, sim in pool[segments[clip % len(segments)]]:
                 n = uses.get(m, 0)
-                if n >= limit:
-                    continue
-                penalty = (0.0 if n == 0 else 0.3 if limit > 1 else 1.0) if max_reuse == 1 else (0.0, 0.2, 0.4, 0.6)[n] if n < 4 else 1.0
-                if sim - penalty > best_score:
+                if limit == 1:
+                    penalty = 0.0 if n == 0 else 1.0 if len(uses) < size else 0.3
+                else:
+                    penalty = (0.0, 0.2, 0.4, 0.6)[n] if n < min(limit, 4) else 1.0
+                if sim - penalty > best_score and (sim - penalty > 0 or best_score < 0):
                     best, best_score = m, sim - penalty
             if best is None:
                 continue

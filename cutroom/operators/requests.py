@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 #: Words a second at rate 1, and the slowest rate that an estimate uses.
 WORDS_PER_SECOND, SLOWEST_RATE = 2.65, 0.5
 WORD = r"(?U)([\w’'-]+)"
-#: Fixed value: absolute claims that need a source.
-RISKY_CLAIMS = r"(?i)\b(never|always|only|greatest|worst|first ever|no one|nobody|everyone|guaranteed|proved|proven|impossible|unbeatable)\b"
-GENERIC_CTA = r"(?i)^\s*(follow|follow for more|like and subscribe|subscribe|follow us)\b"
+#: Absolute claims that need a source, calls to action without a promise, and the one that replaces them.
+RISKY_CLAIMS = r"(?i)\b(ended (?:his|her|their) career|never|always|first ever|on purpose)\b"
+GENERIC_CTAS = ("follow for more", "follow for more ⚡", "subscribe for more")
+REPLACED_CTA_START, CHANNEL_CTA = "FOLLOW FOR MORE", "FOLLOW FOR UNTOLD FOOTBALL STORIES ⚡"
 
 
 def word_count(text: str | Column) -> Column:
@@ -35,23 +36,31 @@ def narration_estimate(df: DataFrame, text: str = "script", rate: str = "voice_r
     return df.withColumns({"words": words, "estimated_s": F.round(words / (WORDS_PER_SECOND * F.greatest(F.lit(SLOWEST_RATE), F.coalesce(F.col(rate).cast("double"), F.lit(1.0)))), 3)})
 
 
-def preflight_report(requests: DataFrame, max_words: int = 120, max_seconds: float = 60.0) -> DataFrame:
-    """P-6. Errors, warnings and ok of every request, all rules at once."""
+def preflight_report(requests: DataFrame, max_words: int = 90, max_seconds: float = 0.0) -> DataFrame:
+    """P-6. Errors, warnings and ok of every request, all rules at once; a ceiling of 0 seconds is none.
+
+    A comparison needs its clips only; the rules of a narrated request, its warnings and its claims don't apply to it.
+    """
     rows = narration_estimate(requests)
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     listed = lambda *rules: F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for bad, text in rules)), lambda x: x.isNotNull())
     hook_words = word_count("hook_text")
+    told = ~F.coalesce(F.col("comparison_mode"), F.lit(False))
+    local = F.coalesce(F.col("source"), F.lit("")) == "local"
+    too_long = (F.col("estimated_s") > max_seconds) if max_seconds > 0 else F.lit(False)
     errors = listed(
         (F.coalesce(F.col("video_count"), F.lit(1)) != 1, "video_count=1 is required"), (F.coalesce(F.col("aspect"), F.lit("9:16")) != "9:16", "aspect must be 9:16"),
-        (blank("subject"), "video_subject must be supplied"), (blank("script"), "video_script must be supplied"), (blank("voice_name"), "voice_name must be supplied"),
-        (F.size(F.coalesce(F.col("terms"), F.array().cast("array<string>"))) == 0, "video_terms must be supplied"),
-        (~blank("script") & (F.col("words") < 12), "script is too short"), (F.col("words") > max_words, "script is too long"), (F.col("estimated_s") > max_seconds, "narration is too long"),
-        (F.coalesce(F.col("comparison_mode"), F.lit(False)) & (F.coalesce(F.col("comparison_clips"), F.lit(0)) < 2), "comparison needs two clips"),
-        (blank("hook_text"), "hook_text must be supplied"), (hook_words > 9, "hook is too long"), (blank("hook_cover"), "hook_cover_term must be supplied"),
+        (~told & (F.coalesce(F.col("comparison_clips"), F.lit(0)) < 2), "comparison needs two clips"),
+        (told & blank("subject"), "video_subject must be supplied"), (told & blank("script"), "video_script must be supplied"),
+        (told & ~local & (F.size(F.coalesce(F.col("terms"), F.array().cast("array<string>"))) == 0), "video_terms must be supplied"), (told & blank("voice_name"), "voice_name must be supplied"),
+        (told & ~blank("script") & (F.col("words") < 12), "script is too short"), (told & (F.col("words") > max_words), "script is too long"), (told & too_long, "narration is too long"),
+        (told & blank("hook_text"), "hook_text must be supplied"), (told & (hook_words > 9), "hook is too long"), (told & blank("hook_cover"), "hook_cover_term must be supplied"),
     )
     warnings = listed(
-        ((F.col("estimated_s") > 45) & (F.col("estimated_s") <= max_seconds), "narration is over 45 seconds"), (F.col("cta_text").rlike(GENERIC_CTA), "generic call to action"),
-        (F.size(F.coalesce(F.col("negative_terms"), F.array().cast("array<string>"))) == 0, "no contrasting negatives"),
+        (told & (F.col("estimated_s") > 45), "narration is over 45 seconds"),
+        (told & F.coalesce(F.col("hook_require_video"), F.lit(False)) & (F.size(F.coalesce(F.col("negative_terms"), F.array().cast("array<string>"))) == 0), "no contrasting negatives"),
+        (told & F.lower(F.trim(F.coalesce(F.col("cta_text"), F.lit("")))).isin(*GENERIC_CTAS), "generic call to action"),
+        (told & F.coalesce(F.col("script").rlike(RISKY_CLAIMS), F.lit(False)), "absolute claim"),
     )
     return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0)
 
@@ -63,10 +72,11 @@ def risky_claims(df: DataFrame, text: str = "script", pattern: str = RISKY_CLAIM
 
 
 def apply_growth_profile(requests: DataFrame) -> DataFrame:
-    """P-9. Turn the follow tag off and replace a generic call to action; list what changed."""
-    tag, generic = F.coalesce(F.col("loop_follow_tag"), F.lit(False)), F.coalesce(F.col("cta_text").rlike(GENERIC_CTA), F.lit(False))
-    changes = F.filter(F.array(F.when(tag, F.lit("loop_follow_tag disabled")), F.when(generic, F.lit("generic cta removed"))), lambda x: x.isNotNull())
-    return requests.withColumns({"changes": changes, "cta_text": F.when(generic, F.lit("")).otherwise(F.col("cta_text")), "loop_follow_tag": F.lit(False)})
+    """P-9. Turn the follow tag off and put a promise in place of a generic call to action; list what changed."""
+    tag = F.coalesce(F.col("loop_follow_tag"), F.lit(False))
+    generic = F.upper(F.trim(F.coalesce(F.col("cta_text"), F.lit("")))).startswith(REPLACED_CTA_START)
+    changes = F.filter(F.array(F.when(tag, F.lit("follow tag removed")), F.when(generic, F.lit("generic call to action replaced"))), lambda x: x.isNotNull())
+    return requests.withColumns({"changes": changes, "cta_text": F.when(generic, F.lit(CHANNEL_CTA)).otherwise(F.col("cta_text")), "loop_follow_tag": F.lit(False)})
 
 
 def request_fingerprint(requests: DataFrame, fields: list[str], task: str = "task_id") -> DataFrame:

@@ -94,20 +94,22 @@ def _(get):
 
 
 def _full(get):
-    return get("requests").withColumns({"terms": F.when(F.col("task_id") % 10 > 0, F.array(F.lit("goal"))), "negative_terms": F.when(F.col("task_id") % 11 > 0, F.array(F.lit("crowd")))})
+    return get("requests").withColumns({"terms": F.when(F.col("task_id") % 10 > 0, F.array(F.lit("goal"))), "negative_terms": F.when(F.col("task_id") % 11 > 0, F.array(F.lit("crowd"))), "hook_require_video": F.col("task_id") % 3 > 0})
 
 
 _PREFLIGHT = f"""select *, {_WORDS} as words, {_WORDS} / (2.65 * greatest(0.5, voice_rate)) as est, trim(coalesce(script, '')) = '' as no_script from {{requests}}"""
 
 
 @query("preflight_report", f"""select task_id, batch, concat_ws('|', case when video_count <> 1 then 'video_count=1 is required' end, case when aspect <> '9:16' then 'aspect must be 9:16' end,
-    case when trim(coalesce(subject, '')) = '' then 'video_subject must be supplied' end, case when no_script then 'video_script must be supplied' end, case when task_id % 10 = 0 then 'video_terms must be supplied' end,
+    case when comparison_mode and comparison_clips < 2 then 'comparison needs two clips' end,
+    case when not comparison_mode then nullif(concat_ws('|', case when trim(coalesce(subject, '')) = '' then 'video_subject must be supplied' end, case when no_script then 'video_script must be supplied' end, case when task_id % 10 = 0 then 'video_terms must be supplied' end,
     case when not no_script and words < 12 then 'script is too short' end, case when words > 120 then 'script is too long' end, case when round(est, 3) > 60 then 'narration is too long' end,
-    case when comparison_mode and comparison_clips < 2 then 'comparison needs two clips' end, case when hook_text = '' then 'hook_text must be supplied' end, case when hook_cover is null then 'hook_cover_term must be supplied' end) as errors,
-    concat_ws('|', case when round(est, 3) > 45 and round(est, 3) <= 60 then 'narration is over 45 seconds' end, case when cta_text like 'Follow%' then 'generic call to action' end, case when task_id % 11 = 0 then 'no contrasting negatives' end) as warnings
+    case when hook_text = '' then 'hook_text must be supplied' end, case when hook_cover is null then 'hook_cover_term must be supplied' end), '') end) as errors,
+    case when comparison_mode then '' else concat_ws('|', case when round(est, 3) > 45 then 'narration is over 45 seconds' end, case when task_id % 11 = 0 and task_id % 3 > 0 then 'no contrasting negatives' end, case when cta_text = 'Follow for more' then 'generic call to action' end,
+    case when regexp_matches(script, '(?i)\\b(ended (?:his|her|their) career|never|always|first ever|on purpose)\\b') then 'absolute claim' end) end as warnings
     from ({_PREFLIGHT})""")
 def _(get):
-    rows = requests.preflight_report(_full(get))
+    rows = requests.preflight_report(_full(get), 120, 60.0)
     return rows.select("task_id", "batch", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -123,8 +125,8 @@ def _(get):
     return rows.select("doc_id", F.array_join("claims", "|").alias("claims"))
 
 
-@query("apply_growth_profile", """select task_id, concat_ws('|', case when loop_follow_tag then 'loop_follow_tag disabled' end, case when cta_text like 'Follow%' then 'generic cta removed' end) as changes,
-    case when cta_text like 'Follow%' then '' else cta_text end as cta_text from {requests}""")
+@query("apply_growth_profile", """select task_id, concat_ws('|', case when loop_follow_tag then 'follow tag removed' end, case when cta_text like 'Follow%' then 'generic call to action replaced' end) as changes,
+    case when cta_text like 'Follow%' then 'FOLLOW FOR UNTOLD FOOTBALL STORIES ⚡' else cta_text end as cta_text from {requests}""")
 def _(get):
     return requests.apply_growth_profile(get("requests")).select("task_id", F.array_join("changes", "|").alias("changes"), "cta_text")
 
