@@ -66,6 +66,11 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array that isn't empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Prefix in the order of all sets: rare tokens by hash, then frequent ones by hash.
 
@@ -75,8 +80,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """
     n = prefix_length(len(own))
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        often = frequent[at] == own
+        often = _among(own, frequent)
         share = often.mean() if len(own) else 0.0
         own = np.concatenate([own[~often], own[often]])
     else:
@@ -204,8 +208,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         for batch in batches:
             kept = []
             for own in each(batch, "text"):
-                if np.isin(own[:64], seen.value).mean() > 0.25 if len(own) and len(seen.value) else False:
-                    kept.append(own[~np.isin(own, seen.value)])
+                if len(own) and _among(own[:64], seen.value).mean() > 0.25:
+                    kept.append(own[~_among(own, seen.value)])
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64))], names=["token"])
 
