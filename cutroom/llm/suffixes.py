@@ -131,8 +131,33 @@ def _splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
 
 
 
+#: What an anchor's row is: one of its kind in its text, one that stands for several in its text, or a range of such ones.
+ALONE, SEVERAL, RANGE = 0, 1, 2
+
+
+def fold_rows(row, lo, hi, lead, gram, own) -> tuple[np.ndarray, ...]:
+    """The anchors with a kind each. Of those that are equal within a text, as in a text that goes round in circles, one
+    stays; all of them repeat for certain, so they become ranges at once, joined where they touch."""
+    order = multikey_order(row.astype(np.uint64), gram, own)
+    same = (row[order][1:] == row[order][:-1]) & (gram[order][1:] == gram[order][:-1]) & (own[order][1:] == own[order][:-1])
+    kind, extra = np.full(len(row), ALONE), np.zeros(len(row), bool)
+    kind[order[:-1][same]] = SEVERAL
+    kind[order[1:][same]] = SEVERAL
+    extra[order[1:][same]] = True
+    many = np.flatnonzero(kind == SEVERAL)
+    if not len(many):
+        return row, lo, hi, lead, gram, own, kind
+    new = np.ones(len(many), bool)
+    new[1:] = (row[many][1:] != row[many][:-1]) | (lo[many][1:] != hi[many][:-1] + 1)
+    begin = np.flatnonzero(new)
+    first, last = many[begin], many[np.append(begin[1:], len(many)) - 1]
+    zero = np.zeros(len(first), np.uint64)
+    pairs = (row, row[first]), (lo, lo[first]), (hi, hi[last]), (lead, zero), (gram, zero), (own, zero), (kind, np.full(len(first), RANGE))
+    return tuple(np.concatenate([a[~extra], b]) for a, b in pairs)
+
+
 def compare_neighbours(rows: DataFrame) -> DataFrame:
-    """Rows (id, h, lo, hi, lead, gram, own, bucket, open) that repeat: with ``whole`` (an equal own elsewhere), ``mixed``
+    """Rows (id, h, lo, hi, lead, gram, own, kind, bucket, open) that repeat: with ``whole`` (an equal own elsewhere), ``mixed``
     (a different own under the same gram) and ``first`` (the one that stands for all equal ones). Others are left out.
     """
     fields = [f for f in rows.schema.fields if f.name not in ("bucket", "open")]
@@ -147,7 +172,14 @@ def compare_neighbours(rows: DataFrame) -> DataFrame:
             return
         cells = {x: table.column(x).combine_chunks() for x in table.column_names}
         lead, gram, own = (_unsigned(cells[x]) for x in ("lead", "gram", "own"))
-        order = multikey_order(lead, gram, own)
+        kind = cells["kind"].to_numpy()
+        ranges, rest = np.flatnonzero(kind == RANGE), np.flatnonzero(kind != RANGE)
+        if len(ranges):
+            at, flags = pa.array(ranges), [pa.array(np.full(len(ranges), x)) for x in (False, True, False, False)]
+            yield from pa.Table.from_arrays([*(cells[f.name].take(at) for f in fields), *flags], names=names).to_batches(max_chunksize=20_000)
+        if not len(rest):
+            return
+        order = rest[multikey_order(lead[rest], gram[rest], own[rest])]
         lead, gram, own = lead[order], gram[order], own[order]
         is_open = cells["open"].to_numpy(zero_copy_only=False)[order]
         run = np.ones(len(order), bool)
@@ -155,7 +187,8 @@ def compare_neighbours(rows: DataFrame) -> DataFrame:
         text = run.copy()
         text[1:] |= own[1:] != own[:-1]
         starts, texts = np.flatnonzero(run), np.flatnonzero(text)
-        whole = np.repeat(np.diff(np.append(texts, len(order))) > 1, np.diff(np.append(texts, len(order))))
+        sizes = np.diff(np.append(texts, len(order)))
+        whole = np.repeat((sizes > 1) | np.maximum.reduceat(kind[order] == SEVERAL, texts), sizes)
         n_texts = np.add.reduceat(text.astype(np.int64), starts)
         mixed = np.repeat(n_texts > 1, np.diff(np.append(starts, len(order))))
         keep = np.flatnonzero(is_open | whole | (mixed & text))
@@ -166,7 +199,7 @@ def compare_neighbours(rows: DataFrame) -> DataFrame:
     near = settle(rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(compare, schema))
     # across the boundaries: the rows of keys that fill several buckets
     spread = near.where("open").drop("whole", "mixed", "first")
-    texts = spread.groupBy("lead", "gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "lo")).alias("least"))
+    texts = spread.groupBy("lead", "gram", "own").agg(F.sum(1 + F.col("kind")).alias("n"), F.min(F.struct("id", "h", "lo")).alias("least"))
     grams = texts.groupBy("lead", "gram").agg((F.min("own") != F.max("own")).alias("mixed"))
     across = spread.join(texts, ["lead", "gram", "own"]).join(grams, ["lead", "gram"])
     across = across.withColumns({"whole": F.col("n") > 1, "first": F.struct("id", "h", "lo").eqNullSafe(F.col("least"))})
@@ -184,18 +217,22 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     rows = small_batches(docs).select(*_text_key(key, text))
     id_type = docs.schema[key].dataType
     longs = lambda names: [T.StructField(x, T.LongType()) for x in names]
-    schema = T.StructType([T.StructField("id", id_type), *longs(("h", "lo", "hi", "lead", "gram", "own", "bucket")), T.StructField("open", T.BooleanType())])
+    schema = T.StructType([T.StructField("id", id_type), *longs(("h", "lo", "hi", "lead", "gram", "own", "kind", "bucket")), T.StructField("open", T.BooleanType())])
 
-    def lay(splitters, cells, row, lo, hi, lead, gram_, own):
+    def lay(splitters, cells, row, lo, hi, lead, gram_, own, kind):
+        row = pa.array(row)
         salt = mix(own ^ cells[1].take(row).to_numpy(zero_copy_only=False).view(np.uint64) ^ lo.astype(np.uint64))
         bucket, is_open = _deal(splitters, _range_key(lead, gram_), salt)
+        bucket = np.where(kind == RANGE, (salt % np.uint64(buckets)).astype(np.int64), bucket)
+        is_open &= kind != RANGE
         numbers = [pa.array(x.view(np.int64)) for x in (lead, gram_, own)]
-        return pa.RecordBatch.from_arrays([cells[0].take(row), cells[1].take(row), pa.array(lo), pa.array(hi), *numbers, pa.array(bucket), pa.array(is_open)], names=schema.names)
+        return pa.RecordBatch.from_arrays([cells[0].take(row), cells[1].take(row), pa.array(lo), pa.array(hi), *numbers, pa.array(kind.astype(np.int64)), pa.array(bucket), pa.array(is_open)], names=schema.names)
 
     def sample_keys(batches):
         for batch in batches:
             for got in anchors_of_rows(*utf8(batch.column(0)), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(_range_key(got[3], got[4]).view(np.int64))], names=["key"])
+                _, _, _, lead, gram_, _, kind = fold_rows(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(_range_key(lead, gram_)[kind != RANGE].view(np.int64))], names=["key"])
 
     n = rows.count()
     some = rows if n <= SAMPLE_DOCS else rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
@@ -205,9 +242,9 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     def anchored(batches):
         for batch in batches:
-            for row, *rest in anchors_of_rows(*utf8(batch.column(2)), length, gram):
-                if len(row):
-                    yield lay(shared.value, batch.columns, pa.array(row), *rest)
+            for found in anchors_of_rows(*utf8(batch.column(2)), length, gram):
+                if len(found[0]):
+                    yield lay(shared.value, batch.columns, *fold_rows(*found))
 
     found = compare_neighbours(rows.mapInArrow(anchored, schema))
     whole = found.where("whole").select("id", "h", "lo", "hi")
