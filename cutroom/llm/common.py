@@ -6,6 +6,7 @@ rows at once. ``blocks`` bounds the bytes that are held in temporaries, whatever
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,8 @@ BATCH_ROWS = 1000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
@@ -58,8 +61,16 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def release() -> None:
+    """Give memory that the last batch left free back to the system: many workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and n + 1 offsets into them; a null counts as empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -162,18 +173,10 @@ FILTER_BITS = 24
 def only(rows: DataFrame, keys: DataFrame, on: list[str], absent: bool = False) -> DataFrame:
     """Rows whose key may be in ``keys`` (some others too), or those whose key isn't, without shuffling them.
 
-    A bitmap of 2**FILTER_BITS hashed keys, a fixed 2 MB, is combined on the executors and broadcast. With very many keys
-    it passes more rows than need be and changes nothing else.
+    A bitmap of 2**FILTER_BITS hashed keys, at most 2**(FILTER_BITS - 5) words, is combined before its shuffle and broadcast.
+    With very many keys it passes more rows than need be and changes nothing else.
     """
     place = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
-    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    found = words.toArrow()  # at most 2**19 numbers, however many keys there are
-    bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def test(at: pa.Array) -> pa.Array:
-        p = at.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1) == (0 if absent else 1))
-
-    return rows.where(F.arrow_udf(test, "boolean")(place))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("__bits"))
+    hit = (F.shiftright(place, 5) == F.col("__word")) & (F.col("__bits").bitwiseAND(F.expr("shiftleft(1L, cast(pmod(xxhash64({}), {}) & 31 as int))".format(", ".join(on), 1 << FILTER_BITS))) != 0)
+    return rows.join(F.broadcast(words), hit, "left_anti" if absent else "left_semi")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, id_crc, small_batches
+from .common import BLOCK_BYTES, id_crc, release, small_batches
 
 UNKNOWN = "und"
 
@@ -116,6 +116,7 @@ def identify(docs: DataFrame, model: tuple, text: str = "text", lang_out: str =
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def predict(column: pa.Array) -> pa.Array:
+        release()
         names, matrix = shared.value
         best, prob = np.full(len(column), -1), np.zeros(len(column))
         texts = column.to_pylist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, settle, small_batches
+from .common import BLOCK_BYTES, release, settle, small_batches
 from .sharding import ranked
 
 MAX_TOKENS = 2048
@@ -80,6 +80,12 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    @classmethod
+    def drop(cls) -> None:
+        """Keep nothing in a worker after its task: other operators' tasks will need the memory."""
+        cls._held.clear()
+        release()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -140,6 +146,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
                 numbers = np.array(rows, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(numbers[:, j]) for j in range(4))], names=schema.names)
                 a = z
+        WordEncoder.drop()
 
     return small_batches(docs).select(key, text).mapInArrow(cut, schema)
 
