@@ -16,6 +16,7 @@ from cutroom.llm.common import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SCORE = 0.5
+NO_ID = -(1 << 63)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; repeated rows of an id are one document."""
     links = jaccard.link_documents(docs)
-    stay = links.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
+    name = F.coalesce(F.col("doc_id"), F.lit(NO_ID))  # one plain key, so that the texts are shuffled once
+    stay = links.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("__key")).distinct()
+    kept = docs.withColumn("__key", name).join(stay, "__key", "left_semi")
+    first = Window.partitionBy("__key").orderBy(F.xxhash64(*COLUMNS))
     return kept.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*COLUMNS)
 
 
