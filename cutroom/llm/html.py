@@ -1,8 +1,10 @@
 """Main text of web pages with site template removal.
 
-Each page is parsed into blocks and element subtrees. Hashes of the subtrees outside a page's article are counted per
-host in Spark; those that recur on many pages of a host are its template and are deleted there. Inside an article or
-main element a shared passage is content, so only elements whose tag or class says otherwise are left out.
+Each page is parsed into blocks and element subtrees. Hashes of the subtrees of block elements are counted per host in
+Spark, outside and inside a page's article; those that stand on a good share of a host's different pages are its
+template and are deleted there. A paragraph amid running article text is content even so. Elements whose tag or class
+says that they hold no main text are left out before. Where a host has too few pages to count, a page's article or main
+element decides.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import only, settle, small_batches
 
 #: A tag, a comment, a declaration or an unclosed rest; attribute values may hold ">".
 _MARKUP = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
@@ -39,8 +41,12 @@ DROPPED_NAMES = frozenset(
     "recommended newsletter subscribe signup login search pagination pager widget widgets contentinfo complementary alert toolbar".split()
 )
 ROOTS = ("article", "main")
-#: Pages of one host, with different main texts, on which a subtree must stand to be template.
-TEMPLATE_PAGES = 3
+#: Elements of running text: inside a root such a template goes only where no other text of the root is before or behind it.
+PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre tbody td tfoot th thead tr".split())
+#: Pages of one host, with different main texts, on which a subtree must stand to be template, and their share of all such pages.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Stands among the hashes for the page itself: in a page's templates it says that its host was counted.
+COUNTED = 0
 
 
 class Node:
@@ -150,8 +156,8 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node]]:
 
 
 def _candidates(nodes: list[Node]) -> list[Node]:
-    """Subtrees that may be template: the outermost dropped ones and all others outside an article or main element."""
-    return [x for x in nodes if not x.root and x.tag not in ("html", "body", "head") and not x.parent.dropped]
+    """Subtrees that may be template: block elements outside and inside an article or main element."""
+    return [x for x in nodes if x.tag in BLOCK and not x.dropped and x.hash != COUNTED and x.tag not in ("html", "body", *ROOTS)]
 
 
 def _has_root(nodes: list[Node]) -> bool:
@@ -163,39 +169,48 @@ def _block_text(block: list[tuple[str, Node]]) -> str:
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article without dropped and template elements, joined by an empty line."""
+    """Blocks without dropped and template elements, joined by an empty line; only those of the article if the host wasn't counted."""
     blocks, nodes = parse(page)
-    rooted = _has_root(nodes)
-    gone = {id(x) for x in _candidates(nodes) if x.hash in template} if template else set()
-
-    def stays(node: Node | None) -> bool:
-        if rooted:
-            return node.root
-        while gone and node is not None:
-            if id(node) in gone:
-                return False
+    rooted = _has_root(nodes) and COUNTED not in template
+    found = {id(x) for x in _candidates(nodes) if x.hash in template} if template else set()
+
+    def fate(node: Node | None) -> str:
+        if rooted and not node.root:
+            return "goes"
+        out = "stays"
+        while found and node is not None:
+            if id(node) in found:
+                if not (node.root and node.tag in PROSE):
+                    return "goes"
+                out = "guarded"
             node = node.parent
-        return True
+        return out
 
-    kept = (_block_text([x for x in block if stays(x[1])]) for block in blocks)
-    return "\n\n".join(x for x in kept if x)
+    kept: list[tuple[str, bool, bool]] = []  # text, in a root, whether anything in it is no template
+    for block in blocks:
+        fates = [(x, fate(x[1])) for x in block]
+        text = _block_text([x for x, f in fates if f != "goes"])
+        if text:
+            kept.append((text, block[0][1].root, any(f == "stays" and x[0].strip() for x, f in fates)))
+    running = [i for i, (_, root, own) in enumerate(kept) if root and own] or [0, len(kept)]
+    return "\n\n".join(text for i, (text, root, own) in enumerate(kept) if own or running[0] <= i <= running[-1])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """key, url, text, n_chars (code points) of every page.
 
     A null, empty or text-free page has the empty text; a null url is a host of its own; ill-formed markup is read as far
     as it goes. Repeated rows and pages with equal main text count once towards a template, so copies of a page don't
-    make its text template; where ids repeat, they share the templates. Long pages are read whole. Other columns are not
+    make its text template; where ids repeat, they share the templates. A host with fewer different pages than template_pages isn't counted. Long pages are read whole. Other columns are not
     read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = small_batches(pages).select(F.col(key).alias("id"), host.alias("host"), F.col(page).alias("page"))
-    schema = T.StructType([T.StructField("id", pages.schema[key].dataType), T.StructField("host", T.StringType()), T.StructField("body", T.LongType()), T.StructField("hash", T.LongType())])
+    rows = small_batches(pages).select(F.col(key).alias("id"), F.xxhash64(host).alias("host"), F.col(page).alias("page"))
+    schema = T.StructType([T.StructField("id", pages.schema[key].dataType), T.StructField("host", T.LongType()), T.StructField("body", T.LongType()), T.StructField("hash", T.LongType())])
 
     def subtrees(batches):
         for batch in batches:
@@ -205,21 +220,22 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 if not raw:
                     continue
                 blocks, nodes = parse(raw)
-                found = {x.hash for x in _candidates(nodes)}
-                if found:
-                    rooted = _has_root(nodes)
-                    text = "\n".join(_block_text([x for x in block if x[1].root or not rooted]) for block in blocks).encode("utf-8", "replace")
-                    whole = zlib.crc32(text) << 31 ^ zlib.adler32(text)
-                    for x in found:
-                        take.append(i)
-                        body.append(whole)
-                        hashes.append(_signed(x))
+                found = {COUNTED, *(x.hash for x in _candidates(nodes))}
+                rooted = _has_root(nodes)
+                text = "\n".join(_block_text([x for x in block if x[1].root or not rooted]) for block in blocks).encode("utf-8", "replace")
+                whole = zlib.crc32(text) << 31 ^ zlib.adler32(text)
+                for x in found:
+                    take.append(i)
+                    body.append(whole)
+                    hashes.append(_signed(x))
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(body, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "host", "body", "hash"])
 
     seen = rows.mapInArrow(subtrees, schema)
-    often = seen.groupBy("host", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages).select("host", "hash")
-    mine = seen.join(often, ["host", "hash"], "left_semi").groupBy("id").agg(F.collect_set("hash").alias("template"))
+    counts = settle(seen.groupBy("host", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages))
+    pages_of = counts.where(F.col("hash") == COUNTED).select("host", F.col("n").alias("pages"))
+    often = settle(counts.join(pages_of, "host").where(F.col("n") >= template_share * F.col("pages")).select("host", "hash"))
+    mine = only(seen, often, ["host", "hash"]).select("id", "host", "hash").join(often, ["host", "hash"], "left_semi").groupBy("id").agg(F.collect_set("hash").alias("template"))
     joined = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(page).alias("page")).join(mine, "id", "left")
 
     def read(pages_: pa.Array, templates: pa.Array) -> pa.Array:

@@ -275,6 +275,17 @@ def test_templates_are_removed_per_host(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_counts_decide_inside_and_outside_an_article(spark):
+    box, said, quote = "<div><p>Follow us</p></div>", "<p>Sign up for more</p>", "<p>As they say</p>"
+    pages = [(n, f"http://a.com/{n}", f"<body><div>Top</div><div>Lead {n}</div><article><h1>Title {n}</h1><p>One {n}</p>{box}{quote}<p>Two <b>{n}</b></p>{said}</article></body>") for n in range(6)]
+    pages += [(n, f"http://a.com/{n}", f"<article><p>Few {n}</p><div>on three</div></article>") for n in (6, 7, 8)]
+    pages += [(20, "http://b.com/1", pages[0][2])]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Lead 2\n\nTitle 2\n\nOne 2\n\nAs they say\n\nTwo 2"
+    assert got[7] == "Few 7\n\non three"  # three of nine pages are no half
+    assert got[20] == "Title 0\n\nOne 0\n\nFollow us\n\nAs they say\n\nTwo 0\n\nSign up for more"
+
+
 # --- quality
 
 
