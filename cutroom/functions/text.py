@@ -360,9 +360,15 @@ def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as bits of one whole number."""
-    if not a or not b:
-        return len(a) + len(b)
+    """Levenshtein distance, a column of the table at a time as bits of one whole number.
+
+    If the shorter text is the longer one without some characters, the difference in length is the distance.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    rest = iter(a)
+    if all(x in rest for x in b):
+        return len(a) - len(b)
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -384,6 +390,12 @@ def _similarity(a: str, b: str) -> float:
     return 1 - edit_distance(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
+def _reach(a: str, b: str) -> float:
+    """What the similarity of two texts of these lengths is at most."""
+    n, m = len(a.lower()), len(b.lower())
+    return 1 - abs(n - m) / max(n, m) if n or m else 1.0
+
+
 def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
     """J-6. Cues rewritten as script lines: equal, or following cues are merged while that brings them closer.
 
@@ -402,6 +414,8 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
             score = _similarity(text, line["line"])
             while text != line["line"] and i + 1 < len(heard):
                 joined = f"{text} {heard[i + 1]['text']}"
+                if _reach(joined, line["line"]) <= score:
+                    break
                 better = _similarity(joined, line["line"])
                 if better <= score:
                     break

@@ -167,9 +167,8 @@ def _(get):
 
 @query("caption_correction")
 def _(get):
-    cues = _units(get).where("char_length(text) < 400 and cue_idx < 40").withColumn("text", F.regexp_replace("text", "[.,]", ""))
-    lines = get("lines").where("char_length(line) < 400 and line_idx < 40").select("script_id", F.col("line_idx"), "line")
-    return x.caption_correction(cues, lines, "script_id")
+    cues = _units(get).withColumn("text", F.regexp_replace("text", "[.,]", ""))
+    return x.caption_correction(cues, get("lines"), "script_id")
 
 
 @query("caption_word_layout")
