@@ -26,12 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; repeated rows of an id are one document."""
-    links = jaccard.link_documents(docs)
-    name = F.coalesce(F.col("doc_id"), F.lit(NO_ID))  # one plain key, so that the texts are shuffled once
-    stay = links.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("__key")).distinct()
-    kept = docs.withColumn("__key", name).join(stay, "__key", "left_semi")
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*COLUMNS))
+    """Of each group of linked texts the row with the smallest id, a null id last; rows with equal id and text are one."""
+    alone = F.col("component").isNull()
+    rows = jaccard.link_rows(docs).groupBy("component", F.when(alone, F.col("doc_id")).alias("__i"), F.when(alone, F.col("text_hash")).alias("__h"))
+    stay = rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("l"))
+    name = lambda c: F.coalesce(F.col(c), F.lit(NO_ID)).alias("__id")  # noqa: E731  # plain keys, so that the texts are shuffled once
+    stay = stay.select(name("l.doc_id"), F.col("l.text_hash").alias("__text"))
+    kept = docs.select("*", name("doc_id"), F.xxhash64("text").alias("__text")).join(stay, ["__id", "__text"], "left_semi")
+    first = Window.partitionBy("__id", "__text").orderBy(F.xxhash64(*COLUMNS))
     return kept.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*COLUMNS)
 
 

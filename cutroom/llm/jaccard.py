@@ -174,13 +174,8 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WOR
     return settle(rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, dist double, linked boolean"))
 
 
-def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links) and class_id (equal sets) of every row.
-
-    A null or empty text, or one without words, has the empty set and is linked with nothing; its component is its own key. Texts are read
-    whole. Rows that repeat a key are one node of the link graph; a null key is never the smallest unless it is alone.
-    Other columns are not read. An empty table gives an empty result.
-    """
+def _linked(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, h, n, cid), classes (cid, least, low) and all verified links of classes (a, b)."""
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -229,7 +224,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists], names=schema.names)
 
     members = settle(rows.mapInArrow(described, schema))
-    classes = settle(members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    classes = settle(members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
 
     # answers of the leaders: in each list and size band the class that has the token first, as the least edited one has
     lists = _lists(classes).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))
@@ -248,12 +243,34 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     open_lists = open_lists.select("token", "cid", "n", "pos", "comp", F.coalesce("leader", "cid").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
     rest = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(settle(rest), classes, rows, k).where("linked").select("a", "b")
+    return members, classes, edges.unionByName(more)
+
+
+def link_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """key, text_hash (xxhash64) and component (a name of the group of linked texts) of every row.
+
+    Only texts link: rows that repeat a key, or have none, are apart unless their texts are linked. A text without words
+    is linked with nothing; its component is null.
+    """
+    members, _, edges = _linked(docs, key, text, k)
+    out = members.join(components(edges).withColumnRenamed("node", "cid"), "cid", "left")
+    return out.select(F.col("id").alias(key), F.col("h").alias("text_hash"), F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("component"))
+
+
+def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable by links) and class_id (equal sets) of every row.
+
+    A null or empty text, or one without words, has the empty set and is linked with nothing; its component is its own key. Texts are read
+    whole. Rows that repeat a key are one node of the link graph; a null key is never the smallest unless it is alone.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    members, classes, edges = _linked(docs, key, text, k)
 
     # rows that repeat a key are one node
     repeated = members.where("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("id", "a")
     repeated = members.where("n > 0").join(repeated, "id").where("cid <> a").select("a", F.col("cid").alias("b"))
-    comps = components(edges.unionByName(more).unionByName(repeated)).withColumnRenamed("node", "cid")
-    named = settle(classes.select("cid", F.col("least.id").alias("low")).join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    comps = components(edges.unionByName(repeated)).withColumnRenamed("node", "cid")
+    named = settle(classes.select("cid", "low").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "component").select("cid", "component_id")
     out = members.select("id", "n", "cid").join(named, "cid", "left")

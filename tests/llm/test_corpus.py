@@ -433,6 +433,13 @@ def test_links_of_odd_tables(odd, empty):
     assert jaccard.link_documents(empty).count() == 0
 
 
+def test_links_of_copies_without_an_id(spark):
+    rng = random.Random(3)
+    copy, other = words(rng, 30, VOCABULARY), words(rng, 30, VOCABULARY)
+    got = jaccard.link_documents(table(spark, [(None, copy), (7, copy), (5, copy), (None, other), (9, words(rng, 30, VOCABULARY))])).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(None, 5), (7, 5), (5, 5), (None, None), (9, 9)])
+
+
 def test_blocks_are_skipped_without_loss():
     rng = np.random.default_rng(9)
     n = 300

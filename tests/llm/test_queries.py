@@ -156,3 +156,13 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         if name != "packing":
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (words(rng, 60, VOCABULARY) for _ in range(5))
+    texts = [(None, a), (None, a), (None, b), (None, b + " more"), (None, c), (7, d), (7, d), (7, e), (7, e + " more"), (5, c), (8, a + " more"), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "src", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    left = next(t for t in (b, b + " more") if (None, t) in got), next(t for t in (e, e + " more") if (7, t) in got)
+    assert got == Counter([(8, a + " more"), (None, left[0]), (5, c), (7, d), (7, left[1]), (9, None), (None, "")])
