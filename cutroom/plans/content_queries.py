@@ -125,6 +125,12 @@ def _(get):
     return rows.select("doc_id", F.array_join("claims", "|").alias("claims"))
 
 
+@query("risky_claims_whole")
+def _(get):
+    rows = requests.risky_claims(get("documents"), "text", r"(?i)\b(the|only|her|that|on)\b")
+    return rows.select("doc_id", F.array_join("claims", "|").alias("claims"))
+
+
 @query("apply_growth_profile", """select task_id, concat_ws('|', case when loop_follow_tag then 'follow tag removed' end, case when cta_text like 'Follow%' then 'generic call to action replaced' end) as changes,
     case when cta_text like 'Follow%' then 'FOLLOW FOR UNTOLD FOOTBALL STORIES ⚡' else cta_text end as cta_text from {requests}""")
 def _(get):

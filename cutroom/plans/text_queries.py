@@ -87,6 +87,11 @@ def _(get):
     return x.hook_validity(get("documents").where("lang = 'en'").select("doc_id", "text"), "text", "text").select("doc_id", "hook_text", "from_reply")
 
 
+@query("hook_validity_whole")
+def _(get):
+    return x.hook_validity(_docs(get), "text", "text").select("doc_id", "hook_text", "from_reply")
+
+
 @query("normalise_for_speech")
 def _(get):
     return x.normalise_for_speech(_docs(get)).select("doc_id", "spoken")
@@ -128,6 +133,15 @@ def _(get):
     return x.levenshtein_similarity(rows, "a", "b").select("doc_id", "similarity")
 
 
+@query("levenshtein_similarity_whole")
+def _(get):
+    """Whole adjacent lines of every document; DuckDB counts bytes outside ASCII, so without SQL."""
+    from pyspark.sql import Window
+
+    rows = get("lines").withColumn("next", F.lead("line").over(Window.partitionBy("script_id").orderBy("line_idx"))).where("next is not null")
+    return x.levenshtein_similarity(rows, "line", "next").select("script_id", "line_idx", "similarity")
+
+
 @query("best_fuzzy_match", """select doc_id, a, arg_max(b, (s, b)) as b, max(s) as similarity from (select l.doc_id, a, b, round(1 - levenshtein(lower(a), lower(b)) / cast(greatest(length(a), length(b)) as double), 6) as s from
     (select script_id as doc_id, line as a from {lines} where line_idx = 0 and length(line) = octet_length(encode(line))) l join (select script_id as doc_id, line as b from {lines} where line_idx > 0 and length(line) = octet_length(encode(line))) r on l.doc_id = r.doc_id and abs(length(a) // 10 - length(b) // 10) <= 1) group by 1, 2""")
 def _(get):

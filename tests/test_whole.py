@@ -48,3 +48,15 @@ def test_caption_correction_of_long_lines_and_texts(spark, tmp_path):
             i += 1
     got = catalog.QUERIES["caption_correction"](spark, str(tmp_path)).collect()
     assert len(got) == 64 and {tuple(r) for r in got} == want
+
+
+def test_text_queries_of_every_language_and_length(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["\n".join([prose(rng, 90), prose(rng, 80) + " É", prose(rng, 2)]), "Court été\nThe only one, on her", "sin líneas"]
+    documents(spark, tmp_path, texts)
+    run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    lines = [t.split("\n") for t in texts]
+    assert run("levenshtein_similarity_whole") == {(d, n, round(plain_similarity(a, b), 6)) for d, all_ in enumerate(lines) for n, (a, b) in enumerate(zip(all_, all_[1:]))}
+    hooks = [t.strip().upper() if 10 <= len(t.strip()) <= 80 else None for t in (x[0] for x in lines)]
+    assert run("hook_validity_whole") == {(d, h or " ".join(texts[d].split()[:5]).upper(), h is not None) for d, h in enumerate(hooks)}
+    assert run("risky_claims_whole") == {(0, ""), (1, "her|on|only|the"), (2, "")}
