@@ -112,21 +112,30 @@ def _reasons(*rules: tuple[Column, str]) -> Column:
     return F.filter(F.array(*(F.when(bad, F.lit(text)) for bad, text in rules)), lambda x: x.isNotNull())
 
 
-def media_plan_verdict(clips: DataFrame, plans: DataFrame, by: str = "plan_id", min_clips: int = 3, min_sources: int = 2) -> DataFrame:
-    """A-7. Every reason for which a plan's media fail (an empty list passes). Plans without clips fail too."""
+def media_plan_verdict(clips: DataFrame, plans: DataFrame, by: str = "plan_id", min_clips: int = 3, min_sources: int = 0, image_seconds: float = 2.0) -> DataFrame:
+    """A-7. Every reason for which a plan's media fail (an empty list passes). Plans without clips fail too.
+
+    A still has no length or shape of its own: it counts ``image_seconds`` and needs only to be readable. A clip without
+    width, height and duration has no video stream. ``min_sources`` of 0 is no rule.
+    """
     video = ~F.col("is_image")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    side = lambda c: F.coalesce(F.col(c), F.lit(0))
+    seconds = F.coalesce(F.col("duration"), F.lit(0.0))
+    no_stream = F.col("width").isNull() & F.col("height").isNull() & F.col("duration").isNull()
+    shapeless = (side("width") == 0) | (side("height") == 0)
     got = clips.groupBy(by).agg(
-        F.count("*").alias("n"), n(F.col("bytes") < 1024).alias("small"), n(video & (F.col("duration") < 0.35)).alias("short"), n(video & (F.col("width") >= F.col("height"))).alias("wide"),
+        F.count("*").alias("n"), n(side("bytes") < 1024).alias("small"), n(no_stream).alias("silent"), n(~video & ~no_stream & shapeless).alias("unreadable"),
+        n(video & ~no_stream & (seconds < 0.35)).alias("short"), n(video & ~no_stream & (shapeless | (F.col("height") <= F.col("width")))).alias("wide"),
         n((F.col("brightness") < 8) | (F.col("brightness") > 247) | (F.col("contrast") < 4) | (F.col("edge_detail") < 1.5)).alias("bad"),
-        F.count_distinct("frame_signature").alias("frames"), F.count_distinct("source").alias("sources"), F.sum("duration").alias("seconds"),
+        F.count_distinct("frame_signature").alias("frames"), F.count_distinct("source").alias("sources"), F.sum(F.when(video, seconds).otherwise(image_seconds)).alias("seconds"),
     )
-    rows = plans.join(got, by, "left").fillna(0, ["n", "small", "short", "wide", "bad", "frames", "sources", "seconds"])
+    rows = plans.join(got, by, "left").fillna(0, ["n", "small", "silent", "unreadable", "short", "wide", "bad", "frames", "sources", "seconds"])
     failures = _reasons(
-        (F.col("n") < min_clips, "too few clips"), (F.col("small") > 0, "file too small"), (F.col("short") > 0, "clip too short"), (F.col("wide") > 0, "not portrait"),
-        (F.col("bad") > F.greatest(F.lit(1), F.floor(F.col("n") / 3)), "too many unusable frames"),
+        (F.col("n") < min_clips, "too few clips"), (F.col("small") > 0, "file too small"), (F.col("silent") > 0, "no video stream"), (F.col("unreadable") > 0, "unreadable image"),
+        (F.col("short") > 0, "clip too short"), (F.col("wide") > 0, "not portrait"), (F.col("bad") > F.greatest(F.lit(1), F.floor(F.col("n") / 3)), "too many unusable frames"),
         ((F.col("n") >= 5) & (F.col("frames") < F.greatest(F.lit(3), F.floor(F.col("n") * 0.4))), "too few different frames"),
-        (F.col("sources") < min_sources, "too few sources"), (F.col("seconds") + 0.2 < F.col("audio_s"), "shorter than the audio"),
+        ((F.lit(min_sources) > 0) & (F.col("sources") < min_sources), "too few sources"), (F.col("seconds") + 0.2 < F.col("audio_s"), "shorter than the audio"),
     )
     return rows.select(by, F.col("n").alias("clips"), failures.alias("failures")).withColumn("ok", F.size("failures") == 0)
 

@@ -32,34 +32,46 @@ def overlay_defaults(requests_raw: DataFrame, fields: list[str]) -> DataFrame:
 
 def narration_estimate(df: DataFrame, text: str = "script", rate: str = "voice_rate") -> DataFrame:
     """P-7. Words, and seconds of speech at the request's rate."""
-    words = word_count(text)
-    return df.withColumns({"words": words, "estimated_s": F.round(words / (WORDS_PER_SECOND * F.greatest(F.lit(SLOWEST_RATE), F.coalesce(F.col(rate).cast("double"), F.lit(1.0)))), 3)})
+    return df.withColumns({"words": word_count(text), "estimated_s": F.round(_seconds(word_count(text), rate), 3)})
+
+
+def _seconds(words: Column, rate: str) -> Column:
+    """Seconds of speech; no rate, or a rate of 0, is 1."""
+    return words / (WORDS_PER_SECOND * F.greatest(F.lit(SLOWEST_RATE), F.coalesce(F.nullif(F.col(rate).cast("double"), F.lit(0.0)), F.lit(1.0))))
 
 
 def preflight_report(requests: DataFrame, max_words: int = 90, max_seconds: float = 0.0) -> DataFrame:
     """P-6. Errors, warnings and ok of every request, all rules at once; a ceiling of 0 seconds is none.
 
     A comparison needs its clips only; the rules of a narrated request, its warnings and its claims don't apply to it.
+    Optional columns: ``enable_hook_card`` and ``enable_cta`` (null: on) switch the rules of the hook and of the call to
+    action, ``hook_image_path`` stands in for a cover term, ``max_words`` and ``max_seconds`` (null or 0: the arguments)
+    are a request's own limits.
     """
     rows = narration_estimate(requests)
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    given = lambda c, kind: F.col(c).cast(kind) if c in requests.columns else F.lit(None).cast(kind)
+    blank = lambda c: F.trim(F.coalesce(given(c, "string"), F.lit(""))) == ""
+    none_of = lambda c: F.size(F.coalesce(given(c, "array<string>"), F.array().cast("array<string>"))) == 0
+    limit = lambda c, kind, most: F.coalesce(F.nullif(given(c, kind), F.lit(0).cast(kind)), F.lit(most).cast(kind))
     listed = lambda *rules: F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for bad, text in rules)), lambda x: x.isNotNull())
-    hook_words = word_count("hook_text")
     told = ~F.coalesce(F.col("comparison_mode"), F.lit(False))
+    hook, cta = (told & F.coalesce(given(c, "boolean"), F.lit(True)) for c in ("enable_hook_card", "enable_cta"))
     local = F.coalesce(F.col("source"), F.lit("")) == "local"
-    too_long = (F.col("estimated_s") > max_seconds) if max_seconds > 0 else F.lit(False)
+    seconds, ceiling = _seconds(F.col("words"), "voice_rate"), limit("max_seconds", "double", max_seconds)
     errors = listed(
-        (F.coalesce(F.col("video_count"), F.lit(1)) != 1, "video_count=1 is required"), (F.coalesce(F.col("aspect"), F.lit("9:16")) != "9:16", "aspect must be 9:16"),
+        (F.coalesce(F.nullif(F.col("video_count"), F.lit(0)), F.lit(1)) != 1, "video_count=1 is required"), (F.coalesce(F.col("aspect"), F.lit("9:16")) != "9:16", "aspect must be 9:16"),
         (~told & (F.coalesce(F.col("comparison_clips"), F.lit(0)) < 2), "comparison needs two clips"),
         (told & blank("subject"), "video_subject must be supplied"), (told & blank("script"), "video_script must be supplied"),
-        (told & ~local & (F.size(F.coalesce(F.col("terms"), F.array().cast("array<string>"))) == 0), "video_terms must be supplied"), (told & blank("voice_name"), "voice_name must be supplied"),
-        (told & ~blank("script") & (F.col("words") < 12), "script is too short"), (told & (F.col("words") > max_words), "script is too long"), (told & too_long, "narration is too long"),
-        (told & blank("hook_text"), "hook_text must be supplied"), (told & (hook_words > 9), "hook is too long"), (told & blank("hook_cover"), "hook_cover_term must be supplied"),
+        (told & ~local & none_of("terms"), "video_terms must be supplied"), (told & blank("voice_name"), "voice_name must be supplied"),
+        (told & ~blank("script") & (F.col("words") < 12), "script is too short"), (told & (F.col("words") > limit("max_words", "int", max_words)), "script is too long"),
+        (told & (ceiling > 0) & (seconds > ceiling), "narration is too long"),
+        (hook & blank("hook_text"), "hook_text must be supplied"), (hook & (word_count("hook_text") > 9), "hook is too long"),
+        (hook & blank("hook_cover") & blank("hook_image_path"), "hook_cover_term or hook_image_path must be supplied"),
     )
     warnings = listed(
-        (told & (F.col("estimated_s") > 45), "narration is over 45 seconds"),
-        (told & F.coalesce(F.col("hook_require_video"), F.lit(False)) & (F.size(F.coalesce(F.col("negative_terms"), F.array().cast("array<string>"))) == 0), "no contrasting negatives"),
-        (told & F.lower(F.trim(F.coalesce(F.col("cta_text"), F.lit("")))).isin(*GENERIC_CTAS), "generic call to action"),
+        (told & (seconds > 45), "narration is over 45 seconds"),
+        (hook & F.coalesce(F.col("hook_require_video"), F.lit(False)) & none_of("negative_terms"), "no contrasting negatives"),
+        (cta & F.lower(F.trim(F.coalesce(F.col("cta_text"), F.lit("")))).isin(*GENERIC_CTAS), "generic call to action"),
         (told & F.coalesce(F.col("script").rlike(RISKY_CLAIMS), F.lit(False)), "absolute claim"),
     )
     return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0)

@@ -88,7 +88,7 @@ def _(get):
     return requests.overlay_defaults(raw, ["subject", "voice_rate"])
 
 
-@query("narration_estimate", f"select task_id, cast({_WORDS} as int) as words, round({_WORDS} / (2.65 * greatest(0.5, voice_rate)), 3) as estimated_s from {{requests}}")
+@query("narration_estimate", f"select task_id, cast({_WORDS} as int) as words, round({_WORDS} / (2.65 * greatest(0.5, coalesce(nullif(voice_rate, 0), 1))), 3) as estimated_s from {{requests}}")
 def _(get):
     return requests.narration_estimate(get("requests")).select("task_id", "words", "estimated_s")
 
@@ -97,16 +97,17 @@ def _full(get):
     return get("requests").withColumns({"terms": F.when(F.col("task_id") % 10 > 0, F.array(F.lit("goal"))), "negative_terms": F.when(F.col("task_id") % 11 > 0, F.array(F.lit("crowd"))), "hook_require_video": F.col("task_id") % 3 > 0})
 
 
-_PREFLIGHT = f"""select *, {_WORDS} as words, {_WORDS} / (2.65 * greatest(0.5, voice_rate)) as est, trim(coalesce(script, '')) = '' as no_script from {{requests}}"""
+_PREFLIGHT = f"""select *, {_WORDS} as words, {_WORDS} / (2.65 * greatest(0.5, coalesce(nullif(voice_rate, 0), 1))) as est, trim(coalesce(script, '')) = '' as no_script, coalesce(nullif(max_words, 0), 120) as most,
+    coalesce(nullif(max_seconds, 0), 60) as ceiling, not comparison_mode as told, not comparison_mode and coalesce(enable_hook_card, true) as hook, not comparison_mode and coalesce(enable_cta, true) as cta from {{requests}}"""
 
 
 @query("preflight_report", f"""select task_id, batch, concat_ws('|', case when video_count <> 1 then 'video_count=1 is required' end, case when aspect <> '9:16' then 'aspect must be 9:16' end,
-    case when comparison_mode and comparison_clips < 2 then 'comparison needs two clips' end,
-    case when not comparison_mode then nullif(concat_ws('|', case when trim(coalesce(subject, '')) = '' then 'video_subject must be supplied' end, case when no_script then 'video_script must be supplied' end, case when task_id % 10 = 0 then 'video_terms must be supplied' end,
-    case when not no_script and words < 12 then 'script is too short' end, case when words > 120 then 'script is too long' end, case when round(est, 3) > 60 then 'narration is too long' end,
-    case when hook_text = '' then 'hook_text must be supplied' end, case when hook_cover is null then 'hook_cover_term must be supplied' end), '') end) as errors,
-    case when comparison_mode then '' else concat_ws('|', case when round(est, 3) > 45 then 'narration is over 45 seconds' end, case when task_id % 11 = 0 and task_id % 3 > 0 then 'no contrasting negatives' end, case when cta_text = 'Follow for more' then 'generic call to action' end,
-    case when regexp_matches(script, '(?i)\\b(ended (?:his|her|their) career|never|always|first ever|on purpose)\\b') then 'absolute claim' end) end as warnings
+    case when comparison_mode and comparison_clips < 2 then 'comparison needs two clips' end, case when told and trim(coalesce(subject, '')) = '' then 'video_subject must be supplied' end, case when told and no_script then 'video_script must be supplied' end,
+    case when told and task_id % 10 = 0 then 'video_terms must be supplied' end, case when told and not no_script and words < 12 then 'script is too short' end, case when told and words > most then 'script is too long' end,
+    case when told and est > ceiling then 'narration is too long' end, case when hook and hook_text = '' then 'hook_text must be supplied' end,
+    case when hook and hook_cover is null and trim(coalesce(hook_image_path, '')) = '' then 'hook_cover_term or hook_image_path must be supplied' end) as errors,
+    concat_ws('|', case when told and est > 45 then 'narration is over 45 seconds' end, case when hook and task_id % 11 = 0 and task_id % 3 > 0 then 'no contrasting negatives' end, case when cta and cta_text = 'Follow for more' then 'generic call to action' end,
+    case when told and regexp_matches(script, '(?i)\\b(ended (?:his|her|their) career|never|always|first ever|on purpose)\\b') then 'absolute claim' end) as warnings
     from ({_PREFLIGHT})""")
 def _(get):
     rows = requests.preflight_report(_full(get), 120, 60.0)
@@ -119,14 +120,9 @@ def _(get):
     return requests.batch_status_summary(get("requests").withColumn("ok", F.expr("subject is not null and video_count = 1")))
 
 
-@query("risky_claims", r"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)\b(the|only|her|that|on)\b', 1), lambda x: lower(x)))), '|') as claims from {documents} where lang = 'en'""")
-def _(get):
-    rows = requests.risky_claims(get("documents").where("lang = 'en'"), "text", r"(?i)\b(the|only|her|that|on)\b")
-    return rows.select("doc_id", F.array_join("claims", "|").alias("claims"))
-
-
-@query("risky_claims_whole")
+@query("risky_claims", r"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(concat(' ', regexp_replace(coalesce(text, ''), '([^\p{L}\p{N}_])', '\1\1', 'g'), ' '), '(?i)[^\p{L}\p{N}_](the|only|her|that|on)[^\p{L}\p{N}_]', 1), lambda x: lower(x)))), '|') as claims from {documents}""")
 def _(get):
+    # a word's edge is any character that is no letter, digit or _, in whatever language; RE2 has it for ASCII only
     rows = requests.risky_claims(get("documents"), "text", r"(?i)\b(the|only|her|that|on)\b")
     return rows.select("doc_id", F.array_join("claims", "|").alias("claims"))
 
@@ -184,7 +180,7 @@ def _(get):
 
 @query("overlap_and_stale_runs")
 def _(get):
-    rows = get("tasks").selectExpr("job as slot", "event_id as run_id", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 as start_s", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 + progress * 20 as end_s")
+    rows = get("tasks").selectExpr("task_id as slot", "event_id as run_id", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 as start_s", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 + progress * 20 as end_s")
     return tasks.overlap_and_stale_runs(rows, "slot")
 
 

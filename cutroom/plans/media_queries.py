@@ -90,13 +90,20 @@ def _(get):
     return c.reuse_distribution(get("candidates"), "pool", "term")
 
 
-@query("media_plan_verdict", """select pool as plan_id, n as clips, concat_ws('|', case when n < 3 then 'too few clips' end, case when small > 0 then 'file too small' end, case when short > 0 then 'clip too short' end, case when wide > 0 then 'not portrait' end,
-    case when bad > greatest(1, floor(n / 3)) then 'too many unusable frames' end, case when n >= 5 and frames < greatest(3, floor(n * 0.4)) then 'too few different frames' end, case when sources < 2 then 'too few sources' end, case when seconds + 0.2 < audio_s then 'shorter than the audio' end) as failures
-    from (select k.pool, max(audio_s) as audio_s, count(*) as n, count(*) filter (bytes < 1024) as small, count(*) filter (page_id % 2 = 0 and duration < 0.35) as short, count(*) filter (page_id % 2 = 0 and width >= height) as wide,
-    count(*) filter (brightness < 8 or brightness > 247 or contrast < 4 or edge_detail < 1.5) as bad, count(distinct page_id % 40) as frames, count(distinct page_id % 40) as sources, sum(duration) as seconds from {candidates} k join {pools} p on k.pool = p.pool group by k.pool)""")
+@query("media_plan_verdict", """select pool as plan_id, n as clips, concat_ws('|', case when n < 3 then 'too few clips' end, case when small > 0 then 'file too small' end, case when silent > 0 then 'no video stream' end, case when unreadable > 0 then 'unreadable image' end,
+    case when short > 0 then 'clip too short' end, case when wide > 0 then 'not portrait' end, case when bad > greatest(1, floor(n / 3)) then 'too many unusable frames' end, case when n >= 5 and frames < greatest(3, floor(n * 0.4)) then 'too few different frames' end,
+    case when pool % 3 = 0 and sources < 39 then 'too few sources' end, case when seconds + 0.2 < audio_s then 'shorter than the audio' end) as failures
+    from (select k.pool, max(audio_s) * 5 as audio_s, count(*) as n, count(*) filter (bytes < 1024) as small, count(*) filter (page_id % 131 = 5) as silent, count(*) filter (page_id % 67 = 3 and page_id % 131 <> 5 and page_id % 2 <> 0) as unreadable,
+    count(*) filter (page_id % 61 = 4 and page_id % 131 <> 5 and page_id % 2 = 0) as short, count(*) filter (page_id % 131 <> 5 and page_id % 2 = 0 and (page_id % 67 = 3 or width >= height)) as wide,
+    count(*) filter (brightness < 8 or brightness > 247 or contrast < 4 or edge_detail < 1.5) as bad, count(distinct page_id % 40) as frames, count(distinct page_id % 40) as sources,
+    sum(case when page_id % 2 <> 0 then 2 when page_id % 131 = 5 then 0 when page_id % 61 = 4 then 0.2 else duration end) as seconds from {candidates} k join {pools} p on k.pool = p.pool group by k.pool)""")
 def _(get):
     clips = c.source_key(get("candidates")).withColumns({"plan_id": F.col("pool"), "is_image": F.expr("page_id % 2 <> 0"), "frame_signature": F.col("source")})
-    out = c.media_plan_verdict(clips, get("pools").withColumnRenamed("pool", "plan_id"))
+    clips = clips.withColumns({"width": F.expr("case when page_id % 131 = 5 then null when page_id % 67 = 3 then 0 else width end"), "height": F.expr("case when page_id % 131 = 5 then null else height end")})
+    clips = clips.withColumn("duration", F.expr("case when page_id % 131 = 5 then null when page_id % 61 = 4 then 0.2D else duration end"))
+    plans = get("pools").select(F.col("pool").alias("plan_id"), (F.col("audio_s") * 5).alias("audio_s"))
+    some = c.media_plan_verdict(clips, plans.where("plan_id % 3 = 0"), min_sources=39)
+    out = some.unionByName(c.media_plan_verdict(clips, plans.where("plan_id % 3 <> 0")))
     return out.select("plan_id", "clips", F.array_join("failures", "|").alias("failures"))
 
 
@@ -198,9 +205,9 @@ def _(get):
 
 
 @query("relevance_filter", f"""select script_id, media_idx from (select *, score >= 0.3 or is_video as g, count(*) filter (score >= 0.3 or is_video) over (partition by script_id) as n,
-    row_number() over (partition by script_id order by score desc, media_idx) as rk from ({_SCORES})) where case when n < 80 then rk <= 80 else g end""")
+    row_number() over (partition by script_id order by score desc, media_idx) as rk from ({_SCORES})) where case when n < 24 then rk <= 24 else g end""")
 def _(get):
-    return match.relevance_filter(_scores(get), "script_id", 0.3, 80).select("script_id", "media_idx")
+    return match.relevance_filter(_scores(get), "script_id", 0.3, 24).select("script_id", "media_idx")
 
 
 @query("hook_candidate", f"""select script_id, arg_max(media_idx, (s, -media_idx)) filter (ok) as idx, round(max(s) filter (ok), 6) as score from (select *, pos >= 0.1 and con >= 0 as ok, round(pos + 0.04 * sharp + 0.10 * con, 9) as s from (select script_id, media_idx, score as pos, score - 0.2 as con,
