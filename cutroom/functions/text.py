@@ -298,15 +298,25 @@ def levenshtein_similarity(df: DataFrame, a: str, b: str, out: str = "similarity
 
 
 def best_fuzzy_match(left: DataFrame, right: DataFrame, by: str, a: str, b: str, band: int = 10) -> DataFrame:
-    """J-7. The most similar candidate of each line among those of its key and of a near length.
+    """J-7. The most similar candidate of each line among those of its key, the larger text of equal ones; null without any.
 
-    Lengths are an equi-join key: a line meets the candidates of its own length band and of the two beside it.
+    Lengths are an equi-join key first: a line meets the candidates of its own length band and of the two beside it. What
+    it finds there bounds the rest: a text of another length can't be more similar than its length allows, so only
+    candidates whose length reaches the bound are compared besides.
     """
-    l = left.withColumn("__band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.char_length(a) / band) + d)))  # noqa: E741
-    r = right.withColumn("__band", F.floor(F.char_length(b) / band))
-    rows = levenshtein_similarity(l.join(r, [by, "__band"]), a, b)
-    best = rows.groupBy(by, a).agg(F.max(F.struct("similarity", b)).alias("m"))
-    return best.select(by, a, F.col(f"m.{b}").alias(b), F.col("m.similarity").alias("similarity"))
+    lines = left.select(by, a).distinct().withColumn("__la", F.char_length(a))
+    r = right.select(by, b).distinct().withColumn("__lb", F.char_length(b))
+    best = lambda rows: rows.groupBy(by, a).agg(F.max(F.struct("similarity", b)).alias("m"))
+    bands = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__la") / band) + d))
+    near = lines.withColumn("__band", bands).join(r.withColumn("__band", F.floor(F.col("__lb") / band)), [by, "__band"])
+    near = best(levenshtein_similarity(near, a, b))
+    bound = lines.join(near.select(F.col(by).alias("__k"), F.col(a).alias("__a"), F.col("m.similarity").alias("__s")), F.expr(f"{by} <=> __k and {a} <=> __a"), "left").drop("__k", "__a")
+    gap = F.abs(F.char_length(F.lower(F.col(a))) - F.char_length(F.lower(F.col(b))))
+    reach = F.round(1 - gap / F.greatest("__la", "__lb"), 6) >= F.coalesce("__s", F.lit(0.0))
+    far = bound.join(r, by).where(F.abs(F.floor(F.col("__la") / band) - F.floor(F.col("__lb") / band)) > 1).where(reach)
+    found = near.unionByName(best(levenshtein_similarity(far, a, b))).groupBy(by, a).agg(F.max("m").alias("m"))
+    found = found.select(F.col(by).alias("__k"), F.col(a).alias("__a"), "m")
+    return lines.join(found, F.expr(f"{by} <=> __k and {a} <=> __a"), "left").select(by, a, F.col(f"m.{b}").alias(b), F.col("m.similarity").alias("similarity"))
 
 
 def lexicon_tag_words(words: DataFrame, lexicon: DataFrame, shock_words: list[str], word: str = "word") -> DataFrame:
@@ -342,9 +352,10 @@ def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame
     upto = lambda order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = units.withColumn("__b", bare("unit")).withColumn("__len", F.sum(F.char_length("__b")).over(upto("unit_idx")))
     l = lines.withColumn("__b", bare("line")).withColumn("__end", F.sum(F.char_length("__b")).over(upto("line_idx")))  # noqa: E741
-    l = l.withColumn("__start", F.col("__end") - F.char_length("__b"))  # noqa: E741
-    marks = u.groupBy(by, F.col("__len").alias("__end")).agg(F.min("unit_idx").alias("last_unit"), F.min_by("end", "unit_idx").alias("end"))
-    met = l.join(marks, [by, "__end"])
+    nth = lambda end, order: F.row_number().over(Window.partitionBy(by, end).orderBy(order))
+    l = l.withColumn("__nth", nth("__end", "line_idx"))  # noqa: E741  # a line without words ends where the one before it does
+    marks = u.select(by, F.col("__len").alias("__end"), nth("__len", "unit_idx").alias("__nth"), F.col("unit_idx").alias("last_unit"), "end")
+    met = l.join(marks, [by, "__end", "__nth"])
     w = Window.partitionBy(by).orderBy("line_idx")
     met = met.withColumn("first_unit", F.coalesce(F.lag("last_unit").over(w) + 1, F.lit(0)))
     inside = u.select(by, "unit_idx", F.col("__b").alias("__ub"), "unit", F.col("start").alias("us"), (F.col("__len") - F.char_length("__b")).alias("__at"))

@@ -81,13 +81,8 @@ def _(get):
     return x.clean_script(_docs(get)).select("doc_id", "clean")
 
 
-@query("hook_validity", r"""select doc_id, case when v then h else upper(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ')) end as hook_text, v as from_reply from
-    (select doc_id, text, upper(trim(string_split(text, chr(10))[1])) as h, length(trim(string_split(text, chr(10))[1])) between 10 and 80 as v from {documents} where lang = 'en')""")
-def _(get):
-    return x.hook_validity(get("documents").where("lang = 'en'").select("doc_id", "text"), "text", "text").select("doc_id", "hook_text", "from_reply")
-
-
-@query("hook_validity_whole")
+@query("hook_validity", r"""select doc_id, case when length(h) between 10 and 80 then h else replace(upper(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ')), 'ẞ', 'SS') end as hook_text, length(h) between 10 and 80 as from_reply from
+    (select doc_id, text, replace(upper(trim(string_split(text, chr(10))[1])), 'ẞ', 'SS') as h from {documents})""")
 def _(get):
     return x.hook_validity(_docs(get), "text", "text").select("doc_id", "hook_text", "from_reply")
 
@@ -127,27 +122,25 @@ def _(get):
     return x.transcript_overlap(rows, "text", "heard").select("conv_id", "turn", "overlap", "verdict")
 
 
-@query("levenshtein_similarity", """select doc_id, round(1 - levenshtein(lower(left(text, 60)), lower(substr(text, 3, 60))) / cast(greatest(length(left(text, 60)), length(substr(text, 3, 60))) as double), 6) as similarity from {documents} where lang = 'en' and length(text) = octet_length(encode(text))""")
-def _(get):
-    rows = get("documents").where("lang = 'en' and char_length(text) = octet_length(text)").selectExpr("doc_id", "left(text, 60) as a", "substr(text, 3, 60) as b")
-    return x.levenshtein_similarity(rows, "a", "b").select("doc_id", "similarity")
+#: DuckDB's distance counts bytes: the letters beyond ASCII that the table has become one byte each.
+_BYTES = "translate(lower({c}), 'éóèñçüêäößí', concat(" + ", ".join(f"chr({n})" for n in (1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16)) + "))"
+_ALIKE = f"round(1 - levenshtein({_BYTES.format(c='a')}, {_BYTES.format(c='b')}) / cast(greatest(length(a), length(b)) as double), 6)"
 
 
-@query("levenshtein_similarity_whole")
+@query("levenshtein_similarity", f"select script_id, line_idx, {_ALIKE} as similarity from (select script_id, line_idx, line as a, lead(line) over (partition by script_id order by line_idx) as b from {{lines}}) where b is not null")
 def _(get):
-    """Whole adjacent lines of every document; DuckDB counts bytes outside ASCII, so without SQL."""
+    """Whole adjacent lines of every document."""
     from pyspark.sql import Window
 
     rows = get("lines").withColumn("next", F.lead("line").over(Window.partitionBy("script_id").orderBy("line_idx"))).where("next is not null")
     return x.levenshtein_similarity(rows, "line", "next").select("script_id", "line_idx", "similarity")
 
 
-@query("best_fuzzy_match", """select doc_id, a, arg_max(b, (s, b)) as b, max(s) as similarity from (select l.doc_id, a, b, round(1 - levenshtein(lower(a), lower(b)) / cast(greatest(length(a), length(b)) as double), 6) as s from
-    (select script_id as doc_id, line as a from {lines} where line_idx = 0 and length(line) = octet_length(encode(line))) l join (select script_id as doc_id, line as b from {lines} where line_idx > 0 and length(line) = octet_length(encode(line))) r on l.doc_id = r.doc_id and abs(length(a) // 10 - length(b) // 10) <= 1) group by 1, 2""")
+@query("best_fuzzy_match", f"""select doc_id, a, arg_max(b, (s, b)) as b, max(s) as similarity from (select l.doc_id, a, b, {_ALIKE} as s from
+    (select script_id as doc_id, line as a from {{lines}} where line_idx = 0) l left join (select script_id as doc_id, line as b from {{lines}} where line_idx > 0) r on l.doc_id = r.doc_id) group by 1, 2""")
 def _(get):
-    ascii_ = get("lines").where("char_length(line) = octet_length(line)")
-    left = ascii_.where("line_idx = 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("a"))
-    right = ascii_.where("line_idx > 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("b"))
+    left = get("lines").where("line_idx = 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("a"))
+    right = get("lines").where("line_idx > 0").select(F.col("script_id").alias("doc_id"), F.col("line").alias("b"))
     return x.best_fuzzy_match(left, right, "doc_id", "a", "b")
 
 
@@ -168,13 +161,9 @@ def _(get):
     return x.fragment_to_sentence(lines.select("script_id", F.col("line_idx").alias("frag_idx"), F.col("line").alias("fragment")), sentences, "script_id").select("script_id", "frag_idx", "sent_idx", "evidence")
 
 
-@query("caption_line_match", r"""select script_id, line_idx, cast(line_idx * 2 as double) as start, cast(line_idx * 2 as double) + 1.5 as "end", trim(line) as text from (select script_id, line, row_number() over (partition by script_id order by line_idx) - 1 as line_idx, min(length(regexp_replace(lower(line), '[^\p{L}\p{N}\p{M}]', '', 'g'))) over (partition by script_id) as least from {lines}) where least > 0""")
+@query("caption_line_match", r"""select script_id, line_idx, cast(line_idx * 2 as double) as start, cast(line_idx * 2 as double) + 1.5 as "end", trim(line) as text from {lines}""")
 def _(get):
-    from pyspark.sql import Window
-
-    lines = get("lines").select("script_id", (F.row_number().over(Window.partitionBy("script_id").orderBy("line_idx")).cast("bigint") - 1).alias("line_idx"), "line")
-    full = lines.groupBy("script_id").agg(F.min(F.char_length(F.regexp_replace("line", r"(?U)[\W_]+", ""))).alias("least")).where("least > 0").select("script_id")
-    lines = lines.join(full, "script_id", "left_semi")
+    lines = get("lines")
     units = lines.select("script_id", F.col("line_idx").alias("unit_idx"), F.col("line").alias("unit"), (F.col("line_idx") * 2.0).alias("start"), (F.col("line_idx") * 2.0 + 1.5).alias("end"))
     return x.caption_line_match(units, lines, "script_id")
 
