@@ -61,13 +61,16 @@ def reach_conversion_role(content: DataFrame, by: str = "channel", strong: float
     The channel's figures are one row each and are joined back by the channel key.
     """
     base = content.groupBy(by).agg(F.median("views").alias("__median"), (F.sum("subscribers") * 1000.0 / F.sum("views")).alias("__base"))
-    df = conversion_per_1k(content).join(base, by)
+    return _roles(conversion_per_1k(content).join(base, by), strong).drop("__median", "__base")
+
+
+def _roles(df: DataFrame, strong: float = 1.5) -> DataFrame:
+    """Indices and role of items that carry their channel's median and baseline."""
     reach = F.round(F.col("views") / F.col("__median"), 3)
     conversion = F.when(F.col("__base") == 0, 0.0).otherwise(F.round(F.col("subs_per_1k") / F.col("__base"), 3))
-    df = df.withColumns({"reach_index": reach, "conversion_index": conversion}).drop("__median", "__base")
     far, deep = F.col("reach_index") >= strong, F.col("conversion_index") >= strong
     role = F.when(far & deep, "hybrid_winner").when(far, "reach_winner").when(deep, "loyalty_winner").otherwise("baseline")
-    return df.withColumn("role", role)
+    return df.withColumns({"reach_index": reach, "conversion_index": conversion}).withColumn("role", role)
 
 
 def _performance(content: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,20 +116,26 @@ def top_conversion(content: DataFrame, by: str = "channel", n: int = 10, min_vie
 
 
 def strategy_report(content: DataFrame, by: str = "channel", n: int = 10) -> DataFrame:
-    """SNK-1. One nested row per channel: summary, top lists, topics and duration ranges, ready for a JSON sink."""
-    rows = topic_cluster(reach_conversion_role(content, by))
-    item = F.struct("rank", "content_id", "title", "views", "subs_per_1k", "role")
-
-    def nested(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias(name))
-
-    parts = [
-        nested(top_reach(rows, by, n), "top_reach", item),
-        nested(top_conversion(rows, by, n), "top_conversion", item),
-        nested(cluster_performance(rows, by), "topics", F.struct("topic", "videos", "views", "subs_per_1k")),
-        nested(duration_performance(rows, by), "durations", F.struct("duration_bucket", "videos", "median_views", "subs_per_1k")),
-    ]
-    report = channel_summary(rows, by)
-    for part in parts:  # each list is bounded by n, the topics or the ranges
-        report = report.join(part, by, "left")
-    return report
+    """SNK-1. One nested row per channel: summary, top lists, topics and duration ranges, ready for a JSON sink.
+
+    Summary, topics and ranges are one pass over grouping sets; roles are worked out for the items of the top lists only.
+    """
+    rows = duration_bucket(topic_cluster(content)).select(by, "topic", "duration_bucket", "views", "subscribers")
+    sets = rows.groupingSets([[by], [by, "topic"], [by, "duration_bucket"]], by, "topic", "duration_bucket").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("videos"), F.sum("views").alias("views"), F.sum("subscribers").alias("subscribers"), F.median("views").alias("median_views"),
+        F.round(F.sum("subscribers") * 1000.0 / F.sum("views"), 3).alias("subs_per_1k"), (F.sum("subscribers") * 1000.0 / F.sum("views")).alias("base"),
+    )
+    whole, topic, length = F.col("level") == 3, F.col("level") == 1, (F.col("level") == 2) & F.col("duration_bucket").isNotNull()
+    listed = lambda when, *cells: F.array_sort(F.collect_list(F.when(when, F.struct(*cells))))
+    half = F.bround("median_views", 0).cast("bigint").alias("median_views")
+    report = sets.groupBy(by).agg(
+        F.max(F.when(whole, F.struct("videos", "views", "subscribers", "median_views", F.col("subs_per_1k").alias("baseline_per_1k"), "base"))).alias("all"),
+        listed(topic, "topic", "videos", "views", "subs_per_1k").alias("topics"), listed(length, "duration_bucket", "videos", half, "subs_per_1k").alias("durations"),
+    )
+    cells = [by, "rank", "content_id", "title", "views", "subs_per_1k"]
+    tops = top_reach(conversion_per_1k(content), by, n).select(*cells, F.lit(True).alias("far")).unionByName(top_conversion(content, by, n).select(*cells, F.lit(False).alias("far")))
+    tops = _roles(tops.join(report.select(by, F.col("all.median_views").alias("__median"), F.col("all.base").alias("__base")), by))
+    item = ("rank", "content_id", "title", "views", "subs_per_1k", "role")
+    tops = tops.groupBy(by).agg(listed(F.col("far"), *item).alias("top_reach"), listed(~F.col("far"), *item).alias("top_conversion"))
+    report = report.join(tops, by, "left").select(by, "all.*", "top_reach", "top_conversion", "topics", "durations")
+    return report.drop("base")
