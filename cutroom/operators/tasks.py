@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +41,25 @@ def resume_eligibility(ledger: DataFrame, resumes: DataFrame, by: str = "task_id
 
 
 def overlap_and_stale_runs(runs: DataFrame, by: str, stale_s: float = 1800) -> DataFrame:
-    """ST-4. Runs that begin while an accepted one holds the slot are rejected; long holds are stale (a fold per slot key)."""
-    schema = T.StructType([runs.schema[by], runs.schema["run_id"], T.StructField("accepted", T.BooleanType()), T.StructField("stale", T.BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, free, took = pdf.sort_values(["start_s", "run_id"]), float("-inf"), []
-        for start, end in zip(pdf["start_s"], pdf["end_s"], strict=True):
-            took.append(start >= free)
-            free = end if took[-1] else free
-        ok = pd.Series(took, index=pdf.index, dtype=bool)
-        return pd.DataFrame({by: pdf[by], "run_id": pdf["run_id"], "accepted": ok, "stale": ok & (pdf["end_s"] - pdf["start_s"] > stale_s)})
-
-    return runs.groupBy(by).applyInPandas(fold, schema)
+    """ST-4. Runs that begin while an accepted one holds the slot are rejected; long holds are stale.
+
+    Where a run begins no earlier than the end of every run before it, the slot is free whoever was accepted: a new island
+    of runs starts there, and the fold is over one island, not over a slot's whole history.
+    """
+    w = Window.partitionBy(by).orderBy("start_s", "run_id")
+    ends = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = runs.select(by, "run_id", "start_s", "end_s").withColumn("__new", F.coalesce((F.col("start_s") >= ends).cast("bigint"), F.lit(1)))
+    islands = rows.withColumn("__island", F.sum("__new").over(w)).groupBy(by, "__island").agg(F.sort_array(F.collect_list(F.struct("start_s", "run_id", "end_s"))).alias("__runs"))
+
+    def judge(acc: Column, x: Column) -> Column:
+        ok = acc["free"].isNull() | (x["start_s"] >= acc["free"])
+        row = F.struct(x["run_id"].alias("run_id"), ok.alias("accepted"), (ok & (x["end_s"] - x["start_s"] > stale_s)).alias("stale"))
+        return F.struct(F.when(ok, x["end_s"]).otherwise(acc["free"]).alias("free"), F.concat(acc["judged"], F.array(row)).alias("judged"))
+
+    kind = T.ArrayType(T.StructType([T.StructField("run_id", runs.schema["run_id"].dataType), T.StructField("accepted", T.BooleanType()), T.StructField("stale", T.BooleanType())]))
+    start = F.struct(F.lit(None).cast("double").alias("free"), F.array().cast(kind).alias("judged"))
+    judged = F.explode(F.aggregate("__runs", start, judge, lambda acc: acc["judged"]))
+    return islands.select(by, judged.alias("__j")).select(by, "__j.run_id", "__j.accepted", "__j.stale")
 
 
 def task_progress_rollup(updates: DataFrame, by: str, task: str = "task_id") -> DataFrame:

@@ -134,4 +134,4 @@ def _(get):
 
 @query("sticker_spacing")
 def _(get):
-    return timeline.sticker_spacing(get("words").where("word_idx % 2 = 0").select(F.concat_ws("-", "script_id", "seg_idx").alias("script"), F.col("start").alias("t")), "script", gap=1.2)
+    return timeline.sticker_spacing(get("words").select(F.concat_ws("-", "script_id", "seg_idx").alias("script"), F.col("start").alias("t")), "script", gap=1.2)

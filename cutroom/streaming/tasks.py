@@ -14,13 +14,19 @@ from cutroom.operators import tasks
 
 
 def latest_task_state(updates: DataFrame, by: str = "task_id") -> DataFrame:
-    """ST-1 as a stream, for update or complete mode."""
+    """ST-1 as a stream, for update or complete mode. It keeps one row for each task, as the table of tasks does."""
     return tasks.latest_task_state(updates, by)
 
 
-def accepted_claims(claims: DataFrame, by: str = "task_id", stage: str = "stage", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """ST-2 as a stream of the accepted claims alone; state is dropped behind the watermark."""
-    return claims.withWatermark(ts, delay).dropDuplicatesWithinWatermark([by, stage])
+def accepted_claims(claims: DataFrame, by: str = "task_id", stage: str = "stage", ts: str = "ts", horizon: str | None = None) -> DataFrame:
+    """ST-2 as a stream of the accepted claims alone.
+
+    Once only, whenever a claim comes again: a key is kept for each claimed stage for good. With a ``horizon``, keys go
+    once the watermark is so far past them, and the same claim is accepted again after that.
+    """
+    if horizon is None:
+        return claims.dropDuplicates([by, stage])
+    return claims.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([by, stage])
 
 
 def claim_once_ledger(claims: DataFrame, by: str = "task_id", stage: str = "stage") -> DataFrame:

@@ -79,6 +79,40 @@ def test_preflight(spark):
     assert requests.narration_estimate(spark.createDataFrame([("l’été don't mid-air x", 1.0)], "script string, voice_rate double")).collect()[0]["words"] == 4
 
 
+def test_preflight_switches_and_limits(spark):
+    schema = SCHEMA + ", enable_hook_card boolean, enable_cta boolean, hook_image_path string, max_words int, max_seconds double"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    on = dict(enable_hook_card=None, enable_cta=None, hook_image_path=None, max_words=None, max_seconds=None)
+    bare = dict(hook_text="", hook_cover=None, negative_terms=[], cta_text="Subscribe for more")
+    cases = {
+        "on": request(**on | bare), "hook off": request(**on | bare | {"enable_hook_card": False}), "cta off": request(**on | bare | {"enable_cta": False}),
+        "image": request(**on | {"hook_cover": " ", "hook_image_path": "/a.jpg"}), "no image": request(**on | {"hook_cover": " ", "hook_image_path": " "}), "own words": request(**on | {"max_words": 12}),
+        "own seconds": request(**on | {"max_seconds": 2.0}), "zero is none": request(**on | {"max_words": 0, "max_seconds": 0.0, "voice_rate": 0.0, "video_count": 0}), "compared": request(**on | bare | {"comparison_mode": True, "comparison_clips": 2}),
+    }
+    df = spark.createDataFrame([tuple(({**c, "task_id": k})[n] for n in names) for k, c in cases.items()], schema)
+    got = {r["task_id"]: (r["errors"], r["warnings"]) for r in requests.preflight_report(df).collect()}
+    hook, cover = "hook_text must be supplied", "hook_cover_term or hook_image_path must be supplied"
+    assert got["on"] == ([hook, cover], ["no contrasting negatives", "generic call to action"])
+    assert got["hook off"] == ([], ["generic call to action"]) and got["cta off"] == ([hook, cover], ["no contrasting negatives"])
+    assert got["image"] == ([], []) and got["no image"] == ([cover], [])
+    assert got["own words"][0] == ["script is too long"] and got["own seconds"][0] == ["narration is too long"]
+    assert got["zero is none"] == ([], []) and got["compared"] == ([], [])
+
+
+def test_media_plan_counts_stills_and_names_every_reason(spark):
+    schema = "plan_id string, source string, bytes long, is_image boolean, width int, height int, duration double, brightness double, contrast double, edge_detail double, frame_signature string"
+    clip = lambda plan, n, **c: tuple(({**dict(plan_id=plan, source=f"s{n % 2}", bytes=5000, is_image=False, width=720, height=1280, duration=3.0, brightness=90.0, contrast=30.0, edge_detail=9.0, frame_signature=f"f{n}"), **c})[f.split(" ")[0]] for f in schema.split(", "))
+    still = dict(is_image=True, width=1280, height=720, duration=0.04)
+    clips = [clip("mixed", 0), clip("mixed", 1, **still), clip("mixed", 2, **still)]
+    clips += [clip("torn", 0, **still | {"width": None}), clip("torn", 1, width=None, height=None, duration=None), clip("torn", 2, height=720), clip("torn", 3, duration=0.3), clip("torn", 4, bytes=None)]
+    plans = spark.createDataFrame([("mixed", 7.1), ("torn", 6.0), ("none", 1.0)], "plan_id string, audio_s double")
+    rows_ = spark.createDataFrame(clips, schema)
+    got = {r["plan_id"]: r["failures"] for r in candidates.media_plan_verdict(rows_, plans).collect()}
+    assert got == {"mixed": [], "torn": ["file too small", "no video stream", "unreadable image", "clip too short", "not portrait"], "none": ["too few clips", "shorter than the audio"]}
+    strict = {r["plan_id"]: r["failures"] for r in candidates.media_plan_verdict(rows_, plans, min_sources=3, image_seconds=1.0).collect()}
+    assert strict["mixed"] == ["too few sources", "shorter than the audio"]
+
+
 def test_batch_files(spark, tmp_path):
     for n in range(2):
         (tmp_path / f"b{n}.json").write_text(json.dumps({"defaults": {"voice": "d", "subject": "f"}, "videos": [{"subject": None, "n": n}, {"voice": "own"}]}))
@@ -260,6 +294,32 @@ def test_overlaps(spark):
     assert rows(tasks.overlap_and_stale_runs(runs, "slot"), "run_id", "accepted", "stale") == [(1, True, False), (2, False, False), (3, False, False), (4, True, True)]
 
 
+def test_overlaps_equal_a_replay(spark):
+    rng = random.Random(6)
+    runs = [(f"s{rng.randrange(4)}", i, float(rng.randrange(3000)), 0.0) for i in range(300)]
+    runs = [(s, i, a, a + rng.choice([0, 5, 20, 60, 2000 if i % 40 == 0 else 1])) for s, i, a, _ in runs] + [("gap", 900, 1.0, 2.0), ("gap", 901, 2.0, 2.0), ("gap", 902, 2.0, 9.0)]
+    want = []
+    for slot in {r[0] for r in runs}:
+        free = float("-inf")
+        for _, i, a, z in sorted((r for r in runs if r[0] == slot), key=lambda r: (r[2], r[1])):
+            ok = a >= free
+            free = z if ok else free
+            want.append((slot, i, ok, ok and z - a > 1800))
+    got = tasks.overlap_and_stale_runs(spark.createDataFrame(runs, "slot string, run_id int, start_s double, end_s double"), "slot")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_accepted_claims_stay_once_only(spark, tmp_path):
+    """The same claim days later, with other events in between that move the time on, is no second claim."""
+    schema = "event_id long, task_id string, ts timestamp, stage string"
+    for n, (task, day) in enumerate([("a", 1), ("b", 3), ("a", 5), ("c", 9), ("a", 9)]):
+        spark.createDataFrame([(n, task, pd.Timestamp(f"2024-01-0{day}").to_pydatetime(), "render")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert sorted(r["task_id"] for r in drained(spark, streams.accepted_claims(source()), "append", "once", tmp_path).collect()) == ["a", "b", "c"]
+    within = drained(spark, streams.accepted_claims(source(), horizon="1 hour"), "append", "within", tmp_path)
+    assert within.count() > 3
+
+
 def drained(spark, stream, mode, name, where):
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(where / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -50,13 +50,42 @@ def test_caption_correction_of_long_lines_and_texts(spark, tmp_path):
     assert len(got) == 64 and {tuple(r) for r in got} == want
 
 
+def test_best_match_is_found_whatever_its_length(spark):
+    """Against all candidates: long lines, no candidate near in length, none at all, ties and nulls."""
+    from cutroom.functions import text as x
+
+    rng = random.Random(31)
+    left, right = [(9, "alone"), (8, None), (None, "no key")], [(7, "other key"), (8, "b")]
+    for d in range(6):
+        long = prose(rng, 60)
+        left += [(d, long), (d, prose(rng, 4)), (d, long)]
+        right += [(d, long[: rng.randrange(len(long) // 2, len(long))]) for _ in range(3)] + [(d, prose(rng, rng.randrange(1, 70))) for _ in range(5)] + [(d, "tie one"), (d, "tie two")]
+    got = x.best_fuzzy_match(spark.createDataFrame(left, "k long, a string"), spark.createDataFrame(right, "k long, b string"), "k", "a", "b").collect()
+    want = set()
+    for k, a in set(left):
+        found = [(round(plain_similarity(a, b), 6), b) for k2, b in right if k2 == k and a is not None]
+        s, b = max(found, default=(None, None))
+        want.add((k, a, b, s))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_caption_lines_without_words_are_met_in_turn(spark):
+    from cutroom.functions import text as x
+
+    lines = {1: ["...", "Hello there", "--", "?", "the end"], 2: ["one two", "!", "three"], 3: ["so far", "..."]}
+    units = {1: ["...", "Hello", "there", "--", "?", "the", "end"], 2: ["one two", "three"], 3: ["so", "far", "...", "more"]}
+    df = lambda rows, name: spark.createDataFrame([(k, i, t, *((i * 2.0, i * 2.0 + 1) if name == "unit" else ())) for k, ts in rows.items() for i, t in enumerate(ts)], f"k long, {name}_idx long, {name} string" + (", start double, end double" if name == "unit" else ""))
+    got = {tuple(r) for r in x.caption_line_match(df(units, "unit"), df(lines, "line"), "k").collect()}
+    assert got == {(1, 0, 0.0, 1.0, "..."), (1, 1, 2.0, 5.0, "Hello there"), (1, 2, 6.0, 7.0, "--"), (1, 3, 8.0, 9.0, "?"), (1, 4, 10.0, 13.0, "the end"), (3, 0, 0.0, 3.0, "so far"), (3, 1, 4.0, 5.0, "...")}
+
+
 def test_text_queries_of_every_language_and_length(spark, tmp_path):
     rng = random.Random(9)
     texts = ["\n".join([prose(rng, 90), prose(rng, 80) + " É", prose(rng, 2)]), "Court été\nThe only one, on her", "sin líneas"]
     documents(spark, tmp_path, texts)
     run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     lines = [t.split("\n") for t in texts]
-    assert run("levenshtein_similarity_whole") == {(d, n, round(plain_similarity(a, b), 6)) for d, all_ in enumerate(lines) for n, (a, b) in enumerate(zip(all_, all_[1:]))}
+    assert run("levenshtein_similarity") == {(d, n, round(plain_similarity(a, b), 6)) for d, all_ in enumerate(lines) for n, (a, b) in enumerate(zip(all_, all_[1:]))}
     hooks = [t.strip().upper() if 10 <= len(t.strip()) <= 80 else None for t in (x[0] for x in lines)]
-    assert run("hook_validity_whole") == {(d, h or " ".join(texts[d].split()[:5]).upper(), h is not None) for d, h in enumerate(hooks)}
-    assert run("risky_claims_whole") == {(0, ""), (1, "her|on|only|the"), (2, "")}
+    assert run("hook_validity") == {(d, h or " ".join(texts[d].split()[:5]).upper(), h is not None) for d, h in enumerate(hooks)}
+    assert run("risky_claims") == {(0, ""), (1, "her|on|only|the"), (2, "")}
