@@ -73,7 +73,24 @@ def _(get):
     return content.top_conversion(get("content")).select("channel", "content_id", "subs_per_1k", "rank")
 
 
-@query("strategy_report")
+def _json(order: str, **cells: str) -> str:
+    """A JSON array of objects, one for each row, from SQL expressions of their values."""
+    return "concat('[', string_agg(concat('{', " + ", ',', ".join(f"'\"{k}\":', {v}" for k, v in cells.items()) + f", '}}'), ',' order by {order}), ']')"
+
+
+_DEFAULT_TOPIC = "case " + " ".join(f"when lower(title) like '%{a}%' then '{k}'" for a, k in (*((k, k) for k in content.TOPIC_KEYWORDS), *content.TOPIC_ALIASES.items())) + " else 'other' end"
+_ROLED = f"select *, case when reach_index >= 1.5 and conversion_index >= 1.5 then 'hybrid_winner' when reach_index >= 1.5 then 'reach_winner' when conversion_index >= 1.5 then 'loyalty_winner' else 'baseline' end as role from ({_ROLE})"
+_ITEM = dict(rank="rank", content_id="content_id", title="'\"' || title || '\"'", views="views", subs_per_1k="subs_per_1k", role="'\"' || role || '\"'")
+_GROUPED = "count(*) as videos, cast(sum(views) as bigint) as views, median(views) as m, round(sum(subscribers) * 1000.0 / sum(views), 3) as subs_per_1k"
+
+
+@query("strategy_report", f"""with c as (select *, {_DEFAULT_TOPIC} as topic, {_BUCKET} as bucket, row_number() over (partition by channel order by views desc, content_id) as rank from ({_ROLED})),
+    d as (select *, row_number() over (partition by channel order by subs_per_1k desc, views desc, content_id) as rank2 from c where views >= 500)
+    select s.*, top_reach, top_conversion, topics, durations from (select channel, count(*) as videos, cast(sum(views) as bigint) as views, cast(sum(subscribers) as bigint) as subscribers, median(views) as median_views, round(sum(subscribers) * 1000.0 / sum(views), 3) as baseline_per_1k from c group by channel) s
+    left join (select channel, {_json("rank", **_ITEM)} as top_reach from c where rank <= 10 group by channel) a on a.channel = s.channel
+    left join (select channel, {_json("rank2", **_ITEM | dict(rank="rank2"))} as top_conversion from d where rank2 <= 10 group by channel) b on b.channel = s.channel
+    left join (select channel, {_json("topic", topic="'\"' || topic || '\"'", videos="videos", views="views", subs_per_1k="subs_per_1k")} as topics from (select channel, topic, {_GROUPED} from c group by 1, 2) group by channel) t on t.channel = s.channel
+    left join (select channel, {_json("bucket", duration_bucket="'\"' || bucket || '\"'", videos="videos", median_views="cast(round_even(m, 0) as bigint)", subs_per_1k="subs_per_1k")} as durations from (select channel, bucket, {_GROUPED} from c group by 1, 2) group by channel) u on u.channel = s.channel""")
 def _(get):
     return content.strategy_report(get("content")).withColumns({c: F.to_json(c) for c in ("top_reach", "top_conversion", "topics", "durations")})
 
@@ -178,7 +195,9 @@ def _(get):
     return tasks.resume_eligibility(ledger.unionByName(reserve), t.select("task_id").distinct().withColumn("fingerprint", F.lit("f")))
 
 
-@query("overlap_and_stale_runs")
+@query("overlap_and_stale_runs", """with recursive r as materialized (select task_id as slot, event_id as run_id, epoch_us(ts) / 1e6 as start_s, epoch_us(ts) / 1e6 + progress * 20 as end_s, row_number() over (partition by task_id order by ts, event_id) as i from {tasks}),
+    f as (select slot, run_id, i, end_s as free, true as ok, end_s - start_s > 1800 as stale from r where i = 1 union all select r.slot, r.run_id, r.i, case when r.start_s >= f.free then r.end_s else f.free end, r.start_s >= f.free, r.start_s >= f.free and r.end_s - r.start_s > 1800
+    from f join r on r.slot = f.slot and r.i = f.i + 1) select slot, run_id, ok as accepted, stale from f""")
 def _(get):
     rows = get("tasks").selectExpr("task_id as slot", "event_id as run_id", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 as start_s", "cast(unix_micros(cast(ts as timestamp)) as double) / 1e6 + progress * 20 as end_s")
     return tasks.overlap_and_stale_runs(rows, "slot")

@@ -19,13 +19,32 @@ def _units(get):
     return get("lines").select("script_id", F.col("line_idx").alias("cue_idx"), F.col("line").alias("text"), (F.col("line_idx") * 2.0).alias("start"), (F.col("line_idx") * 2.0 + 1.5).alias("end"))
 
 
+def _fold(rows: str, first: str, over: str, step: str = "concat(a.open, ' ', s.v)", keys: str = "doc_id") -> str:
+    """SQL that joins the values v of ``rows`` (keys, i from 1, v) in order into groups numbered from 0: at each value ``over``
+    says whether a new group (``first``) begins, else ``step`` goes on; (keys, g, open) with the last state of each group."""
+    on = " and ".join(f"s.{k.strip()} = a.{k.strip()}" for k in keys.split(","))
+    mine = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""(with recursive v as materialized ({rows}), f as (select {keys}, i, {first} as open, 0 as g from v s where i = 1
+        union all select {mine}, s.i, case when {over} then {first} else {step} end as open, a.g + cast({over} as int) as g from f a join v s on {on} and s.i = a.i + 1)
+        select {keys}, g, arg_max(open, i) as open from f group by {keys}, g)"""
+
+
+#: Sentences of a text that keep their marks, numbered from 1.
+_MARKED = r"""select doc_id, generate_subscripts(l, 1) as i, unnest(l) as v from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as l from {documents})"""
+_N_WORDS = r"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> ''))"
+
+
 @query("split_sentences", r"""select doc_id, cast(generate_subscripts(l, 1) - 1 as int) as pos, unnest(l) as sentence from (select doc_id, case when len(l) = 0 then [text] else l end as l from
     (select doc_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: s <> '') as l from {documents}))""")
 def _(get):
     return x.split_sentences(_docs(get)).select("doc_id", "pos", "sentence")
 
 
-@query("split_sentences_merged")
+_SENTENCES = r"""select doc_id, generate_subscripts(l, 1) as i, unnest(l) as v from (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: s <> '') as l from {documents})"""
+
+
+@query("split_sentences_merged", f"""with g as {_fold(_SENTENCES, "s.v", "length(a.open) >= 30")}, m as (select doc_id, case when g > 0 and length(open) < 30 then g - 1 else g end as pos, g, open from g)
+    select doc_id, cast(pos as int) as pos, string_agg(open, ' ' order by g) as sentence from m group by doc_id, pos union all select doc_id, cast(0 as int), text from {{documents}} where doc_id not in (select doc_id from g)""")
 def _(get):
     return x.split_sentences(_docs(get), min_len=30).select("doc_id", "pos", "sentence")
 
@@ -42,22 +61,33 @@ def _(get):
     return x.split_on_punctuation(_docs(get)).select("doc_id", "pos", "unit")
 
 
-@query("chunk_by_words")
+@query("chunk_by_words", f"""select doc_id, cast(g as int) as pos, open as chunk, cast({_N_WORDS.format(c='open')} as int) as words, round({_N_WORDS.format(c='open')} / cast(130 as double), 3) as minutes from {_fold(_MARKED, "s.v", _N_WORDS.format(c="concat(a.open, ' ', s.v)") + " > 130")}""")
 def _(get):
     return x.chunk_by_words(_docs(get)).select("doc_id", "pos", "chunk", "words", "minutes")
 
 
-@query("chunk_by_chars")
+@query("chunk_by_chars", f"""select doc_id, cast(g as int) as pos, open as chunk from {_fold(_MARKED + " where doc_id in (select doc_id from {documents} where length(text) > 300)", "s.v", "length(concat(a.open, ' ', s.v)) > 300")} union all select doc_id, cast(0 as int), text from {{documents}} where length(text) <= 300""")
 def _(get):
     return x.chunk_by_chars(_docs(get)).select("doc_id", "pos", "chunk")
 
 
-@query("caption_groups")
+_TIMED = "select script_id, seg_idx, row_number() over (partition by script_id, seg_idx order by word_idx) as i, trim(word) as v, word, start, \"end\" from {words} where trim(word) <> ''"
+_FULL = "len(a.open.x) >= 4 or list_sum(list_transform(a.open.x, lambda w: length(w) + 1)) > 80 or regexp_matches(a.open.x[-1], '[?,.、;:!…？，。；：！]')"
+
+
+@query("caption_groups", f"""select g.script_id, g.seg_idx, cast(g.g as int) as "group", round(a.start, 3) as start, round(z."end", 3) as "end", open.t as text from
+    {_fold(_TIMED, "{x: [s.v], t: s.word, b: s.i, e: s.i}", _FULL, "{x: list_append(a.open.x, s.v), t: concat(a.open.t, ' ', s.word), b: a.open.b, e: s.i}", "script_id, seg_idx")} g
+    join ({_TIMED}) a on a.script_id = g.script_id and a.seg_idx = g.seg_idx and a.i = g.open.b join ({_TIMED}) z on z.script_id = g.script_id and z.seg_idx = g.seg_idx and z.i = g.open.e""")
 def _(get):
     return x.caption_groups(get("words"), ["script_id", "seg_idx"], "word_idx")
 
 
-@query("phrase_groups")
+_SPOKEN = "select conv_id, turn, generate_subscripts(l, 1) as i, unnest(l) as v, len(array_to_string(l, '')) / len(l) >= 15 as long from (select conv_id, turn, string_split(text, ' ') as l from {conversations})"
+_ENDED = r"s.long or regexp_matches(rtrim(a.open[-1]), '[.!?。！？]$') or len(a.open) >= 8 or (len(a.open) >= 4 and regexp_matches(rtrim(a.open[-1]), '[,，]$'))"
+
+
+@query("phrase_groups", rf"""select conv_id, turn, cast(g as int) as pos, case when len(open) = 1 and conv_id * 1000 + turn in (select conv_id * 1000 + turn from ({_SPOKEN}) where long) then open[1] else regexp_replace(trim(array_to_string(open, ' ')), '\s+([,.!?。，！？])', '\1', 'g') end as phrase
+    from {_fold(_SPOKEN, "[s.v]", _ENDED, "list_append(a.open, s.v)", "conv_id, turn")}""")
 def _(get):
     return x.phrase_groups(get("conversations").select("conv_id", "turn", F.split("text", " ").alias("units"))).select("conv_id", "turn", "pos", "phrase")
 
@@ -87,7 +117,9 @@ def _(get):
     return x.hook_validity(_docs(get), "text", "text").select("doc_id", "hook_text", "from_reply")
 
 
-@query("normalise_for_speech")
+@query("normalise_for_speech", r"""select doc_id, array_to_string(flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''),
+    lambda s: case when length(s) > 120 then string_split(s, ', ') else [s] end)), chr(10)) as spoken from (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\bvs\.?(\s|$)', 'versus\1', 'g'), '&', ' and '), '\s+', ' ', 'g'),
+    '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g'), ',,+', ',', 'g') as t from {documents})""")
 def _(get):
     return x.normalise_for_speech(_docs(get)).select("doc_id", "spoken")
 

@@ -132,6 +132,7 @@ def _(get):
     return timeline.highlight_spans(captions, w, "script_id", "seg_idx")
 
 
-@query("sticker_spacing")
+@query("sticker_spacing", """with recursive w as materialized (select concat(script_id, '-', seg_idx) as script, start as t, row_number() over (partition by script_id, seg_idx order by start) as i from {words}),
+    f as (select script, t, i, t as last from w where i = 1 union all select w.script, w.t, w.i, case when w.t - f.last >= cast(1.2 as double) then w.t else f.last end from f join w on w.script = f.script and w.i = f.i + 1) select script, t from f where t = last""")
 def _(get):
     return timeline.sticker_spacing(get("words").select(F.concat_ws("-", "script_id", "seg_idx").alias("script"), F.col("start").alias("t")), "script", gap=1.2)
