@@ -16,6 +16,7 @@ the boundaries by counts that are combined before the shuffle, whole texts first
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,19 @@ from pyspark.sql import types as T
 
 from .common import BLOCK_BYTES, blocks, mix, only, prefix_hash, settle, small_batches, span_hash, utf8
 
-LENGTH, GRAM = 400, 100
-#: Documents that the splitters are taken from, at most about.
-SAMPLE_DOCS = 1500
+LENGTH = 400
+#: Shortest passage that is reported beside: over 50 words of running text, of five bytes with their space.
+PASSAGE = 250
+#: Anchors that a bucket should hold, about; the splitters are taken from so many keys a bucket, and documents at least.
+BUCKET_ANCHORS, KEYS_PER_BUCKET, SAMPLE_DOCS = 1 << 20, 32, 1500
 _PLACE_BITS = 28
 
 
+def gram_of(length: int) -> int:
+    """Bytes of the k-grams that the windows' anchors are chosen by."""
+    return max(1, length // 4)
+
+
 def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours."""
     n = len(x) - w + 1
@@ -50,8 +58,9 @@ def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int | None = None) -> tuple[np.ndarray, ...]:
     """row, first and last window (in the row), lead, k-gram hash and hash of the owned text of every anchor."""
+    gram = gram or gram_of(length)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if len(data) < length:
         return none
@@ -75,7 +84,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return row[lo], lo - start, hi - start, _lead(data, at), span_hash(total, down, at, at + gram), owned
 
 
-def anchors_of_rows(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 4 * BLOCK_BYTES):
+def anchors_of_rows(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int | None = None, step: int = 4 * BLOCK_BYTES):
     """``anchors`` of any rows: in blocks of rows, a very long row in steps that overlap."""
     margin = 2 * length
     for a, z in blocks(offs):
@@ -129,8 +138,6 @@ def _splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
 
 
 
-
-
 #: What an anchor's row is: one of its kind in its text, one that stands for several in its text, or a range of such ones.
 ALONE, SEVERAL, RANGE = 0, 1, 2
 
@@ -156,14 +163,13 @@ def fold_rows(row, lo, hi, lead, gram, own) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([a[~extra], b]) for a, b in pairs)
 
 
-def compare_neighbours(rows: DataFrame) -> DataFrame:
+def compare_neighbours(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows (id, h, lo, hi, lead, gram, own, kind, bucket, open) that repeat: with ``whole`` (an equal own elsewhere), ``mixed``
     (a different own under the same gram) and ``first`` (the one that stands for all equal ones). Others are left out.
     """
     fields = [f for f in rows.schema.fields if f.name not in ("bucket", "open")]
     names = [f.name for f in fields] + ["open", "whole", "mixed", "first"]
     schema = T.StructType(fields + [T.StructField(x, T.BooleanType()) for x in names[-4:]])
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
         held = list(batches)  # one bucket: a bounded share of the rows
@@ -210,11 +216,14 @@ def _text_key(id_: str, text: str):
     return [F.col(id_).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text")]
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """(id, h, lo, hi): ranges of starts of windows that also start elsewhere; h is the text's hash, which with the id names a row."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gram = gram or gram_of(length)
     rows = small_batches(docs).select(*_text_key(key, text))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    density = 2 / (length - gram + 2)  # anchors a byte of random text
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * density / BUCKET_ANCHORS))
     id_type = docs.schema[key].dataType
     longs = lambda names: [T.StructField(x, T.LongType()) for x in names]
     schema = T.StructType([T.StructField("id", id_type), *longs(("h", "lo", "hi", "lead", "gram", "own", "kind", "bucket")), T.StructField("open", T.BooleanType())])
@@ -234,11 +243,11 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 _, _, _, lead, gram_, _, kind = fold_rows(*got)
                 yield pa.RecordBatch.from_arrays([pa.array(_range_key(lead, gram_)[kind != RANGE].view(np.int64))], names=["key"])
 
-    n = rows.count()
-    some = rows if n <= SAMPLE_DOCS else rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
+    share = min(1.0, max(SAMPLE_DOCS / max(n, 1), 4 * buckets * KEYS_PER_BUCKET / max(size * density, 1)))
+    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 30)) < int((1 << 30) * share))
     keys = some.select("text").mapInArrow(sample_keys, "key long")
-    keys = keys.where(F.rand(7) < 0.25) if n > SAMPLE_DOCS else keys
-    shared = spark.sparkContext.broadcast(_splitters(np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64), buckets))
+    keys = keys if share == 1 else keys.where(F.rand(7) < 0.25)
+    shared = spark.sparkContext.broadcast(_splitters(keys.toArrow().column("key").to_numpy().view(np.uint64), buckets))
 
     def anchored(batches):
         for batch in batches:
@@ -246,7 +255,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 if len(found[0]):
                     yield lay(shared.value, batch.columns, *fold_rows(*found))
 
-    found = compare_neighbours(rows.mapInArrow(anchored, schema))
+    found = compare_neighbours(rows.mapInArrow(anchored, schema), buckets)
     whole = found.where("whole").select("id", "h", "lo", "hi")
 
     # windows of different texts under one k-gram
@@ -342,38 +351,64 @@ def _covered(spans: list, size: int, length: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _spans(docs: DataFrame, key: str, text: str, length: int, gram: int | None = None) -> DataFrame:
+    """(__id, __h, spans) of the texts with repeated windows; copies of a row give the same ones, which are combined first."""
+    spans = repeated_windows(docs, key, text, length, gram).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return settle(spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "spans"))
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, passage: int | None = None, whole_characters: bool = False) -> DataFrame:
     """``docs`` with kept (bytes without the removed runs), n_bytes, n_removed, n_spans.
 
+    With ``whole_characters``, a character of which a byte goes goes whole, so kept is UTF-8 as the text is.
+
+    With ``passage``, at most ``length``, also n_passage: bytes covered by strings of so many bytes that start elsewhere
+    too. They are only counted. A longer string that repeats is made of such passages, so only texts with enough of
+    them are searched for it.
+
     Texts are UTF-8 bytes, a null is empty; a text shorter than ``length`` keeps everything. Strings are judged on the
     input. Repeated rows repeat each other. Null keys stay; a column of an output's name is replaced; an empty table
     stays empty.
     """
-    spans = repeated_windows(docs, key, text, length, gram).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = settle(spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "spans"))
     marked = docs.withColumns({"__id": F.col(key), "__h": F.xxhash64(F.col(text))})
-    found = spans.select(F.col("__id").alias("__i2"), F.col("__h").alias("__h2"), F.col("spans").alias("__spans"))
+    kinds = [("kept", "binary"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint")]
+    if passage is None:
+        spans = _spans(docs, key, text, length, gram).withColumn("short", F.lit(None).cast("array<struct<lo: bigint, hi: bigint>>"))
+    else:
+        kinds.append(("n_passage", "bigint"))
+        short = _spans(docs, key, text, passage).withColumnRenamed("spans", "short")
+        starts = F.aggregate("short", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"] + 1)
+        able = only(marked, short.where(starts > length - passage), ["__id", "__h"]).select(key, text)
+        long = _spans(able, key, text, length, gram).select(F.col("__id").alias("i"), F.col("__h").alias("g"), "spans")
+        spans = short.join(long, F.expr("__id <=> i and __h <=> g"), "left").drop("i", "g")
+    found = spans.select(F.col("__id").alias("__i2"), F.col("__h").alias("__h2"), F.struct("spans", "short").alias("__spans"))
     joined = only(marked, spans, ["__id", "__h"]).join(found, F.expr("__id <=> __i2 and __h <=> __h2"), "left").drop("__i2", "__h2")
     whole = only(marked, spans, ["__id", "__h"], absent=True).withColumn("__spans", F.lit(None).cast(found.schema["__spans"].dataType))
     joined = joined.unionByName(whole)
-    kinds = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
+    arrow = {"binary": pa.binary(), "bigint": pa.int64()}
 
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         data, offs = utf8(texts)
         out = []
         for i in range(len(texts)):
             own = data[offs[i] : offs[i + 1]]
-            if not found[i].is_valid:
-                out.append((own.tobytes(), len(own), 0, 0))
+            here = found[i].as_py() or {}
+            n_passage = int(_covered(here["short"], len(own), passage).sum()) if here.get("short") else 0
+            if not here.get("spans"):
+                out.append((own.tobytes(), len(own), 0, 0, n_passage))
                 continue
-            gone = _covered(found[i].as_py(), len(own), length)
-            out.append((own[~gone].tobytes(), len(own), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())))
-        return pa.StructArray.from_arrays([pa.array([x[j] for x in out], t) for j, (_, t) in enumerate(kinds)], fields=[pa.field(n, t) for n, t in kinds])
-
-    done = F.arrow_udf(cut, "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")(F.col(text), F.col("__spans"))
+            gone = _covered(here["spans"], len(own), length)
+            if whole_characters:
+                begins = (own & 0xC0) != 0x80
+                begins[0] = True
+                gone = np.maximum.reduceat(gone, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+            out.append((own[~gone].tobytes(), len(own), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), n_passage))
+        return pa.StructArray.from_arrays([pa.array([x[j] for x in out], arrow[t]) for j, (_, t) in enumerate(kinds)], fields=[pa.field(n, arrow[t]) for n, t in kinds])
+
+    done = F.arrow_udf(cut, f"struct<{', '.join(f'{n}: {t}' for n, t in kinds)}>")(F.col(text), F.col("__spans"))
     return joined.withColumn("__c", done).withColumns({x: F.col(f"__c.{x}") for x, _ in kinds}).drop("__c", "__id", "__h", "__spans")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passage=PASSAGE)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_passage")
