@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, settle, small_batches
+from .common import settle, small_batches
 
 #: A tag, a comment, a declaration or an unclosed rest; attribute values may hold ">".
 _MARKUP = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
@@ -45,6 +45,8 @@ ROOTS = ("article", "main")
 PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre tbody td tfoot th thead tr".split())
 #: Pages of one host, with different main texts, on which a subtree must stand to be template, and their share of all such pages.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Hashes of all hosts' templates together that are broadcast at most; beyond, pages and templates are joined by host.
+BROADCAST_HASHES = 1 << 20
 #: Stands among the hashes for the page itself: in a page's templates it says that its host was counted.
 COUNTED = 0
 
@@ -205,17 +207,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     A null, empty or text-free page has the empty text; a null url is a host of its own; ill-formed markup is read as far
     as it goes. Repeated rows and pages with equal main text count once towards a template, so copies of a page don't
-    make its text template; where ids repeat, they share the templates. A host with fewer different pages than template_pages isn't counted. Long pages are read whole. Other columns are not
-    read.
+    make its text template. Templates belong to the host, whatever a page's id is. A host with fewer different pages than
+    template_pages isn't counted. Long pages are read whole. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = small_batches(pages).select(F.col(key).alias("id"), F.xxhash64(host).alias("host"), F.col(page).alias("page"))
-    schema = T.StructType([T.StructField("id", pages.schema[key].dataType), T.StructField("host", T.LongType()), T.StructField("body", T.LongType()), T.StructField("hash", T.LongType())])
+    rows = small_batches(pages).select(F.xxhash64(host).alias("host"), F.col(page).alias("page"))
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("host", "body", "hash")])
 
     def subtrees(batches):
         for batch in batches:
             take, body, hashes = [], [], []
-            for i, value in enumerate(batch.column(2)):
+            for i, value in enumerate(batch.column(1)):
                 raw = value.as_py()
                 if not raw:
                     continue
@@ -229,14 +231,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     body.append(whole)
                     hashes.append(_signed(x))
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(body, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "host", "body", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(body, pa.int64()), pa.array(hashes, pa.int64())], names=schema.names)
 
     seen = rows.mapInArrow(subtrees, schema)
     counts = settle(seen.groupBy("host", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages))
     pages_of = counts.where(F.col("hash") == COUNTED).select("host", F.col("n").alias("pages"))
-    often = settle(counts.join(pages_of, "host").where(F.col("n") >= template_share * F.col("pages")).select("host", "hash"))
-    mine = only(seen, often, ["host", "hash"]).select("id", "host", "hash").join(often, ["host", "hash"], "left_semi").groupBy("id").agg(F.collect_set("hash").alias("template"))
-    joined = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(page).alias("page")).join(mine, "id", "left")
+    often = counts.join(pages_of, "host").where(F.col("n") >= template_share * F.col("pages"))
+    templates = settle(often.groupBy("host").agg(F.collect_set("hash").alias("template")))  # as many as 1 / template_share pages have elements
+    few = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0] <= BROADCAST_HASHES
+    joined = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(page).alias("page"), F.xxhash64(host).alias("host"))
+    joined = joined.join(F.broadcast(templates) if few else templates, "host", "left")
 
     def read(pages_: pa.Array, templates: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py() or "", frozenset(x & 0xFFFFFFFFFFFFFFFF for x in (t.as_py() or ()))) for p, t in zip(pages_, templates, strict=True)], pa.string())
