@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, prefix_hash, runs, shingles, small_batches, span_hash, utf8
+from .common import blocks, prefix_hash, runs, settle, shingles, small_batches, span_hash, utf8
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
-#: Items per index that is broadcast; a larger benchmark is searched in several such blocks.
+#: Items per index that is broadcast; a larger benchmark is searched in several such blocks, with the statistics of all items.
 ITEMS_PER_INDEX = 20_000
 POSTINGS_PER_BLOCK = 16
 GRAM = 3
@@ -90,8 +90,27 @@ def _hashed(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
-def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: float = 0.75, least_segment: int = 64) -> Index:
+@dataclass
+class Statistics:
+    """Of all items with a word, however many indexes they are dealt over."""
+
+    items: int
+    mean: float  # words of an item
+    longest: int
+    holders: dict[int, int]  # items that hold a word, for the words of one index at least
+
+
+def statistics_of(items: list[tuple]) -> Statistics:
+    """Statistics of (id, text) rows that are all items."""
+    words = [w for _, t in items if t for w in [_hashed(t)] if len(w)]
+    terms, counts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True) if words else ((), ())
+    lengths = [len(w) for w in words]
+    return Statistics(len(words), float(np.mean(lengths)) if lengths else 0.0, max(lengths, default=0), {int(t): int(n) for t, n in zip(terms, counts, strict=True)})
+
+
+def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: float = 0.75, least_segment: int = 64, statistics: Statistics | None = None) -> Index:
     """Index of (id, text) rows; items without a word are left out. ``least`` is the threshold it will be searched with."""
+    of = statistics or statistics_of(items)
     kept = [(i, t, w) for i, t in items if t for w in [_hashed(t)] if len(w)]
     ids = [i for i, _, _ in kept]
     lengths = np.array([len(w) for _, _, w in kept], float)
@@ -103,8 +122,8 @@ def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: floa
     own, weighted = np.zeros(len(kept)), []
     for h in vocabulary.tolist():
         at, tf = np.array([x[0] for x in rows[h]]), np.array([x[1] for x in rows[h]], float)
-        idf = np.log(1 + (len(kept) - len(at) + 0.5) / (len(at) + 0.5))
-        score = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[at] / lengths.mean()))
+        idf = np.log(1 + (of.items - of.holders[h] + 0.5) / (of.holders[h] + 0.5))
+        score = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[at] / of.mean))
         own[at] += score
         weighted.append((at, score))
     postings = []
@@ -125,7 +144,7 @@ def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: floa
     rare = ~is_common
     rare_from = np.searchsorted(term[rare], np.arange(len(postings) + 1))
     parts = [tuple(_grams(_hashed(x)) for x in question_and_answer(t)) for _, t, _ in kept]
-    return Index(ids, vocabulary, postings, rare_from, item[rare], impact[rare], common, parts, max(least_segment, int(lengths.max(initial=0))))
+    return Index(ids, vocabulary, postings, rare_from, item[rare], impact[rare], common, parts, max(least_segment, of.longest))
 
 
 def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -226,15 +245,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """(key, item, score, question_overlap, answer_overlap): the best passage of each document and leaked item.
 
     Null and empty texts and items without a word leak nothing; a text shorter than a passage is one passage; texts are
-    searched whole. Ties give one row. Repeated documents give one row per key and item. Empty tables give no rows.
+    searched whole, in passages of the longest item's length at least. Scores don't depend on how many indexes the items
+    are dealt over. Ties give one row. Repeated documents give one row per key and item. Empty tables give no rows.
     """
     names = [key, "__item", "score", "question_overlap", "answer_overlap"]
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("__item", benchmark.schema[item].dataType), *(T.StructField(x, T.DoubleType()) for x in names[2:])])
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     parts = max(1, -(-items.count() // ITEMS_PER_INDEX))
+    items = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
+
+    def terms_of(batches):
+        for batch in batches:
+            words = [_hashed(t) for t in batch.column(1).to_pylist()]
+            terms = pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), terms], names=["part", "n", "terms"])
+
+    counted = settle(items.select("part", "t").mapInArrow(terms_of, "part int, n long, terms array<long>").where("n > 0"))
+    n_items, mean, longest = counted.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    term_parts = counted.select("part", F.explode("terms").alias("term"))
+    holders = term_parts.groupBy("term").agg(F.count("*").alias("holders"))
+    per_part = settle(term_parts.distinct().join(holders, "term"))
     found = None
-    for n in range(parts):  # at most ITEMS_PER_INDEX items or so at a time on the driver
-        index = build_index([(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == n).collect()], least)
+    for n in range(parts):  # at most ITEMS_PER_INDEX items or so at a time on the driver, with the counts of their words
+        of = Statistics(n_items, mean, longest, {int(np.int64(r["term"]).view(np.uint64)): r["holders"] for r in per_part.where(F.col("part") == n).collect()})
+        index = build_index([(r["i"], r["t"]) for r in items.where(F.col("part") == n).collect()], least, statistics=of)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
