@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,10 +44,12 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a folder of our own only where none is set."""
+    """The shared checkpoint folder of the session. A folder of our own stands in for it in local mode only."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or os.path.join(os.environ.get("TMPDIR", "/tmp"), "cutroom-checkpoints"))
     return sc.getCheckpointDir()
 
