@@ -129,40 +129,43 @@ GROUP_MARKS = "?,.、;:!…？，。；：！"
 def caption_groups(words: DataFrame, by: list[str], order: str, most_words: int = 4, most_chars: int = 40, most_lines: int = 2) -> DataFrame:
     """X-6. Timed words in caption groups; a group ends with a punctuated word, at a number of words, or once its text with
     a blank behind each word is longer than its lines. Blank words are skipped."""
+    bare = lambda w: F.regexp_replace(w, r"^\s+|\s+$", "")
+    kinds = {c: words.schema[c].dataType.simpleString() for c in ("start", "end", "word")}
+    empty = F.array().cast(f"array<struct<start: {kinds['start']}, end: {kinds['end']}, text: {kinds['word']}>>")
+    cells = lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["text"].alias("text"))
+    fresh = [F.lit(0).alias("n"), F.lit(0).alias("size"), *(F.lit(None).cast(kinds[c]).alias(n) for c, n in (("start", "start"), ("end", "end"), ("word", "text")))]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["word"].str.strip() != ""].sort_values(order)
-        group, n, size, out = 0, 0, 0, []
-        for w in pdf["word"].str.strip():
-            out.append(group)
-            n, size = n + 1, size + len(w) + 1
-            if n >= most_words or size > most_chars * most_lines or any(c in GROUP_MARKS for c in w):
-                group, n, size = group + 1, 0, 0
-        return pdf.assign(group=pd.array(out, dtype="int32"))
-
-    schema = T.StructType([*words.schema.fields, T.StructField("group", T.IntegerType())])
-    rows = words.groupBy(*by).applyInPandas(fold, schema)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), " ")
-    return rows.groupBy(*by, "group").agg(F.round(F.min("start"), 3).alias("start"), F.round(F.max("end"), 3).alias("end"), text.alias("text"))
-
-
-def phrase_list(units: list[str]) -> list[str]:
-    """X-7 for one text: words of short units are grouped into phrases; long units stay as they are."""
-    if not units or sum(map(len, units)) / len(units) >= 15:
-        return list(units)
-    out, held = [], []
-    for i, u in enumerate(units):
-        held.append(u)
-        end = u.rstrip()[-1:]
-        if (end and end in ".!?。！？") or len(held) >= 8 or i == len(units) - 1 or (end and end in ",，" and len(held) >= 4):
-            out.append(re.sub(r"\s+([,.!?。，！？])", r"\1", " ".join(held).strip()))
-            held = []
-    return out
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["n"] >= most_words) | (acc["size"] > most_chars * most_lines) | acc["ended"]
+        keep = lambda new, old: F.when(full, new).otherwise(old)
+        return F.struct(
+            keep(F.concat(acc["done"], F.array(cells(acc))), acc["done"]).alias("done"), (keep(F.lit(0), acc["n"]) + 1).alias("n"), (keep(F.lit(0), acc["size"]) + F.char_length(bare(x["word"])) + 1).alias("size"),
+            F.least(keep(F.lit(None), acc["start"]), x["start"]).alias("start"), F.greatest(keep(F.lit(None), acc["end"]), x["end"]).alias("end"),
+            F.concat_ws(" ", keep(F.lit(None).cast("string"), acc["text"]), x["word"]).alias("text"), x["word"].rlike(f"[{GROUP_MARKS}]").alias("ended"),
+        )
+
+    start = F.struct(empty.alias("done"), *fresh, F.lit(False).alias("ended"))
+    rows = words.where(bare(F.col("word")) != "").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, "word", "start", "end"))).alias("__w"))
+    groups = F.aggregate("__w", start, step, lambda acc: F.concat(acc["done"], F.array(cells(acc))))
+    return rows.select(*by, F.posexplode(groups).alias("group", "__g")).select(*by, "group", F.round("__g.start", 3).alias("start"), F.round("__g.end", 3).alias("end"), "__g.text")
 
 
 def phrase_groups(df: DataFrame, units: str = "units") -> DataFrame:
-    """X-7. Phrases of an array of spoken units, in order (pos, phrase)."""
-    return _exploded(df, units, lambda u: phrase_list(list(u)), "phrase")
+    """X-7. Phrases of an array of spoken units, in order (pos, phrase): short units are grouped, up to a mark that ends a
+    sentence, a comma behind the fourth or the eighth unit; units that are long on average stay as they are."""
+    array = F.coalesce(F.col(units), F.array().cast("array<string>"))
+    size = F.aggregate(array, F.lit(0), lambda n, x: n + F.char_length(x))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, text = acc["n"] + 1, F.concat_ws(" ", acc["open"], x)
+        ends = x.rlike(r"[.!?。！？]\s*$") | (n >= 8) | (x.rlike(r"[,，]\s*$") & (n >= 4))
+        phrase = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+([,.!?。，！？])", "$1")
+        return F.struct(F.when(ends, F.concat(acc["done"], F.array(phrase))).otherwise(acc["done"]).alias("done"), F.when(ends, F.lit(None)).otherwise(text).alias("open"), F.when(ends, F.lit(None)).otherwise(phrase).alias("last"), F.when(ends, 0).otherwise(n).alias("n"))
+
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("open"), none.alias("last"), F.lit(0).alias("n"))
+    grouped = F.aggregate(array, start, step, lambda acc: F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+    return df.select("*", F.posexplode(F.when(size >= 15 * F.size(array), array).otherwise(grouped)).alias("pos", "phrase"))
 
 
 def recognised_segments_to_cues(words: DataFrame, by: list[str], order: str) -> DataFrame:
