@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of the documents' word shingle sets, to components of linked documents.
 
-Equal sets are one class. Classes meet in lists by their prefix tokens; frequent tokens come last in the order of all
+Equal sets are one class (by two 63-bit names and the size). Classes meet in lists by their prefix tokens; frequent tokens come last in the order of all
 sets, so lists that unrelated sets share stay short. Two kinds of skipping by set relations follow:
 
 * by index: a list is kept in blocks by the token's position in the sets; a block is skipped where its positions and
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .common import WHITE, blocks, fold_case, mix, only, prefix_hash, runs, settle, shingles, small_batches, span_hash, utf8
 from .components import components
+from .sharding import ranked
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -30,6 +31,14 @@ PERCENT = 80
 #: broadcast: with more, the least frequent of them count as rare, which costs longer lists and loses nothing.
 LONG_LIST, FREQUENT_TOKENS = 32, 1 << 19
 BLOCK = 64
+#: Rows of one list that a task compares; a longer list is cut into parts by position, and pairs of parts are dealt out.
+LIST_AT_ONCE = 4096
+#: Pairs with one set that a task verifies, about; the pairs of a set with more are dealt over several tasks.
+PAIRS_AT_ONCE = 256
+#: Sets with many pairs that are broadcast at most; with more, they are joined.
+BROADCAST_SETS = 1 << 16
+#: Tokens that a set of mostly rare ones is looked up by; None: its whole prefix. See ``prefix``.
+RARE_TOKENS = 32
 _U = np.uint64
 
 
@@ -56,9 +65,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = WORDS) -> list[np.
     return out
 
 
-def class_of(own: np.ndarray) -> int:
-    """A 63-bit name of a set."""
-    return int(mix(np.array([mix(own).sum(dtype=np.uint64) + _U(len(own))], np.uint64))[0] >> _U(1))
+def names_of(own: np.ndarray) -> tuple[int, int]:
+    """Two independent 63-bit names of a set."""
+    both = [mix(own).sum(dtype=np.uint64), mix(mix(own) ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)]
+    first, second = mix(np.array(both, np.uint64) + _U(len(own))) >> _U(1)
+    return int(first), int(second)
 
 
 def prefix_length(n: int) -> int:
@@ -71,12 +82,13 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix(own: np.ndarray, frequent: np.ndarray, rare: int | None = RARE_TOKENS) -> np.ndarray:
     """Prefix in the order of all sets: rare tokens by hash, then frequent ones by hash.
 
     The order by hash is random. If a share h of a set is frequent tokens, a linked set has at least (0.8 - h) / (1 - h) of the
     joint rare tokens in common, so the chance that the first 32 have none in common is below 4e-18 for h up to 0.3,
-    and that of the first 64 below 4e-26 for h up to 0.5. Beyond, and for shorter prefixes, the prefix is whole.
+    and that of the first 64 below 4e-26 for h up to 0.5. Beyond, and for shorter prefixes, the prefix is whole, as it is
+    for all sets where ``rare`` is None: then no link is left to chance.
     """
     n = prefix_length(len(own))
     if len(frequent):
@@ -85,7 +97,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         own = np.concatenate([own[~often], own[often]])
     else:
         share = 0.0
-    return own[: min(n, 32 if share <= 0.3 else 64 if share <= 0.5 else n)]
+    return own[: n if rare is None or share > 0.5 else min(n, rare if share <= 0.3 else 2 * rare)]
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -97,8 +109,11 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2}) and {100 + PERCENT} * least({n1} - {p1}, {n2} - {p2}) >= {PERCENT} * ({n1} + {n2})"
 
 
-def candidate_pairs(size, pos, cid, comp, leader, dist, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list that may be linked, are not known to be connected and are not ruled out by a leader."""
+def candidate_pairs(size, pos, cid, comp, leader, dist, side=None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one list that may be linked, are not known to be connected and are not ruled out by a leader.
+
+    With ``side``, pairs of different sides only.
+    """
     order = np.lexsort((cid, size, pos))
     size, pos = size[order], pos[order]
     cuts = np.arange(0, len(order), block)
@@ -118,6 +133,8 @@ def candidate_pairs(size, pos, cid, comp, leader, dist, block: int = BLOCK) -> t
             ok = (100 * np.minimum(sx, sy) >= PERCENT * np.maximum(sx, sy)) & (both * np.minimum(sx - px, sy - py) >= PERCENT * (sx + sy))
             ok &= comp[x][:, None] != comp[y][None, :]
             ok &= ~((leader[x][:, None] == leader[y][None, :]) & (np.abs(dist[x][:, None] - dist[y][None, :]) > 1 - PERCENT / 100 + 1e-9))
+            if side is not None:
+                ok &= side[x][:, None] != side[y][None, :]
             if a == b:
                 ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
             i, j = np.nonzero(ok)
@@ -127,15 +144,14 @@ def candidate_pairs(size, pos, cid, comp, leader, dist, block: int = BLOCK) -> t
 
 
 def _pairs_of_lists(batches):
-    """Candidate pairs of rows (token, cid, n, pos, comp, leader, dist) that come sorted by token."""
+    """Candidate pairs of rows (list, cid, n, pos, comp, leader, dist, side) that come sorted by list; side -1: pair with all."""
 
     def pairs(table: pa.Table):
-        token, cid, n, pos, comp, leader = (table.column(x).to_numpy() for x in ("token", "cid", "n", "pos", "comp", "leader"))
-        dist = table.column("dist").to_numpy()
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        ends = np.append(starts[1:], len(token))
+        name, cid, n, pos, comp, leader, dist, side = (table.column(x).to_numpy() for x in ("list", "cid", "n", "pos", "comp", "leader", "dist", "side"))
+        starts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        ends = np.append(starts[1:], len(name))
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            i, j = candidate_pairs(n[s:e].astype(np.int64), pos[s:e].astype(np.int64), cid[s:e], comp[s:e], leader[s:e], dist[s:e])
+            i, j = candidate_pairs(n[s:e].astype(np.int64), pos[s:e].astype(np.int64), cid[s:e], comp[s:e], leader[s:e], dist[s:e], side[s:e] if side[s] >= 0 else None)
             if len(i):
                 x, y = cid[s:e][i], cid[s:e][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -145,21 +161,48 @@ def _pairs_of_lists(batches):
         if not batch.num_rows:
             continue
         held.append(batch)
-        token = batch.column("token").to_numpy()
-        last = int(np.searchsorted(token, token[-1]))
-        if last or token[0] != held[0].column("token")[0].as_py():
+        name = batch.column("list").to_numpy()
+        last = int(np.searchsorted(name, name[-1]))
+        if last or name[0] != held[0].column("list")[0].as_py():
             yield from pairs(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
             held = [batch.slice(last)]
     if held:
         yield from pairs(pa.Table.from_batches(held))
 
 
+def dealt_lists(lists: DataFrame, long: DataFrame, most: int) -> DataFrame:
+    """Rows of the lists whose tokens are in ``long``, as (list, ..., side) for pairs of parts of at most ``most`` / 2 rows.
+
+    A list's rows are numbered by position without a task that holds them all and cut into parts. Two parts meet, as two
+    sides of a list of their own, unless their positions and sizes leave too few tokens for any link.
+    """
+    rows = ranked(lists.join(long.select("token"), "token", "left_semi"), ["token"], ["pos", "n", "cid"], "__rank")
+    rows = settle(rows.withColumn("part", F.floor(F.col("__rank") / (most // 2)).cast("long")).drop("__rank"))
+    edges = settle(rows.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("top"), F.max(F.col("n") - F.col("pos")).alias("rest")))
+    x, y = (edges.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("part", "low", "top", "rest"))) for k in (1, 2))
+    reach = f"part1 <= part2 and 100 * top2 >= {PERCENT} * low1 and 100 * top1 >= {PERCENT} * low2 and {100 + PERCENT} * least(rest1, rest2) >= {PERCENT} * (low1 + low2)"
+    met = settle(x.join(y, "token").where(reach).select("token", "part1", "part2").withColumn("list", F.xxhash64("token", "part1", "part2")))
+    one = met.where("part1 = part2").select("token", F.col("part1").alias("part"), "list", F.lit(-1).alias("side"))
+    two = met.where("part1 < part2").select("token", F.explode(F.array(*(F.struct(F.col(f"part{k}").alias("part"), "list", F.lit(k).alias("side")) for k in (1, 2)))).alias("p"))
+    places = one.unionByName(two.select("token", "p.*"))
+    return rows.join(places, ["token", "part"]).select("list", "cid", "n", "pos", "comp", "leader", "dist", "side")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WORDS) -> DataFrame:
-    """(a, b, dist, linked) of class pairs, from the whole texts of one row of each class."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    named = settle(classes.join(wanted, "cid", "left_semi").select("cid", F.col("least.id").alias("id"), F.col("least.h").alias("h")))
-    held = only(rows, named, ["id", "h"]).join(named.select("cid", F.col("id").alias("i"), F.col("h").alias("g")), F.expr("i <=> id and g <=> h")).groupBy("cid").agg(F.min("text").alias("text"))
-    rows = pairs.join(held.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    """(a, b, dist, linked) of class pairs, from the whole texts of one row of each class.
+
+    The pairs of a set that has many are dealt over several keys, and its text is copied to each of them.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts"))
+    named = settle(classes.join(wanted, "cid").select("cid", F.col("least.id").alias("id"), F.col("least.h").alias("h"), "parts"))
+    held = only(rows, named, ["id", "h"]).join(named.select("cid", "parts", F.col("id").alias("i"), F.col("h").alias("g")), F.expr("i <=> id and g <=> h"))
+    held = held.select("cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text").groupBy("cid", "part").agg(F.min("text").alias("text"))
+    many = named.where("parts > 1").select("cid", "parts")
+    many = F.broadcast(many) if many.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else many
+    rows = pairs
+    for side in ("a", "b"):
+        rows = rows.join(many.withColumnRenamed("cid", side), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        rows = rows.join(held.select(F.col("cid").alias(side), "part", F.col("text").alias(f"t{side}")), [side, "part"]).drop("part")
 
     def compare(batches):
         for batch in batches:
@@ -174,7 +217,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WOR
     return settle(rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, dist double, linked boolean"))
 
 
-def _linked(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, key: str, text: str, k: int, rare: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, h, n, cid), classes (cid, least, low) and all verified links of classes (a, b)."""
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -212,19 +255,30 @@ def _linked(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Da
         often = np.union1d(often, frequent(all_tokens, FREQUENT_TOKENS // 2))
     shared = spark.sparkContext.broadcast(often)
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("other", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def described(batches):
         for batch in batches:
             sets = list(each(batch, "text"))
-            tokens = [prefix(own, shared.value).view(np.int64) if len(own) else np.zeros(0, np.int64) for own in sets]
+            tokens = [prefix(own, shared.value, rare).view(np.int64) if len(own) else np.zeros(0, np.int64) for own in sets]
             ends = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(x) for x in tokens], out=ends[1:])
+            names = np.array([names_of(x) for x in sets], np.int64).reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in sets], pa.int64()), lists], names=schema.names)
 
     members = settle(rows.mapInArrow(described, schema))
-    classes = settle(members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+
+    def equal_sets() -> DataFrame:
+        found = members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), (F.min(F.struct("other", "n")) != F.max(F.struct("other", "n"))).alias("clash"))
+        return settle(found)
+
+    classes = equal_sets()
+    while classes.where("clash").limit(1).count():  # different sets with one name: they get others
+        named = classes.where("clash").select("cid", "clash")
+        other = F.when(F.col("clash"), F.abs(F.xxhash64("cid", "other", "n"))).otherwise(F.col("cid"))
+        members = settle(members.join(named, "cid", "left").withColumn("cid", other).select(*schema.names))
+        classes = equal_sets()
 
     # answers of the leaders: in each list and size band the class that has the token first, as the least edited one has
     lists = _lists(classes).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))
@@ -238,43 +292,46 @@ def _linked(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Da
     nearest = known.groupBy(F.col("b").alias("cid")).agg(F.min_by("a", "dist").alias("leader"), F.min("dist").alias("dist"))
     nearest = nearest.unionByName(known.select(F.col("a").alias("cid")).distinct().join(nearest.select("cid"), "cid", "left_anti").select("cid", F.col("cid").alias("leader"), F.lit(0.0).alias("dist")))
     open_lists = _lists(classes).join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    several = open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    open_lists = open_lists.join(several, "token", "left_semi").join(nearest, "cid", "left")
+    several = settle(open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x < y").select("token", "rows"))
+    long = several.where(F.col("rows") > LIST_AT_ONCE)
+    open_lists = open_lists.join(nearest, "cid", "left")
     open_lists = open_lists.select("token", "cid", "n", "pos", "comp", F.coalesce("leader", "cid").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    rest = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    short = open_lists.join(several.where(F.col("rows") <= LIST_AT_ONCE), "token", "left_semi").withColumnRenamed("token", "list").withColumn("side", F.lit(-1))
+    meet = short.unionByName(dealt_lists(open_lists, long, LIST_AT_ONCE)) if long.limit(1).count() else short
+    rest = meet.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(settle(rest), classes, rows, k).where("linked").select("a", "b")
     return members, classes, edges.unionByName(more)
 
 
-def link_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def link_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, rare: int | None = RARE_TOKENS) -> DataFrame:
     """key, text_hash (xxhash64) and component (a name of the group of linked texts) of every row.
 
     Only texts link: rows that repeat a key, or have none, are apart unless their texts are linked. A text without words
     is linked with nothing; its component is null.
     """
-    members, _, edges = _linked(docs, key, text, k)
+    members, _, edges = _linked(docs, key, text, k, rare)
     out = members.join(components(edges).withColumnRenamed("node", "cid"), "cid", "left")
     return out.select(F.col("id").alias(key), F.col("h").alias("text_hash"), F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("component"))
 
 
-def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links) and class_id (equal sets) of every row.
+def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, rare: int | None = RARE_TOKENS) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable by links) and class_id (the smallest key of an equal set) of every row.
 
     A null or empty text, or one without words, has the empty set and is linked with nothing; its component is its own key. Texts are read
     whole. Rows that repeat a key are one node of the link graph; a null key is never the smallest unless it is alone.
     Other columns are not read. An empty table gives an empty result.
     """
-    members, classes, edges = _linked(docs, key, text, k)
+    members, classes, edges = _linked(docs, key, text, k, rare)
 
     # rows that repeat a key are one node
     repeated = members.where("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("id", "a")
     repeated = members.where("n > 0").join(repeated, "id").where("cid <> a").select("a", F.col("cid").alias("b"))
     comps = components(edges.unionByName(repeated)).withColumnRenamed("node", "cid")
-    named = settle(classes.select("cid", "low").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "component").select("cid", "component_id")
+    named = settle(classes.select("cid", F.col("low").alias("class_id")).join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(lowest, "component").select("cid", "component_id", "class_id")
     out = members.select("id", "n", "cid").join(named, "cid", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("cid").alias("class_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
