@@ -17,5 +17,44 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-#: Equal draws need only md5, which DuckDB has; the checksum of a text (CRC-32) is folded byte by byte over the bits.
-ORACLE_SQL: dict[str, str] = {}
+#: CRC-32 of a text's bytes: a table of 256 by the rule of its polynomial, then folded over the bytes.
+_CRC = """(with t as materialized (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n)) as t),
+    b as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as bigint)) as b from documents)
+    select doc_id, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), cast(4294967295 as bigint)), 4294967295) as crc from b, t)"""
+
+#: Jump consistent hashing with md5 draws; slots by md5 of what the rows are ordered by.
+_SHARDS = f"""with recursive j as (select doc_id, cast(n as bigint) as n, cast(0 as bigint) as here, cast(0 as bigint) as nxt from documents, (values (8), (9)) as s(n)
+    union all select doc_id, n, nxt, cast(floor((nxt + 1) * (cast(2147483648 as double) / ((cast('0x' || substr(md5(concat(doc_id, ':', nxt)), 1, 8) as bigint) >> 1) + 1))) as bigint) from j where nxt < n),
+    s as (select doc_id, cast(max(here) filter (n = 8) as int) as shard, cast(max(here) filter (n = 9) as int) as grown_shard from j group by doc_id),
+    r as (select d.doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, crc as text_crc32, 'key' as law, shard, grown_shard from documents d join s on s.doc_id = d.doc_id join {_CRC} c on c.doc_id = d.doc_id)
+    select doc_id, size, text_crc32, law, shard, row_number() over (partition by shard order by substr(md5(concat(doc_id, ':', text_crc32, ':', size, ':')), 1, 8), doc_id, text_crc32, size) - 1 as slot, grown_shard from r"""
+
+#: Turns as they are formatted: each backslash doubled and a backslash put into each control string.
+_EXTRA = r"len(regexp_extract_all({c}, '\\\\|<\|im_start\|>|<\|im_end\|>|<\|startoftext\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))"
+_CHAT = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    c as (select conv_id, count(*) as n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' order by turn) as whole, coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as loss,
+    cast(sum(length(role) + {_EXTRA.format(c="role")} + length(text) + {_EXTRA.format(c="text")} + 24) as bigint) as formatted_chars from t group by conv_id)
+    select conv_id, n_turns, sha256(whole) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from c"""
+
+#: Word sets by their shingles, links by counts of common ones, components by reachability.
+_LINKS = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    s as materialized (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from w),
+    k as materialized (select min(doc_id) as k, s, len(s) as n from s where len(s) > 0 group by s),
+    e as (select k, n, unnest(s) as x from k), p as (select a.k as a, b.k as b, a.n as na, b.n as nb, count(*) as common from e a join e b on a.x = b.x and a.k < b.k and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+    l as (select a, b from p where 100 * common >= 80 * (na + nb - common)), both_ways as materialized (select a, b from l union all select b, a from l),
+    r as (select k, k as c from k union select both_ways.b, r.c from r join both_ways on both_ways.a = r.k)
+    select s.doc_id, len(s.s) as n_shingles, coalesce(c, s.doc_id) as component_id, coalesce(k.k, s.doc_id) as class_id from s left join k on k.s = s.s left join (select k, min(c) as c from r group by k) m on m.k = k.k"""
+
+#: Strings of 400 (and 250) bytes as pieces of hexadecimal text; starts of those that come twice, runs that they cover, what is left.
+_REPEATS = """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    w as materialized (select doc_id, i, md5(h[2 * i + 1:2 * (i + size)]) as m, size from (select doc_id, h, size, unnest(range(0, len(h) // 2 - size + 1)) as i from d, (values (400), (250)) as z(size))),
+    a as (select doc_id, i, w.size from w join (select m, size from w group by m, size having count(*) > 1) as c on c.m = w.m and c.size = w.size),
+    b as (select *, sum(fresh) over (partition by doc_id, size order by i) as run from (select *, case when i - lag(i) over (partition by doc_id, size order by i) <= size then 0 else 1 end as fresh from a)),
+    r as materialized (select doc_id, size, run, min(i) as lo, max(i) + size as hi from b group by doc_id, size, run),
+    t as (select doc_id, cast(sum(hi - lo) filter (size = 400) as bigint) as n_removed, count(*) filter (size = 400) as n_spans, cast(sum(hi - lo) filter (size = 250) as bigint) as n_passage from r group by doc_id),
+    g as (select doc_id, lag(hi, 1, 0) over (partition by doc_id order by lo) as f, lo as z from r where size = 400 union all select d.doc_id, coalesce(max(hi), 0), max(len(h)) // 2 from d left join r on r.doc_id = d.doc_id and r.size = 400 group by d.doc_id),
+    x as (select g.doc_id, string_agg(h[2 * f + 1:2 * z], '' order by f) as h from g join d on d.doc_id = g.doc_id group by g.doc_id)
+    select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x.h)) as kept_sha256, coalesce(n_passage, 0) as n_passage from d join x on x.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
+
+#: The others need a trained model, a tokenizer, an index or a parser; tests hold brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op4_repeats": _REPEATS, "op5_shard": _SHARDS, "op8_chat": _CHAT, "op9_jaccard": _LINKS}

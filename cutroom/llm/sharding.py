@@ -33,24 +33,28 @@ def jump_shard(key: Column, shards: int) -> Column:
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """Gapless numbers from 0 within each group, without a task that holds a whole group.
 
-    Each group is dealt over ``salts`` parts by a hash of the order columns; parts are numbered alone, then shifted by
-    the sizes of the parts before them. The table of sizes has groups x salts rows, so the groups must be few.
+    Rows are numbered by 32 bits of an md5 of the order columns, then by these columns. Each group is cut into ``salts``
+    ranges of those bits; ranges are numbered alone, then shifted by the sizes of the ranges before them, so the numbers
+    are the same at any number of partitions. The table of sizes has groups x salts rows, so the groups must be few.
     """
     salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    own = Window.partitionBy(*group, "__part").orderBy(*order)
+    text = F.concat(*(x for c in order for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"))))
+    df = df.withColumn("__bits", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"))
+    df = df.withColumn("__part", F.shiftright(F.col("__bits") * salts, 32).cast("int"))
+    own = Window.partitionBy(*group, "__part").orderBy("__bits", *order)
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     numbered = df.withColumn("__rn", F.row_number().over(own).cast("long") - 1)
-    return numbered.join(sizes, [*group, "__part"]).withColumn(out, F.col("__rn") + F.col("__before")).drop("__rn", "__before", "__part")
+    return numbered.join(sizes, [*group, "__part"]).withColumn(out, F.col("__rn") + F.col("__before")).drop("__rn", "__before", "__part", "__bits")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size (UTF-8 bytes + 1), text_crc32, law, shard, slot (gapless in the shard) and grown_shard (one more shard).
 
     A null text has size 1 and the checksum of no bytes; a null key is placed as the empty string. Repeated rows get
-    the same shard and slots of their own. Other columns are not read. An empty table gives an empty result.
+    the same shard and slots of their own. Beyond ``MOST_JUMPS`` shards a walk of more jumps than that would end early;
+    the chance is below 1e-300 a row, as about ln(shards) are needed. Other columns are not read. An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
