@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import blocks, id_crc, mix, prefix_hash, runs, small_batches, span_hash, utf8
+from .common import blocks, id_crc, mix, prefix_hash, runs, settle, small_batches, span_hash, utf8
 from .decontaminate import WORD, fold
 
 CLEAN, TOXIC = 0, 1
@@ -188,13 +188,21 @@ def tag(tagger: Tagger, data: np.ndarray, offs: np.ndarray):
     return most, total, hit_row, s[hit], e[hit], p
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = 6000) -> Tagger:
-    """A tagger from a sample of about ``fit_docs`` labelled documents (the documented bound), learned in one task."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = 6000, fit_bytes: int = 1 << 26) -> Tagger:
+    """A tagger learned in one task from a sample of labelled documents.
+
+    The documented bound: about ``fit_docs`` documents of ``fit_bytes`` of text in all, none longer than a 64th of that.
+    """
     known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
     n = known.count()
     if n > fit_docs:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k").select("text", "y")  # as many rows as the sample
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).where(F.octet_length("text") <= fit_bytes // 64)
+    rows = settle(rows.join(F.broadcast(known), "k").select("k", "text", "y"))  # as many rows as the sample
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > fit_bytes:
+        rows = rows.where(F.pmod(F.xxhash64("text", "k"), F.lit(1 << 30)) < int((1 << 30) * fit_bytes / size))
+    rows = rows.select("text", "y")
 
     def train(batches):
         texts, y = [], []
