@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import content_queries, media_queries, text_queries, timeline_queries  # noqa: E402, F401
+from . import content_queries, file_queries, media_queries, text_queries, timeline_queries  # noqa: E402, F401
