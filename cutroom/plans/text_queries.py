@@ -100,9 +100,12 @@ def _(get):
     return x.recognised_segments_to_cues(get("words"), ["script_id", "seg_idx"], "word_idx")
 
 
-@query("parse_terms", """select doc_id, case doc_id % 4 when 0 then 'a|b c' when 1 then 'x|y' when 2 then 'p|q' else 'subject' end as terms from {documents}""")
+@query("parse_terms", """select doc_id, case doc_id % 4 when 0 then concat(w[1], '|', w[2], ' ', w[3]) when 1 then concat(w[3], '|', w[1]) when 2 then concat(w[2], '|', w[3]) else concat('subject ', doc_id) end as terms
+    from (select doc_id, list_concat(regexp_extract_all(text, '[a-zA-Z]+'), ['a', 'b', 'c']) as w from {documents})""")
 def _(get):
-    rows = get("documents").selectExpr("doc_id", "case doc_id % 4 when 0 then '[\"a\", \"b c\"]' when 1 then 'Here: [\"x\", \"y\"] ok' when 2 then ' p， q,' else '' end as reply", "'subject' as subject")
+    w = F.concat(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)")), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    reply = "case doc_id % 4 when 0 then concat('[\"', w[0], '\", \"', w[1], ' ', w[2], '\"]') when 1 then concat('Here: [\"', w[2], '\", \"', w[0], '\"] ok') when 2 then concat(' ', w[1], '， ', w[2], ',') else '' end as reply"
+    rows = get("documents").select("doc_id", w.alias("w")).selectExpr("doc_id", reply, "concat('subject ', doc_id) as subject")
     return x.parse_terms(rows).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
@@ -124,9 +127,15 @@ def _(get):
     return x.normalise_for_speech(_docs(get)).select("doc_id", "spoken")
 
 
-@query("spell_numbers", """select event_id, concat('play ', case event_id % 4 when 0 then 'seven' when 1 then 'forty-two' when 2 then 'one hundred five' else '1000' end, ' now') as spelled from {events}""")
+def _spoken(n: str) -> str:
+    """SQL of a number below a thousand in words."""
+    below = f"case when {n} % 100 < 20 then {x.SMALL_NUMBERS}[{n} % 100 + 1] else concat({x.TENS}[{n} % 100 // 10 - 1], case when {n} % 10 > 0 then concat('-', {x.SMALL_NUMBERS}[{n} % 10 + 1]) else '' end) end"
+    return f"case when {n} < 100 then {below} else concat({x.SMALL_NUMBERS}[{n} // 100 + 1], ' hundred', case when {n} % 100 > 0 then concat(' ', {below}) else '' end) end"
+
+
+@query("spell_numbers", f"select event_id, concat('play ', case when n < 1000 then {_spoken('n')} else cast(n as string) end, ' now, ', user_id, '.') as spelled from (select event_id, user_id, event_id * 7 % 1200 as n from {{events}})")
 def _(get):
-    return x.spell_numbers(get("events").selectExpr("event_id", "concat('play ', case event_id % 4 when 0 then '7' when 1 then '42' when 2 then '105' else '1000' end, ' now') as text")).select("event_id", "spelled")
+    return x.spell_numbers(get("events").selectExpr("event_id", "concat('play ', event_id * 7 % 1200, ' now, ', user_id, '.') as text")).select("event_id", "spelled")
 
 
 @query("wrap_lines")
@@ -249,21 +258,23 @@ def _(get):
     return rows.where("url <> 's'").select("term", "url", "duration")
 
 
-@query("normalize_image_hits", "select concat('t', page_id) as term, case when page_id % 2 = 0 then 'L' else 'o' end as url, 5 as duration from {pages} union all select concat('t', page_id), 'ok.png', 5 from {pages} union all select concat('t', page_id), 'web', 5 from {pages}")
+@query("normalize_image_hits", """select concat('t', page_id) as term, case when page_id % 2 = 0 then concat('L', page_id) else concat('o', page_id) end as url, 5 as duration from {pages}
+    union all select concat('t', page_id), concat('ok', page_id, '.png'), 5 from {pages} union all select concat('t', page_id), case when page_id % 3 = 0 then concat('big', page_id) else concat('web', page_id) end, 5 from {pages}""")
 def _(get):
-    sized = """concat('{"photos":[{"src":{"large2x":"', case when page_id % 2 = 0 then 'L' else '' end, '","original":"o"}}]}')"""
-    wiki, web = "'{\"pages\":[{\"url\":\"x.svg\",\"mime\":\"image/svg\"},{\"url\":\"ok.png\",\"mime\":\"image/png\"}]}'", "'{\"hits\":[{\"largeImageURL\":\"\",\"webformatURL\":\"web\"}]}'"
+    sized = """concat('{"photos":[{"src":{"large2x":"', case when page_id % 2 = 0 then concat('L', page_id) else '' end, '","original":"o', page_id, '"}}]}')"""
+    wiki = """concat('{"pages":[{"url":"x', page_id, '.svg","mime":"image/svg"},{"url":"ok', page_id, '.png","mime":"image/png"}]}')"""
+    web = """concat('{"hits":[{"largeImageURL":"', case when page_id % 3 = 0 then concat('big', page_id) else '' end, '","webformatURL":"web', page_id, '"}]}')"""
     parts = [readers.normalize_image_hits(_hits(get, b), p) for p, b in (("sized", sized), ("wiki", wiki), ("web", web))]
     return readers.concat_hits(*parts).select("term", "url", "duration")
 
 
-@query("normalize_short_clip_hits", "select concat('t', page_id) as term, 'wide' as url, cast(1280 as int) as width from {pages}")
+@query("normalize_short_clip_hits", "select concat('t', page_id) as term, concat('wide', page_id) as url, cast(1280 + page_id % 500 as int) as width from {pages} where page_id % 50 <= 7")
 def _(get):
-    body = """'{"clips":[{"duration":40,"files":[{"width":1920,"height":1080,"url":"long"}]},{"duration":8,"files":[{"width":640,"height":480,"url":"narrow"},{"width":1280,"height":720,"url":"wide"},{"width":2000,"height":100,"url":"flat"}]}]}'"""
+    body = """concat('{"clips":[{"duration":40,"files":[{"width":1920,"height":1080,"url":"long"}]},{"duration":', 5 + page_id % 50, ',"files":[{"width":640,"height":480,"url":"narrow"},{"width":', 1280 + page_id % 500, ',"height":720,"url":"wide', page_id, '"},{"width":2000,"height":100,"url":"flat"}]}]}')"""
     return readers.normalize_short_clip_hits(_hits(get, body)).select("term", "url", "width")
 
 
-@query("normalize_footage_hits", "select page_id as pool, concat('h264-', page_id) as url, cast(60 as double) as duration from {pages} union all select page_id, 'b', cast(100 as double) from {pages}")
+@query("normalize_footage_hits", "select page_id as pool, concat('h264-', page_id) as url, cast(60 + page_id % 30 as double) as duration from {pages} union all select page_id, concat('b', page_id), cast(100 as double) from {pages}")
 def _(get):
-    body = """concat('{"entries":[{"url":"a","duration":60,"formats":[{"height":1080,"codec":"vp9","url":"vp"},{"height":1080,"codec":"avc1","url":"h264-', page_id, '"},{"height":2160,"codec":"avc1","url":"big"}]},{"url":"c","duration":5,"formats":[]},{"url":"b","duration":100,"formats":[{"height":720,"codec":"av01","url":"b"}]},{"url":"d","duration":100,"formats":[{"height":720,"codec":"av01","url":"third"}]}]}')"""
+    body = """concat('{"entries":[{"url":"a","duration":', 60 + page_id % 30, ',"formats":[{"height":1080,"codec":"vp9","url":"vp"},{"height":1080,"codec":"avc1","url":"h264-', page_id, '"},{"height":2160,"codec":"avc1","url":"big"}]},{"url":"c","duration":5,"formats":[]},{"url":"b","duration":100,"formats":[{"height":720,"codec":"av01","url":"b', page_id, '"}]},{"url":"d","duration":100,"formats":[{"height":720,"codec":"av01","url":"third"}]}]}')"""
     return readers.normalize_footage_hits(_hits(get, body), "pool").select("pool", "url", "duration")
