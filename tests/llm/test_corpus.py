@@ -155,6 +155,19 @@ def test_repeats_are_exact(spark, copies):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
 
 
+def test_passages_are_counted_and_characters_go_whole(spark):
+    rng = random.Random(8)
+    passage, long = words(rng, 12, VOCABULARY), words(rng, 30, VOCABULARY)
+    texts = [(i, "é漢" + words(rng, 20, VOCABULARY) + " é" + (passage if i < 3 else long if i < 6 else "") + "漢 " + words(rng, 20, VOCABULARY)) for i in range(8)]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(table(spark, texts), length=80, passage=40, whole_characters=True).collect()}
+    short = brute_repeats([t for _, t in texts], 40)
+    whole = brute_repeats([t for _, t in texts], 80)
+    for (i, t), (_, n, _, _), (_, m, _, kept) in zip(texts, short, whole):
+        assert got[i]["n_passage"] == n and got[i]["kept"].decode() == kept.decode(errors="ignore"), i
+        assert got[i]["n_removed"] >= m
+    assert got[0]["n_passage"] and not got[0]["n_removed"] and got[4]["n_removed"]
+
+
 def test_repeats_of_odd_tables(spark, odd, empty):
     got = suffixes.remove_repeats(odd).collect()
     assert Counter((r["doc_id"], r["n_removed"]) for r in got) == Counter((i, len(LONG) if i in (6, 7) else 0) for i, _ in ODD)
@@ -232,6 +245,20 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, words(rng, rng.randrange(15, 60), VOCABULARY)) for i in range(50)]
+    texts = []
+    for n in range(120):
+        own = items[n % 50][1].split()
+        at = rng.randrange(len(own) // 3)
+        texts.append((n, words(rng, 80, VOCABULARY) + " " + " ".join(own[at:])))  # partial copies
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), table(spark, texts)
+    one = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 10)
+    assert len(one) > 50 and sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == one
+
+
 def test_block_max_wand_is_exhaustive_search():
     rng = random.Random(4)
     index = decontaminate.build_index([(i, words(rng, rng.randrange(3, 30), VOCABULARY[:40])) for i in range(150)])
@@ -286,6 +313,19 @@ def test_counts_decide_inside_and_outside_an_article(spark):
     assert got[20] == "Title 0\n\nOne 0\n\nFollow us\n\nAs they say\n\nTwo 0\n\nSign up for more"
 
 
+def test_templates_belong_to_the_host_whatever_the_id(spark):
+    box = "<div><p>Subscribe to us now</p></div>"
+    pages = [(None if n % 2 else 7, f"http://a.com/{n}", f"<body>{box}<div><p>Text number {n}</p></div></body>") for n in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = Counter(f"Text number {n}" for n in range(6))
+    assert Counter(r["text"] for r in html.extract(df).collect()) == want
+    few, html.BROADCAST_HASHES = html.BROADCAST_HASHES, -1  # the join by host
+    try:
+        assert Counter(r["text"] for r in html.extract(df).collect()) == want
+    finally:
+        html.BROADCAST_HASHES = few
+
+
 # --- quality
 
 
@@ -427,6 +467,33 @@ def test_links_are_exact(spark, most_edits):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_links(texts)
 
 
+@pytest.mark.parametrize("rare", [None, jaccard.RARE_TOKENS])
+def test_long_lists_and_hot_sets_are_dealt_without_loss(spark, monkeypatch, rare):
+    """Lists and sets that are longer than a task takes give the same links as short ones, with whole prefixes too."""
+    for name, value in (("LIST_AT_ONCE", 8), ("PAIRS_AT_ONCE", 3), ("BLOCK", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(21)
+    base, texts = words(rng, 120, VOCABULARY).split(), []
+    for i in range(90):
+        w = base[:]
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    got = jaccard.link_documents(table(spark, texts), rare=rare).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_links(texts)
+
+
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """Where first names of different sets are equal, second names and sizes decide."""
+    names = jaccard.names_of
+    monkeypatch.setattr(jaccard, "names_of", lambda own: (names(own)[0] % 3, names(own)[1]))
+    rng = random.Random(5)
+    texts = [(i, words(rng, 20, VOCABULARY)) for i in range(12)]
+    texts += [(i + 20, t) for i, t in texts[:4]]
+    got = jaccard.link_documents(table(spark, texts)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_links(texts)
+
+
 def test_links_of_odd_tables(odd, empty):
     got = {(r["doc_id"], r["component_id"]) for r in jaccard.link_documents(odd).collect()}
     assert got == {(i, 6 if i == 7 else i) for i, _ in ODD}

@@ -31,6 +31,21 @@ def run(spark, name):
     return queries.QUERIES[name](spark, DATA).collect()
 
 
+@here
+def test_sql(spark):
+    """DuckDB gives the rows of the queries that have SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        df, found = queries.QUERIES[name](spark, DATA), con.execute(sql)
+        names = [x[0] for x in found.description]
+        assert sorted(names) == sorted(df.columns), name
+        assert Counter(map(tuple, df.select(*names).collect())) == Counter(found.fetchall()), name
+
+
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
@@ -68,7 +83,9 @@ def test_packing(spark, docs):
 
 @here
 def test_repeats(spark, docs):
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, "op4_repeats"))
+    rows = run(spark, "op4_repeats")
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
+    assert Counter((r["doc_id"], r["n_passage"]) for r in rows) == Counter((d, b) for (d, _), (_, b, _, _) in zip(docs, brute_repeats([t for _, t in docs], 250)))
     assert got == Counter((d, a, b, c, hashlib.sha256(k).hexdigest()) for (d, _), (a, b, c, k) in zip(docs, brute_repeats([t for _, t in docs], 400)))
 
 
@@ -126,11 +143,20 @@ def test_toxicity(spark, docs):
     assert all(r["held_out"] == (crc(r["doc_id"], 4) == 2) and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_toxicity_of_held_out_rows(spark):
+    where = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{where}/labels.parquet").where("toxic is not null").collect()}
+    held = [(r["predicted"], label[r["doc_id"]]) for r in queries.QUERIES["op10_toxicity"](spark, where).collect() if r["held_out"] and r["doc_id"] in label]
+    right = sum(p and y for p, y in held)
+    assert right >= 0.5 * sum(y for _, y in held) > 3 and right >= 0.9 * sum(p for p, _ in held)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(7)
     texts = {i: words(rng, 200, VOCABULARY) for i in range(40)}
-    passage = words(rng, 120, VOCABULARY)
-    assert len(passage) > 400
+    passage = words(rng, 62, VOCABULARY)
+    assert 250 < len(passage) < 400
     item = words(rng, 40, VOCABULARY)
     texts[100] = texts[3]  # copy
     texts[101] = texts[4] + " changed"  # near copy
@@ -143,7 +169,7 @@ def test_pipeline(spark, tmp_path):
 
     left = {i: t for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
     left = {i: left[i] for (i, _, c), _ in brute_links(list(left.items())).items() if i == c}
-    kept = brute_repeats(list(left.values()), 400)
+    kept = brute_repeats(list(left.values()), corpus_pipeline.PASSAGE_BYTES)
     left = {i: k.decode() for i, (_, _, _, k) in zip(left, kept) if k.strip()}
     left = {i: t for i, t in left.items() if item not in t}
     assert not {100, 101, 104, 105, 106} & set(left) and passage not in left[102]
