@@ -16,6 +16,8 @@ from cutroom.llm.common import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SCORE = 0.5
+#: Bytes of a passage that goes if it repeats: over 50 words of running text, of five bytes with their space.
+PASSAGE_BYTES = suffixes.PASSAGE
 NO_ID = -(1 << 63)
 
 
@@ -39,9 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat; a character that is cut goes whole, a text without a word left goes."""
-    done = suffixes.remove_repeats(docs)
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    done = done.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text")))
+    done = suffixes.remove_repeats(docs, length=PASSAGE_BYTES, whole_characters=True)
+    done = done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text")))
     done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*COLUMNS)
 
