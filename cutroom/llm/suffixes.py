@@ -31,6 +31,8 @@ LENGTH = 400
 PASSAGE = 250
 #: Anchors that a bucket should hold, about; the splitters are taken from so many keys a bucket, and documents at least.
 BUCKET_ANCHORS, KEYS_PER_BUCKET, SAMPLE_DOCS = 1 << 20, 32, 1500
+#: Rows of one text, of those that several buckets hold, that a task compares with its count; texts with more that are broadcast at most.
+ROWS_AT_ONCE, BROADCAST_TEXTS = 1024, 1 << 16
 _PLACE_BITS = 28
 
 
@@ -205,9 +207,14 @@ def compare_neighbours(rows: DataFrame, buckets: int) -> DataFrame:
     near = settle(rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(compare, schema))
     # across the boundaries: the rows of keys that fill several buckets
     spread = near.where("open").drop("whole", "mixed", "first")
-    texts = spread.groupBy("lead", "gram", "own").agg(F.sum(1 + F.col("kind")).alias("n"), F.min(F.struct("id", "h", "lo")).alias("least"))
+    keys = ["lead", "gram", "own"]
+    texts = spread.groupBy(*keys).agg(F.sum(1 + F.col("kind")).alias("n"), F.ceil(F.count("*") / ROWS_AT_ONCE).alias("parts"), F.min(F.struct("id", "h", "lo")).alias("least"))
     grams = texts.groupBy("lead", "gram").agg((F.min("own") != F.max("own")).alias("mixed"))
-    across = spread.join(texts, ["lead", "gram", "own"]).join(grams, ["lead", "gram"])
+    texts = settle(texts.join(grams, ["lead", "gram"]))
+    many = texts.where("parts > 1").select(*keys, "parts")
+    many = F.broadcast(many) if many.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else many
+    spread = spread.join(many, keys, "left").withColumn("part", F.pmod(F.xxhash64("id", "h", "lo"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    across = spread.join(texts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"), [*keys, "part"]).drop("part")
     across = across.withColumns({"whole": F.col("n") > 1, "first": F.struct("id", "h", "lo").eqNullSafe(F.col("least"))})
     return near.where("not open").unionByName(across.select(*near.columns).where("whole or mixed"))
 
