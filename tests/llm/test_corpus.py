@@ -143,9 +143,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("copies", [3, 60])
-def test_repeats_are_exact(spark, copies):
-    """Also with one passage in most documents, so that its keys fill several buckets."""
+@pytest.mark.parametrize(("copies", "at_once"), [(3, suffixes.ROWS_AT_ONCE), (60, suffixes.ROWS_AT_ONCE), (60, 2)])
+def test_repeats_are_exact(spark, monkeypatch, copies, at_once):
+    """Also with one passage in most documents, so that its keys fill several buckets, and with more rows than a task takes."""
+    monkeypatch.setattr(suffixes, "ROWS_AT_ONCE", at_once)
     rng = random.Random(copies)
     passage = "".join(rng.choice("abcdé ") for _ in range(90))
     texts = [(n, "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(0, 150))) + passage * (n % 3 != 0) + "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(0, 150)))) for n in range(copies)]
