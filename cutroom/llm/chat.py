@@ -42,13 +42,6 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    first, *rest = [left[a].eqNullSafe(right[b]) for a, b in pairs]
-    for x in rest:
-        first = first & x
-    return first
-
-
 def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: str, branches: int = 1) -> DataFrame:
     """(tree, leaf, branch, node, pos): the best ``branches`` root-to-leaf paths of each tree, pos 0 at the root.
 
@@ -147,6 +140,7 @@ def as_chains(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7; rows of the table that have this number already are turns of it too."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], table.schema)
