@@ -11,8 +11,7 @@ import os
 import re
 import struct
 import zlib
-from bisect import bisect_right
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ MAX_TOKENS = 2048
 END_ID = 1
 #: Words whose ids a worker remembers at most, the longest such word, and words that are encoded as one text.
 KNOWN_WORDS, KNOWN_CHARS, WORDS_AT_ONCE = 250_000, 48, 256
+#: Words that a worker keeps for its next task, where it may keep any: the first ones that it met, so mostly frequent ones.
+KEPT_WORDS = 150_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -35,18 +36,21 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 #: A comma or full stop at a word's end that belongs to a longer run of signs, so it can't be cut off.
-_RUN_OF_SIGNS = re.compile(r"[^\w\s][,.] |_[,.] ")
+_RUN_OF_SIGNS = re.compile(r"[,.] (?:(?<=[^\w\s][,.] )|(?<=_[,.] ))")
 
 
 def _words(text: str) -> list[str]:
     """Words that the tokenizer encodes on their own: parts at blanks, line feeds and before a word's last , or .
 
     Its splitter keeps letters, single digits and runs of other signs apart, so a sign behind a letter or digit is a part
-    of its own. Plain ASCII is lower-cased here, as the tokenizer does, so that fewer different words come up.
+    of its own. Latin-1 is lower-cased here, as the tokenizer does, so that fewer different words come up.
     """
     text = text.replace("\n", " ") + " "
-    if text.isascii():
+    try:
+        text.encode("latin-1")
         text = text.lower()
+    except UnicodeEncodeError:
+        pass
     if not _RUN_OF_SIGNS.search(text):
         text = text.replace(", ", " , ").replace(". ", " . ")
     return text.split(" ")
@@ -68,6 +72,7 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.model.model._resize_cache(0)  # the words that it gets are all different
         self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part of a word
@@ -81,9 +86,12 @@ class WordEncoder:
         return cls._held[path]
 
     @classmethod
-    def drop(cls) -> None:
-        """Keep nothing in a worker after its task: other operators' tasks will need the memory."""
-        cls._held.clear()
+    def done(cls, keep: bool) -> None:
+        """A task's end: keep the tokenizer and some words for the next one (about 80 MB), or nothing, as other operators need memory."""
+        for encoder in cls._held.values():
+            encoder.known = dict(islice(encoder.known.items(), KEPT_WORDS))
+        if not keep:
+            cls._held.clear()
         release()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -119,7 +127,7 @@ class WordEncoder:
         return out
 
 
-def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, keep: bool = False) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens: pieces of at most ``max_tokens`` ids; all but a document's last are full."""
     end = struct.pack("<I", end_id)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")])
@@ -146,7 +154,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
                 numbers = np.array(rows, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), *(pa.array(numbers[:, j]) for j in range(4))], names=schema.names)
                 a = z
-        WordEncoder.drop()
+        WordEncoder.done(keep)
 
     return small_batches(docs).select(key, text).mapInArrow(cut, schema)
 
@@ -184,21 +192,19 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS)
     return [pack for room in sorted(open_packs) for pack in open_packs[room]]
 
 
-def _places(patterns) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
-    """For each length: first ranks of the patterns that hold it, and their (how many, first sequence, offset)."""
-    places: dict[int, tuple[list[int], list]] = {}
+def _places(patterns) -> dict[int, np.ndarray]:
+    """For each length, a row for each pattern that holds it: first rank, how many, first sequence, offset."""
+    places: dict[int, list] = {}
     taken: dict[int, int] = {}
     first = 0
     for count, contents in patterns:
         at = 0
         for length, many in contents:
-            starts, where = places.setdefault(length, ([], []))
-            starts.append(taken.get(length, 0))
-            where.append((many, first, at))
+            places.setdefault(length, []).append((taken.get(length, 0), many, first, at))
             taken[length] = taken.get(length, 0) + count * many
             at += length * many
         first += count
-    return places
+    return {length: np.array(rows, np.int64) for length, rows in places.items()}
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -212,27 +218,29 @@ def pack(pieces: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -
 
     def place(batches):
         for batch in batches:
-            found = np.zeros((batch.num_rows, 2), np.int64)
-            lengths, ranks = batch.column("length").to_pylist(), batch.column("__rank").to_pylist()
-            for i, (length, rank) in enumerate(zip(lengths, ranks, strict=True)):
-                starts, where = shared.value[length]
-                k = bisect_right(starts, rank) - 1
-                many, first, at = where[k]
-                pack_no, slot = divmod(rank - starts[k], many)
-                found[i] = first + pack_no, at + slot * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), pa.array(found[:, 0]), pa.array(found[:, 1])], names=schema.names)
+            lengths, ranks = (batch.column(x).to_numpy() for x in ("length", "__rank"))
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            order = np.argsort(lengths, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+                length = int(lengths[part[0]])
+                begin, many, first, at = shared.value[length].T
+                k = np.searchsorted(begin, ranks[part], side="right") - 1
+                pack_no, slot = np.divmod(ranks[part] - begin[k], many[k])
+                sequence[part], offset[part] = first[k] + pack_no, at[k] + slot * length
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), pa.array(sequence), pa.array(offset)], names=schema.names)
 
     return rows.select(*columns, "__rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, keep: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (gapless in its sequence).
 
     A null or empty text is the end id alone. Long texts are cut at multiples of ``max_tokens`` ids. Repeated rows are
-    packed once each; null keys stay. Other columns are not read. An empty table gives an empty result.
+    packed once each; null keys stay. Other columns are not read. An empty table gives an empty result. With ``keep``,
+    Python workers keep the tokenizer and frequent words between tasks.
     """
-    return pack(cut_pieces(docs, path, key, text, max_tokens), key, max_tokens)
+    return pack(cut_pieces(docs, path, key, text, max_tokens, keep=keep), key, max_tokens)
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=True)
