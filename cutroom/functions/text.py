@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -417,12 +418,12 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
     """
     schema = T.StructType([cues.schema[by], T.StructField("line_idx", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("verdict", T.StringType())])
 
-    def align(key: tuple, c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        heard, script = c.sort_values("cue_idx").to_dict("records"), s.sort_values("line_idx").to_dict("records")
+    def align(key: tuple, c: pa.Table, s: pa.Table) -> pa.Table:
+        heard, script = c.sort_by("cue_idx").to_pylist(), s.sort_by("line_idx").to_pylist()
         i, out = 0, []
         for n, line in enumerate(script):
             if i >= len(heard):
-                out.append((key[0], n, 0.0, 0.0, line["line"], "extra"))
+                out.append((key[0].as_py(), n, 0.0, 0.0, line["line"], "extra"))
                 continue
             first, text = heard[i], heard[i]["text"]
             score = _similarity(text, line["line"])
@@ -435,11 +436,12 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
                     break
                 text, score, i = joined, better, i + 1
             verdict = "exact" if text == line["line"] else "corrected" if score > threshold else "mismatch"
-            out.append((key[0], n, first["start"], heard[i]["end"], line["line"], verdict))
+            out.append((key[0].as_py(), n, first["start"], heard[i]["end"], line["line"], verdict))
             i += 1
-        return pd.DataFrame(out, columns=schema.names)
+        kinds = (s.schema.field(by).type if s.num_columns else pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string())
+        return pa.table([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=schema.names)
 
-    return cues.groupBy(by).cogroup(lines.groupBy(by)).applyInPandas(align, schema)
+    return cues.select(by, "cue_idx", "start", "end", "text").groupBy(by).cogroup(lines.select(by, "line_idx", "line").groupBy(by)).applyInArrow(align, schema)
 
 
 def layout_list(words: list[str], lines: list[str]) -> list[tuple[int, int, int]]:

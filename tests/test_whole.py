@@ -89,3 +89,13 @@ def test_text_queries_of_every_language_and_length(spark, tmp_path):
     hooks = [t.strip().upper() if 10 <= len(t.strip()) <= 80 else None for t in (x[0] for x in lines)]
     assert run("hook_validity") == {(d, h or " ".join(texts[d].split()[:5]).upper(), h is not None) for d, h in enumerate(hooks)}
     assert run("risky_claims") == {(0, ""), (1, "her|on|only|the"), (2, "")}
+
+
+def test_caption_correction_of_one_sided_scripts(spark):
+    """A script without cues has its lines left over; cues without a script are dropped."""
+    from cutroom.functions import text as x
+
+    cues = spark.createDataFrame([(1, 0, "said", 0.0, 1.0), (2, 0, "heard", 2.0, 3.0)], "k int, cue_idx int, text string, start double, end double")
+    lines = spark.createDataFrame([(1, 0, "said"), (3, 0, "silent"), (3, 1, "too")], "k int, line_idx int, line string")
+    got = {tuple(r) for r in x.caption_correction(cues, lines, "k").collect()}
+    assert got == {(1, 0, 0.0, 1.0, "said", "exact"), (3, 0, 0.0, 0.0, "silent", "extra"), (3, 1, 0.0, 0.0, "too", "extra")}
