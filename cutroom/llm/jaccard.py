@@ -188,6 +188,17 @@ def dealt_lists(lists: DataFrame, long: DataFrame, most: int) -> DataFrame:
     return rows.join(places, ["token", "part"]).select("list", "cid", "n", "pos", "comp", "leader", "dist", "side")
 
 
+def both_sides(pairs: DataFrame, held: DataFrame, named: DataFrame, payload: list[str]) -> DataFrame:
+    """Pairs (a, b) with the payload columns of both sides, named ``text_a`` and so on: ``held`` has them by (cid, part), ``named`` each cid's number of parts."""
+    many = named.where("parts > 1").select("cid", "parts")
+    many = F.broadcast(many) if many.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else many
+    rows = pairs
+    for side in ("a", "b"):
+        rows = rows.join(many.withColumnRenamed("cid", side), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        rows = rows.join(held.select(F.col("cid").alias(side), "part", *(F.col(c).alias(f"{c}_{side}") for c in payload)), [side, "part"]).drop("part")
+    return rows
+
+
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WORDS) -> DataFrame:
     """(a, b, dist, linked) of class pairs, from the whole texts of one row of each class.
 
@@ -197,24 +208,65 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int = WOR
     named = settle(classes.join(wanted, "cid").select("cid", F.col("least.id").alias("id"), F.col("least.h").alias("h"), "parts"))
     held = only(rows, named, ["id", "h"]).join(named.select("cid", "parts", F.col("id").alias("i"), F.col("h").alias("g")), F.expr("i <=> id and g <=> h"))
     held = held.select("cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text").groupBy("cid", "part").agg(F.min("text").alias("text"))
-    many = named.where("parts > 1").select("cid", "parts")
-    many = F.broadcast(many) if many.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else many
-    rows = pairs
-    for side in ("a", "b"):
-        rows = rows.join(many.withColumnRenamed("cid", side), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
-        rows = rows.join(held.select(F.col("cid").alias(side), "part", F.col("text").alias(f"t{side}")), [side, "part"]).drop("part")
+    rows = both_sides(pairs, held, named, ["text"])
 
     def compare(batches):
         for batch in batches:
             sets = []
-            for name in ("ta", "tb"):
+            for name in ("text_a", "text_b"):
                 data, offs = utf8(batch.column(name))
                 sets.append([x for s, e in blocks(offs) for x in shingle_sets(data[offs[s] : offs[e]], offs[s : e + 1] - offs[s], k)])
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - common
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - common / np.maximum(1, union)), pa.array((100 * common >= PERCENT * union) & (union > 0))], names=["a", "b", "dist", "linked"])
 
-    return settle(rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, dist double, linked boolean"))
+    return settle(rows.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, dist double, linked boolean"))
+
+
+def equal_sets(members: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h, cid, other, n, ...) with names of their own for different sets, and the classes (cid, least, low, n, ...) of equal ones."""
+    names = members.columns
+
+    def classes_of() -> DataFrame:
+        found = members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.min("id").alias("low"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in carried), (F.min(F.struct("other", "n")) != F.max(F.struct("other", "n"))).alias("clash"))
+        return settle(found)
+
+    classes = classes_of()
+    while classes.where("clash").limit(1).count():  # different sets with one name: they get others
+        named = classes.where("clash").select("cid", "clash")
+        other = F.when(F.col("clash"), F.abs(F.xxhash64("cid", "other", "n"))).otherwise(F.col("cid"))
+        members = settle(members.join(named, "cid", "left").withColumn("cid", other).select(*names))
+        classes = classes_of()
+    return members, classes
+
+
+def derived_links(lists: DataFrame, verify) -> DataFrame:
+    """All links (a, b) among the sets that meet in ``lists`` (token, cid, n, pos).
+
+    ``verify`` gives (a, b, dist, linked) of pairs; a null distance is one that wasn't taken, as the pair can't be linked.
+    """
+    # answers of the leaders: in each list and size band the class that has the token first, as the least edited one has
+    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))
+    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "cid", "n")).alias("l"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("token", "band", F.col("l.cid").alias("a"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
+    first = settle(banded.join(leaders, ["token", "band"]).where("cid <> a").where(_fits("n", "pos", "ln", "lp")).select("a", F.col("cid").alias("b")).distinct())
+    known = verify(first)
+    edges = known.where("linked").select("a", "b")
+    comps = settle(components(edges))
+
+    # what the leaders' answers leave open
+    measured = known.where("dist is not null")
+    nearest = measured.groupBy(F.col("b").alias("cid")).agg(F.min_by("a", "dist").alias("leader"), F.min("dist").alias("dist"))
+    nearest = nearest.unionByName(measured.select(F.col("a").alias("cid")).distinct().join(nearest.select("cid"), "cid", "left_anti").select("cid", F.col("cid").alias("leader"), F.lit(0.0).alias("dist")))
+    open_lists = lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    several = settle(open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x < y").select("token", "rows"))
+    long = several.where(F.col("rows") > LIST_AT_ONCE)
+    open_lists = open_lists.join(nearest, "cid", "left")
+    open_lists = open_lists.select("token", "cid", "n", "pos", "comp", F.coalesce("leader", "cid").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    short = open_lists.join(several.where(F.col("rows") <= LIST_AT_ONCE), "token", "left_semi").withColumnRenamed("token", "list").withColumn("side", F.lit(-1))
+    meet = short.unionByName(dealt_lists(open_lists, long, LIST_AT_ONCE)) if long.limit(1).count() else short
+    rest = meet.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = verify(settle(rest)).where("linked").select("a", "b")
+    return edges.unionByName(more)
 
 
 def _linked(docs: DataFrame, key: str, text: str, k: int, rare: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -267,40 +319,22 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, rare: int | None) -> t
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in sets], pa.int64()), lists], names=schema.names)
 
-    members = settle(rows.mapInArrow(described, schema))
+    members, classes = equal_sets(settle(rows.mapInArrow(described, schema)), ["tokens"])
+    edges = derived_links(_lists(classes), lambda pairs: verified(pairs, classes, rows, k))
+    return members, classes, edges
 
-    def equal_sets() -> DataFrame:
-        found = members.where("n > 0").groupBy("cid").agg(F.min(F.struct("id", "h")).alias("least"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), (F.min(F.struct("other", "n")) != F.max(F.struct("other", "n"))).alias("clash"))
-        return settle(found)
-
-    classes = equal_sets()
-    while classes.where("clash").limit(1).count():  # different sets with one name: they get others
-        named = classes.where("clash").select("cid", "clash")
-        other = F.when(F.col("clash"), F.abs(F.xxhash64("cid", "other", "n"))).otherwise(F.col("cid"))
-        members = settle(members.join(named, "cid", "left").withColumn("cid", other).select(*schema.names))
-        classes = equal_sets()
-
-    # answers of the leaders: in each list and size band the class that has the token first, as the least edited one has
-    lists = _lists(classes).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))
-    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("pos", "cid", "n")).alias("l"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("token", "band", F.col("l.cid").alias("a"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
-    first = settle(lists.join(leaders, ["token", "band"]).where("cid <> a").where(_fits("n", "pos", "ln", "lp")).select("a", F.col("cid").alias("b")).distinct())
-    known = verified(first, classes, rows, k)
-    edges = known.where("linked").select("a", "b")
-    comps = settle(components(edges))
 
-    # what the leaders' answers leave open
-    nearest = known.groupBy(F.col("b").alias("cid")).agg(F.min_by("a", "dist").alias("leader"), F.min("dist").alias("dist"))
-    nearest = nearest.unionByName(known.select(F.col("a").alias("cid")).distinct().join(nearest.select("cid"), "cid", "left_anti").select("cid", F.col("cid").alias("leader"), F.lit(0.0).alias("dist")))
-    open_lists = _lists(classes).join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    several = settle(open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x < y").select("token", "rows"))
-    long = several.where(F.col("rows") > LIST_AT_ONCE)
-    open_lists = open_lists.join(nearest, "cid", "left")
-    open_lists = open_lists.select("token", "cid", "n", "pos", "comp", F.coalesce("leader", "cid").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    short = open_lists.join(several.where(F.col("rows") <= LIST_AT_ONCE), "token", "left_semi").withColumnRenamed("token", "list").withColumn("side", F.lit(-1))
-    meet = short.unionByName(dealt_lists(open_lists, long, LIST_AT_ONCE)) if long.limit(1).count() else short
-    rest = meet.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_of_lists, "a long, b long").distinct().join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verified(settle(rest), classes, rows, k).where("linked").select("a", "b")
-    return members, classes, edges.unionByName(more)
+def answers(key: str, members: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """key, n_shingles, component_id and class_id of every row, from the rows, the classes of equal sets and their links."""
+    # rows that repeat a key are one node
+    repeated = members.where("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("id", "a")
+    repeated = members.where("n > 0").join(repeated, "id").where("cid <> a").select("a", F.col("cid").alias("b"))
+    comps = components(edges.unionByName(repeated)).withColumnRenamed("node", "cid")
+    named = settle(classes.select("cid", F.col("low").alias("class_id")).join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(lowest, "component").select("cid", "component_id", "class_id")
+    out = members.select("id", "n", "cid").join(named, "cid", "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def link_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, rare: int | None = RARE_TOKENS) -> DataFrame:
@@ -321,17 +355,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     whole. Rows that repeat a key are one node of the link graph; a null key is never the smallest unless it is alone.
     Other columns are not read. An empty table gives an empty result.
     """
-    members, classes, edges = _linked(docs, key, text, k, rare)
-
-    # rows that repeat a key are one node
-    repeated = members.where("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("id", "a")
-    repeated = members.where("n > 0").join(repeated, "id").where("cid <> a").select("a", F.col("cid").alias("b"))
-    comps = components(edges.unionByName(repeated)).withColumnRenamed("node", "cid")
-    named = settle(classes.select("cid", F.col("low").alias("class_id")).join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(lowest, "component").select("cid", "component_id", "class_id")
-    out = members.select("id", "n", "cid").join(named, "cid", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
+    return answers(key, *_linked(docs, key, text, k, rare))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
