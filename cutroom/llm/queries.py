@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, jaccard, langid, packing, quality, sharding, suffixes, toxicity
+from . import chat, collocations, covertree, decontaminate, html, hyperminhash, jaccard, langid, packing, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_leaks": decontaminate.op1_leaks,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_codes": covertree.op11_codes,
+    "op12_near_duplicates": hyperminhash.op12_near_duplicates,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 #: CRC-32 of a text's bytes: a table of 256 by the rule of its polynomial, then folded over the bytes.
@@ -37,13 +40,44 @@ _CHAT = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesc
     select conv_id, n_turns, sha256(whole) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from c"""
 
 #: Word sets by their shingles, links by counts of common ones, components by reachability.
-_LINKS = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-    s as materialized (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from w),
+_LINKED = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    s as materialized (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < SIZE then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - SIZE + 2), lambda i: array_to_string(w[i:i + SIZE - 1], ' ')) end)) as s from w),
     k as materialized (select min(doc_id) as k, s, len(s) as n from s where len(s) > 0 group by s),
     e as (select k, n, unnest(s) as x from k), p as (select a.k as a, b.k as b, a.n as na, b.n as nb, count(*) as common from e a join e b on a.x = b.x and a.k < b.k and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
     l as (select a, b from p where 100 * common >= 80 * (na + nb - common)), both_ways as materialized (select a, b from l union all select b, a from l),
     r as (select k, k as c from k union select both_ways.b, r.c from r join both_ways on both_ways.a = r.k)
-    select s.doc_id, len(s.s) as n_shingles, coalesce(c, s.doc_id) as component_id, coalesce(k.k, s.doc_id) as class_id from s left join k on k.s = s.s left join (select k, min(c) as c from r group by k) m on m.k = k.k"""
+    select s.doc_id, len(s.s) as n_shingles, coalesce(c, s.doc_id) as component_id, coalesce(k.k, s.doc_id) as class_id MORE from s left join k on k.s = s.s left join (select k, min(c) as c from r group by k) m on m.k = k.k"""
+_LINKS = _LINKED.replace("SIZE", "5").replace("MORE", "")
+_NEAR = _LINKED.replace("SIZE", "2").replace("MORE", ", s.doc_id = coalesce(c, s.doc_id) as kept")
+
+#: Codebooks by whole numbers: a vector's parts, then each round's nearest entries and floored means, one after the other.
+_LAST = 6
+_PARTS = """q as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    p as materialized (select vec_id, label, j, v[j * len(v) // 8 + 1:(j + 1) * len(v) // 8] as x from q, (select unnest(range(8)) as j)),
+    b0 as materialized (select j, row_number() over (partition by j order by vec_id) - 1 as e, x as c from p qualify e < 16)"""
+_ROUND = """d{n} as materialized (select vec_id, label, p.j, e, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from p join b{n} on b{n}.j = p.j qualify row_number() over (partition by vec_id, p.j order by d, e) = 1)"""
+_MEANS = """m{n} as (select j, e, place, cast(floor_div(sum(x), count(*)) as bigint) as c from (select j, e, unnest(x) as x, unnest(range(len(x))) as place from d{n}) group by all),
+    n{n} as (select j, e, list(c order by place) as c from m{n} group by all), b{m} as materialized (select b{n}.j, b{n}.e, coalesce(n{n}.c, b{n}.c) as c from b{n} left join n{n} on n{n}.j = b{n}.j and n{n}.e = b{n}.e)"""
+_CODES = "with " + ", ".join(
+    [_PARTS, *(x for n in range(_LAST) for x in (_ROUND.format(n=n), _MEANS.replace("floor_div(sum(x), count(*))", "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)").format(n=n, m=n + 1))), _ROUND.format(n=_LAST)]
+) + f"""
+    , s as (select sha256(string_agg(cast(x as varchar), ',' order by j, e, place)) as codebooks_sha256 from (select j, e, unnest(c) as x, unnest(range(len(c))) as place from b{_LAST})),
+    v as (select vec_id, label, string_agg(printf('%02x', e), '' order by j) as code, cast(sum(d) as bigint) as error from d{_LAST} group by vec_id, label)
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from v, s"""
+
+#: All phrases of one to five words by their counts; cuts, scores in whole numbers of any size, extensions by one word.
+_PHRASES = r"""with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t), n as (select lang, sum(len(w)) as n from w group by lang),
+    g as (select lang, w, unnest(range(1, len(w) + 1)) as i from w), h as (select lang, w[i:i + z] as p from g, (select unnest(range(5)) as z) where i + z <= len(w)),
+    f as materialized (select lang, p, count(*) as f from h group by all having count(*) >= 100),
+    c as (select lang, p, f as a, unnest(range(1, len(p))) as k from f where len(p) > 1),
+    s as (select c.lang, c.p, a, k, l.f as l, r.f as r, n.n, (1000 * a::hugeint * n.n::hugeint) // (l.f::hugeint * r.f::hugeint) as score from c
+        join f l on l.lang = c.lang and l.p = c.p[1:k] join f r on r.lang = c.lang and r.p = c.p[k + 1:] join n on n.lang = c.lang),
+    o as (select lang, p[:len(p) - 1] as p, max(f) as f from f where len(p) > 2 group by all union all select lang, p[2:], max(f) from f where len(p) > 2 group by all),
+    b as (select lang, p, max(f) as longer from o group by all),
+    d as (select s.lang, array_to_string(s.p, ' ') as phrase, a, l, r, n, score from s left join b on b.lang = s.lang and b.p = s.p where coalesce(longer, 0) < a qualify row_number() over (partition by s.lang, s.p order by score, k) = 1)
+    select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from d qualify rank <= 2000"""
 
 #: Strings of 400 (and 250) bytes as pieces of hexadecimal text; starts of those that come twice, runs that they cover, what is left.
 _REPEATS = """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -57,4 +91,4 @@ _REPEATS = """with d as materialized (select doc_id, hex(encode(coalesce(text, '
     select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x.h)) as kept_sha256, coalesce(n_passage, 0) as n_passage from d join x on x.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
 
 #: The others need a trained model, a tokenizer, an index or a parser; tests hold brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op4_repeats": _REPEATS, "op5_shard": _SHARDS, "op8_chat": _CHAT, "op9_jaccard": _LINKS}
+ORACLE_SQL: dict[str, str] = {"op4_repeats": _REPEATS, "op5_shard": _SHARDS, "op8_chat": _CHAT, "op9_jaccard": _LINKS, "op11_codes": _CODES, "op12_near_duplicates": _NEAR, "op13_collocations": _PHRASES}
