@@ -30,13 +30,15 @@ def _(get):
     return readers.read_batch_requests(rows.sparkSession, where).select(F.regexp_extract("file", r"batch=(\d+)", 1).cast("bigint").alias("batch"), "ordinal", "defaults", "entry")
 
 
-@query("read_media_sidecars", """select page_id, concat(path, '#', page_id) as path, case when page_id % 3 = 0 then term else regexp_extract(concat(path, '#', page_id), '([^/]*?)([.][^./]*)?$', 1) end as search_term, case when page_id % 3 = 0 then bytes end as file_size from {candidates}""")
+@query("read_media_sidecars", """select concat('/cache/', pool, '/clip.', page_id, '.mp4') as path, case when page_id % 3 = 0 and page_id % 4 <> 1 then term else concat('clip.', page_id) end as search_term,
+    case when page_id % 3 = 0 and page_id % 2 = 0 then bytes else width end as file_size, case when page_id % 3 = 0 then cast(page_id as double) / 4 else cast(1000 + page_id as double) end as created_at from {candidates}""")
 def _(get):
-    media = get("candidates").withColumn("path", F.concat("path", F.lit("#"), "page_id"))
-    where = shared_folder(media.sparkSession, "sidecars")
-    side = media.where("page_id % 3 = 0").select("pool", F.struct(F.col("path").alias("video_path"), F.col("term").alias("search_term"), F.col("bytes").alias("file_size")).alias("s"))
-    side.groupBy("pool").agg(F.to_json(F.collect_list("s")).alias("value")).write.partitionBy("pool").text(where)
-    return readers.read_media_sidecars(media.sparkSession, media.select("page_id", "path"), where).select("page_id", "path", "search_term", "file_size")
+    """Listings of media files and of sidecars that other folders' paths are written in; some lack a field."""
+    rows = get("candidates").withColumn("place", F.concat(F.lit("/cache/"), "pool", F.lit("/clip."), "page_id"))
+    media = rows.select(F.concat("place", F.lit(".mp4")).alias("path"), F.col("width").alias("file_size"), F.timestamp_seconds(F.col("page_id") + 1000).alias("modified"))
+    fields = F.struct(F.lit("/elsewhere/old.mp4").alias("video_path"), F.when(F.col("page_id") % 4 != 1, F.col("term")).alias("search_term"), F.when(F.col("page_id") % 2 == 0, F.col("bytes")).alias("file_size"), (F.col("page_id") / 4).alias("created_at"))
+    sidecars = rows.where("page_id % 3 = 0").select(F.concat("place", F.lit(readers.SIDECAR)).alias("path"), F.to_json(fields).alias("value"))
+    return readers.with_sidecars(media, sidecars)
 
 
 @query("read_task_manifests", """select concat('job=', job) as task_id, concat('job ', job) as script, array_to_string(list_sort(list_distinct(list(stage))), '|') as terms, concat('{"events":', count(*), '}') as params from {tasks} group by job""")

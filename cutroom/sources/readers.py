@@ -6,11 +6,12 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of the exported statistics table.
 EXPORT_COLUMNS = {"Content": "content_id", "Video title": "title", "Duration": "duration_s", "Views": "views", "Subscribers": "subscribers"}
+SIDECAR = "_metadata.json"
 ASPECTS = {"16:9": (1920, 1080), "9:16": (1080, 1920), "1:1": (1080, 1080)}
 
 
@@ -43,11 +44,34 @@ def read_batch_requests(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "defaults", F.posexplode("v").alias("ordinal", "entry"))
 
 
-def read_media_sidecars(spark: SparkSession, media: DataFrame, path: str) -> DataFrame:
-    """SRC-3. Media with their sidecar's fields; one without a sidecar has its file's stem as search term."""
-    side = spark.read.schema("video_path string, search_term string, file_size bigint, created_at string").json(path, multiLine=True)
-    rows = media.join(side.withColumnRenamed("video_path", "path"), "path", "left")
-    return rows.withColumn("search_term", F.coalesce("search_term", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)))
+def file_place(path: str) -> Column:
+    """Folder and name of a file without its ending: what a media file and its sidecar have in common."""
+    return F.regexp_replace(path, r"([^/.][^/]*)\.[^./]*$", "$1")
+
+
+def with_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Media files (path, file_size, modified) with the fields of their sidecars (path, value: a JSON text): path, search_term, file_size, created_at.
+
+    A sidecar belongs to the file of its own folder and name, ``<name>_metadata.json``, whatever path is written in it, so pairs that have
+    been moved still meet. A file without one, or whose sidecar isn't an object or lacks a field, has its name as search term, its own size
+    and the time of its last change in seconds. Of several files of one place each has the sidecar.
+    """
+    side = sidecars.where(F.col("path").endswith(SIDECAR)).select(F.expr(f"left(path, char_length(path) - {len(SIDECAR)})").alias("__place"), F.from_json("value", "search_term string, file_size bigint, created_at double").alias("__s"))
+    side = side.groupBy("__place").agg(F.first("__s").alias("__s"))
+    rows = media.withColumn("__place", file_place("path")).join(side, "__place", "left")
+    stem = F.url_decode(F.replace(F.regexp_extract("__place", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+    return rows.select("path", F.coalesce("__s.search_term", stem).alias("search_term"), F.coalesce("__s.file_size", "file_size").alias("file_size"), F.coalesce("__s.created_at", F.col("modified").cast("double")).alias("created_at"))
+
+
+def read_media_sidecars(spark: SparkSession, path: str, pattern: str = "*.{mp4,mov,mkv,webm,jpg,jpeg,png,webp}") -> DataFrame:
+    """SRC-3. The media files below a folder with their sidecars' fields (``with_sidecars``).
+
+    Places, sizes and times come from the listing (``_metadata``): no media file is opened.
+    """
+    listed = lambda kind, only: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", only)
+    media = listed("binaryFile", pattern).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified"))
+    sidecars = listed("text", f"*{SIDECAR}").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return with_sidecars(media, sidecars)
 
 
 def read_task_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +144,6 @@ def normalize_image_hits(hits: DataFrame, provider: str, seconds: int = 5) -> Da
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    from pyspark.sql import Window
-
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
 
 
@@ -134,14 +156,37 @@ def normalize_short_clip_hits(hits: DataFrame, max_dur: int = 12, max_clips: int
     return _ranked(rows, ["term"], ["hit_ord"], max_clips)
 
 
-def normalize_footage_hits(hits: DataFrame, by: str, max_h: int = 1080, per_query: int = 2, max_sources: int = 6, codecs: tuple[str, ...] = ("avc1", "vp9", "av01")) -> DataFrame:
-    """SRC-10. Footage between 12 s and 20 min, its best rendition (height, then codec preference), so many per query and script."""
-    kind = "entries array<struct<url: string, duration: double, formats: array<struct<height: int, codec: string, url: string>>>>"
+def best_rendition(formats: str, max_h: int, codecs: tuple[str, ...]) -> Column:
+    """Address of the rendition that is taken of an array of (height, codec, url, ext, muxed), null if none will do.
+
+    Tiers in order: without sound and at most ``max_h`` high, of each codec family in turn (by the codec's begin), then of any; with sound
+    and at most so high; with sound in this container; with sound. The highest of the first tier that has any is taken,
+    of equally high ones the last, as replies go from worse to better. The container of all but the last tier is mp4.
+    What a rendition doesn't say of its sound or container is taken to fit.
+    """
+    silent, sound, mp4 = (lambda f: ~F.coalesce(f["muxed"], F.lit(False))), (lambda f: F.coalesce(f["muxed"], F.lit(True))), (lambda f: F.coalesce(f["ext"] == "mp4", F.lit(True)))
+    low = lambda f: F.coalesce(f["height"] <= max_h, F.lit(False))
+    tiers = [*((lambda f, c=c: silent(f) & mp4(f) & low(f) & F.coalesce(f["codec"].startswith(c), F.lit(False))) for c in codecs), lambda f: silent(f) & mp4(f) & low(f), lambda f: sound(f) & mp4(f) & low(f), lambda f: sound(f) & mp4(f), sound]
+
+    def rank(f: Column, n: Column) -> Column:
+        tier = F.coalesce(*(F.when(fits(f), F.lit(-k)) for k, fits in enumerate(tiers)))
+        return F.struct(tier.alias("t"), F.coalesce(f["height"], F.lit(0)).alias("h"), n.alias("n"), f["url"].alias("u"))
+
+    return F.array_max(F.filter(F.transform(F.col(formats), rank), lambda x: x["t"].isNotNull() & x["u"].isNotNull()))["u"]
+
+
+def normalize_footage_hits(hits: DataFrame, by: str, max_h: int = 1080, per_query: int = 2, max_sources: int = 6, codecs: tuple[str, ...] = ("avc1",), clips_per_video: int = 5, max_clips: int = 24) -> DataFrame:
+    """SRC-10. Footage between 12 s and 20 min with its best rendition (``best_rendition``), so many per query and script.
+
+    clips: how many clips a source gives, ``clips_per_video`` until the script has ``max_clips``; sources beyond that are left out.
+    """
+    kind = "entries array<struct<url: string, duration: double, formats: array<struct<height: int, codec: string, url: string, ext: string, muxed: boolean>>>>"
     v = hits.select(by, "term", "term_ord", F.posexplode(F.from_json("body", kind)["entries"]).alias("hit_ord", "v")).where((F.col("v.duration") > 12) & (F.col("v.duration") < 1200))
-    prefer = lambda f: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for n, c in enumerate(codecs) for x in (c, -n))), f["codec"]), F.lit(-len(codecs)))
-    fits = F.transform(F.filter("v.formats", lambda f: (f["height"] <= max_h) & f["codec"].isin(*codecs)), lambda f: F.struct(f["height"].alias("h"), prefer(f).alias("p"), f["url"].alias("u")))
-    rows = v.select(by, "term", "term_ord", "hit_ord", F.col("v.url").alias("source"), F.col("v.duration").alias("duration"), F.array_max(fits)["u"].alias("url")).where("url is not null")
-    return _ranked(_ranked(rows, [by, "term"], ["hit_ord"], per_query), [by], ["term_ord", "hit_ord"], max_sources)
+    v = v.select(by, "term", "term_ord", "hit_ord", F.col("v.url").alias("source"), F.col("v.duration").alias("duration"), F.col("v.formats").alias("__formats"))
+    rows = v.withColumn("url", best_rendition("__formats", max_h, codecs)).drop("__formats").where("url is not null")
+    rows = _ranked(_ranked(rows, [by, "term"], ["hit_ord"], per_query), [by], ["term_ord", "hit_ord", "term"], max_sources)
+    before = (F.row_number().over(Window.partitionBy(by).orderBy("term_ord", "hit_ord", "term")) - 1) * clips_per_video
+    return rows.withColumn("clips", F.least(F.lit(clips_per_video), F.lit(max_clips) - before)).where("clips > 0")
 
 
 def concat_hits(*parts: DataFrame) -> DataFrame:
