@@ -6,10 +6,12 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutroom.functions.dictionary import replace_terms
+
 #: Punctuation that breaks a text into caption units; a point between digits doesn't.
 BREAKS = r"\n|(?<![0-9])\.|\.(?![0-9])|[?,、;:!…？，。；：！]"
 SMALL_NUMBERS = (
@@ -170,22 +172,24 @@ def phrase_groups(df: DataFrame, units: str = "units") -> DataFrame:
 
 
 def recognised_segments_to_cues(words: DataFrame, by: list[str], order: str) -> DataFrame:
-    """X-8. Cues that end with a punctuated word; the cue's last character is dropped, its span is kept.
+    """X-8. Cues that end with a word that holds a mark anywhere; the cue's last character is dropped, its span is kept.
 
-    A cue that the drop leaves empty passes its start on to the next one. The break depends on the word alone, so cue
-    numbers are a running sum.
+    Words carry their own blanks and are joined as they are; a cue is stripped, and a blank one gives no row. A cue that the drop leaves
+    empty passes its start on to the next one, but at a segment's begin only to one whose first word has a mark too.
+    The break depends on the word alone, so cue numbers are a running sum.
     """
     w = Window.partitionBy(*by).orderBy(order)
-    ends = F.trim("word").rlike(r"[.,!?;:、。，！？；：…]$")
-    rows = words.withColumn("__b", ends.cast("int")).withColumn("cue", F.coalesce(F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), " ")
-    cues = rows.groupBy(*by, "cue").agg(F.min("start").alias("start"), F.max("end").alias("end"), text.alias("text"), F.max("__b").alias("__b"))
+    rows = words.withColumn("__b", F.col("word").rlike(f"[{GROUP_MARKS}]").cast("int")).withColumn("cue", F.coalesce(F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), "")
+    cues = rows.groupBy(*by, "cue").agg(F.min_by("start", order).alias("__s"), F.max_by("end", order).alias("end"), text.alias("text"), F.max("__b").alias("__b"), F.count("*").alias("__n"))
     cues = cues.withColumn("text", F.when(F.col("__b") == 1, F.expr("left(text, char_length(text) - 1)")).otherwise(F.col("text")))
     c = Window.partitionBy(*by).orderBy("cue")
-    cues = cues.withColumns({"__full": (F.trim("text") != "").cast("int")})
-    cues = cues.withColumn("__part", F.sum("__full").over(c.rowsBetween(Window.unboundedPreceding, -1)))
-    first = F.min("start").over(Window.partitionBy(*by, "__part"))
-    return cues.withColumn("__first", first).where("__full = 1").select(*by, F.row_number().over(c).alias("cue_idx"), F.round("__first", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+    cues = cues.withColumn("__full", (F.col("text") != "").cast("int"))
+    cues = cues.withColumn("__part", F.coalesce(F.sum("__full").over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.first("__s").over(Window.partitionBy(*by, "__part").orderBy("cue"))
+    first = F.when((F.col("__part") == 0) & ((F.col("__n") > 1) | (F.col("__b") == 0)), F.col("__s")).otherwise(first)
+    cues = cues.withColumn("__first", first).withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("__full = 1 and text <> ''")
+    return cues.select(*by, F.row_number().over(c).alias("cue_idx"), F.round("__first", 3).alias("start"), F.round("end", 3).alias("end"), "text")
 
 
 def parse_terms(df: DataFrame, reply: str = "reply", subject: str = "subject") -> DataFrame:
@@ -203,23 +207,68 @@ def clean_script(df: DataFrame, text: str = "text", out: str = "clean") -> DataF
     return df.withColumn(out, F.regexp_replace(F.regexp_replace(c, r"\[.*\]", ""), r"\(.*\)", ""))
 
 
-def hook_validity(df: DataFrame, hook: str = "hook", script: str = "script") -> DataFrame:
-    """X-11. The reply's first line in capitals if it is 10 to 80 characters, else the script's first five words in capitals."""
-    line = F.upper(F.trim(F.element_at(F.split(F.coalesce(F.col(hook), F.lit("")), "\n"), 1)))
-    words = F.filter(F.split(F.coalesce(F.col(script), F.lit("")), r"\s+"), lambda w: w != "")
-    n = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
-    valid = F.char_length(line).between(10, 80)
-    return df.withColumns({"hook_text": F.when(valid, line).otherwise(F.upper(F.array_join(F.slice(words, 1, 5), " "))), "from_reply": valid, "phrase_ok": n.between(3, 12)})
+def _bare_reply(reply: str) -> Column:
+    """A reply without white space and then quotes at its ends; empty for an error reply."""
+    c = F.coalesce(F.col(reply), F.lit(""))
+    c = F.when(c.startswith("Error:"), F.lit("")).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(c, '^"+|"+$', ""), "^'+|'+$", "")
+
+
+def _first_line(text: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(text, "\n"), 1), r"(?U)^\s+|\s+$", "")
+
+
+def _space_words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
+def hook_validity(df: DataFrame, hook: str = "hook", subject: str = "subject") -> DataFrame:
+    """X-11. hook_text: the reply's first line in capitals if it is 10 to 80 characters, else the subject's first five words in
+    capitals; from_reply says which. phrase: the first line as it stands if it has 3 to 12 words, else the subject; phrase_ok says which.
+
+    Quotes and white space around a reply go before its line is taken. A reply that begins with "Error:" is none.
+    """
+    line = _first_line(F.upper(_bare_reply(hook)))
+    term = _first_line(_bare_reply(hook))
+    about = F.coalesce(F.col(subject), F.lit(""))
+    valid, fits = F.char_length(line).between(10, 80), F.size(_space_words(term)).between(3, 12)
+    fallback = F.array_join(F.slice(_space_words(F.upper(about)), 1, 5), " ")
+    phrase = F.when(fits, term).otherwise(F.regexp_replace(about, r"(?U)^\s+|\s+$", ""))
+    return df.withColumns({"hook_text": F.when(valid, line).otherwise(fallback), "from_reply": valid, "phrase": phrase, "phrase_ok": fits})
+
+
+#: Numbers, terms and contractions as they are to be spoken, in the order in which they are replaced.
+SPOKEN_TERMS = (
+    ("150-300", "one hundred fifty to three hundred"), ("75-150", "seventy five to one hundred fifty"), ("150", "one hundred fifty"), ("300", "three hundred"),
+    ("75", "seventy five"), ("6-7", "six to seven"), ("30", "thirty"), ("5", "five"), ("2", "two"),
+    ("metabolism", "how your body burns calories"), ("antioxidants", "healthy compounds"), ("quinoa", "healthy grains"), ("cardiovascular", "heart and blood vessel"),
+    ("World Health Organization", "health experts"), ("vigorous cardio", "intense exercise"), ("moderate cardio", "gentle exercise"),
+    ("strengthening activities", "muscle building exercises"), ("resistance bands", "exercise bands"), ("complex carbs", "healthy carbs"),
+    ("you're", "you are"), ("don't", "do not"), ("let's", "let us"), ("when's", "when is"), ("that's", "that is"), ("it's", "it is"),
+)
+
+
+def spoken_terms(spark: SparkSession) -> DataFrame:
+    """The table (ord, term, spoken) of ``SPOKEN_TERMS``."""
+    return spark.createDataFrame([(n, *x) for n, x in enumerate(SPOKEN_TERMS)], "ord int, term string, spoken string")
+
+
+def normalise_for_speech(df: DataFrame, text: str = "text", terms: DataFrame | None = None, most: int = 120, out: str = "spoken") -> DataFrame:
+    """X-12. One blank for white space, the dictionary's terms replaced (``dictionary.replace_terms``; ``spoken_terms`` unless
+    given), repeated ! ? and . once, and sentences over the limit cut at ", " into sentences that end with a full stop."""
+    rows = df.withColumn(out, F.regexp_replace(F.regexp_replace(F.col(text), r"(?U)\s+", " "), "^ | $", ""))
+    rows = replace_terms(rows, out, spoken_terms(df.sparkSession) if terms is None else terms, out)
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(out), "!!+", "!"), r"\?\?+", "?"), r"\.\.+", ".")
 
+    def cut(s: Column) -> Column:
+        body, mark = F.regexp_replace(s, "[.!?]$", ""), F.regexp_extract(s, "[.!?]$", 0)
+        parts = F.split(body, ", ")
+        n = F.size(parts)
+        whole = F.concat(F.array_join(F.transform(F.slice(parts, 1, n - 1), lambda p: F.concat(F.trim(p), F.lit("."))), " "), F.lit(" "), F.element_at(parts, -1), mark)
+        return F.when((F.char_length(body) > most) & (mark != "") & (n > 1), whole).otherwise(s)
 
-def normalise_for_speech(df: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...] = ((r"\bvs\.?(?=\s|$)", "versus"), ("&", " and "), (r"\s+", " "), (r"([!?.,])\1+", "$1")), most: int = 120, out: str = "spoken") -> DataFrame:
-    """X-12. Ordered replacements, then sentences over the limit are cut at their commas."""
-    c = F.col(text)
-    for pattern, new in rules:
-        c = F.regexp_replace(c, pattern, new)
-    sentences = _parts(c, r"(?<=[.!?])\s+")
-    cut = F.flatten(F.transform(sentences, lambda s: F.when(F.char_length(s) > most, F.split(s, ", ")).otherwise(F.array(s))))
-    return df.withColumn(out, F.array_join(cut, "\n"))
+    sentences = F.transform(F.regexp_extract_all(c, F.lit("[^.!?]*[.!?]|[^.!?]+"), F.lit(0)), cut)
+    return rows.withColumn(out, F.trim(F.regexp_replace(F.array_join(sentences, " "), r"(?U)\s+", " ")))
 
 
 def number_words(n: int) -> str:
@@ -232,10 +281,11 @@ def number_words(n: int) -> str:
 
 
 def spell_numbers(df: DataFrame, text: str = "text", out: str = "spelled") -> DataFrame:
-    """X-13. Words that are whole numbers up to 999 in words, by a map literal of a thousand entries."""
+    """X-13. Whole numbers between word boundaries: up to 999 in words, by a map literal of a thousand entries, larger ones without leading zeros."""
     spoken = F.create_map(*(F.lit(x) for n in range(1000) for x in (str(n), number_words(n))))
-    tokens = F.transform(F.split(F.col(text), " "), lambda w: F.coalesce(F.when(w.rlike("^[0-9]{1,3}$"), F.try_element_at(spoken, w.cast("int").cast("string"))), w))
-    return df.withColumn(out, F.array_join(tokens, " "))
+    plain = lambda w: F.regexp_replace(w, "^0+(?=.)", "")
+    tokens = F.transform(F.split(F.col(text), r"(?U)\b(?=[0-9])|(?<=[0-9])\b"), lambda w: F.when(w.rlike("^[0-9]+$"), F.coalesce(F.try_element_at(spoken, plain(w)), plain(w))).otherwise(w))
+    return df.withColumn(out, F.array_join(tokens, ""))
 
 
 def wrap_list(text: str, most_chars: int = 40, most_lines: int = 2) -> list[str]:

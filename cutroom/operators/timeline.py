@@ -85,14 +85,20 @@ def onset_peaks(series: DataFrame, by: str, t: str = "t", onset: str = "onset",
 
 
 def dominant_period(series: DataFrame, by: str, idx: str = "idx", onset: str = "onset", fps: float = 10.0, lo: float = 60, hi: float = 200) -> DataFrame:
-    """W-12. Rate per minute of the lag with the largest autocorrelation of the centred series; null if too short."""
-    first, last = max(1, int(60 * fps / hi)), int(60 * fps / lo)
-    rows = series.withColumn("__c", F.col(onset) - F.avg(onset).over(Window.partitionBy(by)))
-    lags = rows.select(by, F.col(idx).alias("__i"), F.col("__c").alias("x"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("lag")).withColumn("__j", F.col("__i") + F.col("lag"))
-    pairs = lags.join(rows.select(by, F.col(idx).alias("__j"), F.col("__c").alias("y")), [by, "__j"])
-    score = pairs.groupBy(by, "lag").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("s"))
-    best = score.groupBy(by).agg(F.max_by("lag", F.struct("s", -F.col("lag"))).alias("lag"))
-    return series.select(by).distinct().join(best, by, "left").select(by, F.round(60.0 * fps / F.col("lag"), 1).alias("bpm"))
+    """W-12. Rate per minute of the lag with the largest autocorrelation of the centred series, the shorter of equal ones.
+
+    Lags go from the highest rate's up to the lowest rate's, that one left out. A series of under four values, or one that
+    isn't longer than the last lag, has none (null), nor has one whose best lag is 0.
+    """
+    first, last = int(fps * 60.0 / hi), int(fps * 60.0 / lo)
+    keys = series.groupBy(by).agg(F.count("*").alias("__n"))
+    long = (F.col("__n") >= 4) & (F.col("__n") > last) & F.lit(last > first)
+    rows = series.select(by, F.col(idx).alias("__i"), (F.col(onset) - F.avg(onset).over(Window.partitionBy(by))).alias("__c"))
+    lags = rows.select(by, "__i", F.col("__c").alias("__x"), F.explode(F.sequence(F.lit(first), F.lit(max(first, last - 1)))).alias("__lag")).withColumn("__j", F.col("__i") + F.col("__lag"))
+    pairs = lags.join(rows.select(by, F.col("__i").alias("__j"), F.col("__c").alias("__y")), [by, "__j"])
+    score = pairs.groupBy(by, "__lag").agg(F.round(F.sum(F.col("__x") * F.col("__y")), 6).alias("__s"))
+    best = score.groupBy(by).agg(F.max_by("__lag", F.struct("__s", -F.col("__lag"))).alias("__lag"))
+    return keys.join(best, by, "left").select(by, F.when(long & (F.col("__lag") > 0), F.round(60.0 * fps / F.nullif("__lag", F.lit(0)), 1)).alias("bpm"))
 
 
 def crossfade_timeline(clips: DataFrame, by: str, order: str, crossfade: float) -> DataFrame:
@@ -140,14 +146,23 @@ def nearest_event_snap(points: DataFrame, beats: DataFrame, by: str, t: str = "t
     return rows.select(by, F.col("__t").alias(t), near.alias("snapped"))
 
 
-def loop_fill_to_duration(clips: DataFrame, targets: DataFrame, by: str, order: str, reuse_limit: int | None = None, rounds: int = 100) -> DataFrame:
-    """G-4. Repeat the clips in order until the audio is covered, each at most ``reuse_limit`` times.
+def loop_fill_to_duration(clips: DataFrame, targets: DataFrame, by: str, order: str, reuse_limit: int | None = None, strict: bool = False, tolerance: float = 0.2) -> DataFrame:
+    """G-4. Repeat the clips in order until the audio is covered, each at most ``reuse_limit`` times (None: as often as it takes).
 
-    No fold: every repeat of every clip is a row, and a running sum cuts them. Repeats come only where speech isn't covered.
+    No fold: every repeat of every clip is a row, and a running sum cuts them. Repeats come only where speech isn't
+    covered. ``strict``: nothing is repeated, and clips that are short by more than the tolerance are an error. Clips
+    without any length are never repeated.
     """
     w = Window.partitionBy(by)
-    rows = clips.join(targets, by).withColumn("__sum", F.sum("duration").over(w)).where("__sum > 0")
-    need = F.when(F.col("__sum") >= F.col("speech_s"), 1).otherwise(F.least(F.ceil(F.col("audio_s") / F.col("__sum")), F.lit(reuse_limit or rounds)))
+    rows = clips.join(targets, by).withColumn("__sum", F.sum("duration").over(w))
+    if strict:
+        short = F.col("__sum") + tolerance < F.col("speech_s")
+        message = F.concat(F.lit("clips are short: "), F.round("__sum", 2), F.lit(" s of "), F.round("speech_s", 2), F.lit(" s"))
+        rows = rows.withColumn("__sum", F.when(short, F.raise_error(message).cast("double")).otherwise(F.col("__sum")))
+        need = F.when(F.col("__sum").isNotNull(), 1)  # the sum is looked at, so a short one is seen
+    else:
+        need = F.when((F.col("__sum") >= F.col("speech_s")) | (F.col("__sum") <= 0), 1).otherwise(F.ceil(F.col("audio_s") / F.col("__sum")))
+        need = F.least(need, F.lit(reuse_limit)) if reuse_limit else need
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), need.cast("int")))).alias("loop"))
     rows = rows.withColumn("__before", F.coalesce(F.sum("duration").over(_before(by, ["loop", order])), F.lit(0.0)))
     rows = rows.where((F.col("loop") == 1) | (F.round(F.col("__before"), 6) < F.col("audio_s")))
@@ -164,19 +179,23 @@ def pin_and_loop_edits(timeline: DataFrame, pins: DataFrame, covers: DataFrame,
 
 
 def highlight_spans(captions: DataFrame, words: DataFrame, by: str, order: str) -> DataFrame:
-    """W-14. Gapless plain and highlighted spans of each caption; words are clamped to it, empty ones are skipped.
+    """W-14. Gapless plain and highlighted spans of each caption; words are clamped to it and come in order of their start.
 
-    A word that its caption's text doesn't hold gets no highlight, but time moves on to its end.
+    A word is highlighted if it equals a word of the caption's text in any case; another one, and an empty one, gets no span, but time
+    moves on to its end. A caption without words in it is one plain span. A word that the clamping leaves without length doesn't count.
     """
     keys = [by, order]
-    rows = words.join(captions.select(*keys, F.col("start").alias("c0"), F.col("end").alias("c1"), "text"), keys).where(F.trim("word") != "")
-    rows = rows.withColumns({"w0": F.greatest("start", "c0"), "w1": F.least("end", "c1")}).where("w1 > w0")
-    w = Window.partitionBy(*keys).orderBy("word_idx")
-    rows = rows.withColumns({"prev": F.coalesce(F.lag("w1").over(w), F.col("c0")), "is_last": F.lead("word_idx").over(w).isNull()})
-    lit = F.when(F.col("text").contains(F.col("word")), F.struct(F.lit("highlight").alias("kind"), F.col("w0").alias("from"), F.col("w1").alias("to"), F.col("word").alias("token")))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    frames = captions.select(*keys, F.col("start").alias("__c0"), F.col("end").alias("__c1"), F.split(F.lower("text"), r"(?U)\s+").alias("__text"))
+    timed = words.select(*keys, bare(F.coalesce("word", F.lit(""))).alias("__word"), F.col("start").alias("__w0"), F.col("end").alias("__w1"), F.col("word_idx").alias("__at"))
+    inside = timed.join(frames.drop("__text"), keys).withColumns({"__from": F.greatest("__w0", "__c0"), "__to": F.least("__w1", "__c1")}).where("__to > __from")
+    w = Window.partitionBy(*keys).orderBy("__w0", "__at")
+    inside = inside.withColumns({"__prev": F.lag("__to").over(w), "__last": F.lead("__at").over(w).isNull()}).drop("__c0", "__c1", "__w0", "__w1", "__at")
+    rows = frames.join(inside, keys, "left")
+    lit = F.when((F.col("__word") != "") & F.array_contains("__text", F.lower("__word")), F.struct(F.lit("highlight").alias("kind"), F.col("__from").alias("from"), F.col("__to").alias("to"), F.col("__word").alias("token")))
     plain = lambda a, z, when: F.when(when & (z > a), F.struct(F.lit("plain").alias("kind"), a.alias("from"), z.alias("to"), F.lit(None).cast("string").alias("token")))
-    parts = F.array(plain(F.col("prev"), F.col("w0"), F.lit(True)), lit, plain(F.col("w1"), F.col("c1"), F.col("is_last")))
-    return rows.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("s")).select(*keys, "s.kind", F.round("s.from", 3).alias("from"), F.round("s.to", 3).alias("to"), "s.token")
+    parts = F.array(plain(F.coalesce("__prev", "__c0"), F.col("__from"), F.lit(True)), lit, plain(F.coalesce("__to", "__c0"), F.col("__c1"), F.coalesce("__last", F.lit(True))))
+    return rows.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("__s")).select(*keys, "__s.kind", F.round("__s.from", 3).alias("from"), F.round("__s.to", 3).alias("to"), "__s.token")
 
 
 def sticker_spacing(tagged: DataFrame, by: str, t: str = "t", gap: float = 1.2) -> DataFrame:

@@ -92,12 +92,17 @@ def _(get):
     return x.phrase_groups(get("conversations").select("conv_id", "turn", F.split("text", " ").alias("units"))).select("conv_id", "turn", "pos", "phrase")
 
 
-@query("recognised_segments_to_cues", r"""with w as (select *, coalesce(sum(b) over (partition by script_id, seg_idx order by word_idx rows between unbounded preceding and 1 preceding), 0) as cue from (select *, cast(regexp_matches(trim(word), '[.,!?;:、。，！？；：…]$') as int) as b from {words})),
-    c as (select script_id, seg_idx, cue, min(start) as s, max("end") as e, string_agg(word, ' ' order by word_idx) as t, max(b) as b from w group by 1, 2, 3), d as (select *, case when b = 1 then left(t, length(t) - 1) else t end as t2 from c),
-    f as (select *, min(s) over (partition by script_id, seg_idx, p) as s2 from (select *, sum(case when trim(t2) <> '' then 1 else 0 end) over (partition by script_id, seg_idx order by cue rows between unbounded preceding and 1 preceding) as p from d))
-    select script_id, seg_idx, cast(row_number() over (partition by script_id, seg_idx order by cue) as int) as cue_idx, round(s2, 3) as start, round(e, 3) as "end", t2 as text from f where trim(t2) <> ''""")
+#: Words with their own blanks; marks within a word, words of one mark, cues that the drop leaves empty, at the begin too.
+_HEARD = "case when (word_idx + script_id) % 9 = 0 then ',' when word_idx % 7 = 3 then ' 3.5m' when word_idx % 13 = 5 then ' ,' else concat(' ', word) end"
+
+
+@query("recognised_segments_to_cues", rf"""with h as (select script_id, seg_idx, word_idx, start, "end", {_HEARD} as word from {{words}}),
+    w as (select *, coalesce(sum(b) over (partition by script_id, seg_idx order by word_idx rows between unbounded preceding and 1 preceding), 0) as cue from (select *, cast(regexp_matches(word, '[?,.、;:!…？，。；：！]') as int) as b from h)),
+    c as (select script_id, seg_idx, cue, arg_min(start, word_idx) as s, arg_max("end", word_idx) as e, string_agg(word, '' order by word_idx) as t, max(b) as b, count(*) as n from w group by 1, 2, 3), d as (select *, case when b = 1 then left(t, length(t) - 1) else t end as t2 from c),
+    f as (select *, first_value(s) over (partition by script_id, seg_idx, p order by cue) as s2 from (select *, coalesce(sum(case when t2 <> '' then 1 else 0 end) over (partition by script_id, seg_idx order by cue rows between unbounded preceding and 1 preceding), 0) as p from d))
+    select script_id, seg_idx, cast(row_number() over (partition by script_id, seg_idx order by cue) as int) as cue_idx, round(case when p = 0 and (n > 1 or b = 0) then s else s2 end, 3) as start, round(e, 3) as "end", regexp_replace(t2, '^\s+|\s+$', '', 'g') as text from f where trim(t2) <> ''""")
 def _(get):
-    return x.recognised_segments_to_cues(get("words"), ["script_id", "seg_idx"], "word_idx")
+    return x.recognised_segments_to_cues(get("words").withColumn("word", F.expr(_HEARD)), ["script_id", "seg_idx"], "word_idx")
 
 
 @query("parse_terms", """select doc_id, case doc_id % 4 when 0 then concat(w[1], '|', w[2], ' ', w[3]) when 1 then concat(w[3], '|', w[1]) when 2 then concat(w[2], '|', w[3]) else concat('subject ', doc_id) end as terms
@@ -114,17 +119,36 @@ def _(get):
     return x.clean_script(_docs(get)).select("doc_id", "clean")
 
 
-@query("hook_validity", r"""select doc_id, case when length(h) between 10 and 80 then h else replace(upper(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ')), 'ẞ', 'SS') end as hook_text, length(h) between 10 and 80 as from_reply from
-    (select doc_id, text, replace(upper(trim(string_split(text, chr(10))[1])), 'ẞ', 'SS') as h from {documents})""")
+# Replies as they come: errors, quotes and line feeds around the hook; the subject is the text's begin.
+@query("hook_validity", r"""with r as (select doc_id, left(text, 90) as subject, case doc_id % 5 when 0 then concat('Error: ', text) when 1 then concat(chr(10), '"', text, '"') when 2 then concat('  ''"', text) when 3 then concat(chr(39), text, chr(39)) else text end as reply from {documents}),
+    b as (select doc_id, subject, regexp_replace(regexp_replace(case when starts_with(reply, 'Error:') then '' else regexp_replace(reply, '^\s+|\s+$', '', 'g') end, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') as reply from r),
+    l as (select doc_id, subject, trim(string_split(reply, chr(10))[1]) as term, replace(upper(trim(string_split(reply, chr(10))[1])), 'ẞ', 'SS') as h from b),
+    n as (select *, len(list_filter(regexp_split_to_array(term, '\s+'), lambda w: w <> '')) as n from l)
+    select doc_id, case when length(h) between 10 and 80 then h else replace(upper(array_to_string(list_filter(regexp_split_to_array(subject, '\s+'), lambda w: w <> '')[1:5], ' ')), 'ẞ', 'SS') end as hook_text, length(h) between 10 and 80 as from_reply,
+    case when n between 3 and 12 then term else regexp_replace(subject, '^\s+|\s+$', '', 'g') end as phrase, n between 3 and 12 as phrase_ok from n""")
 def _(get):
-    return x.hook_validity(_docs(get), "text", "text").select("doc_id", "hook_text", "from_reply")
+    rows, reply = get("documents").selectExpr("doc_id", "left(text, 90) as subject", "text"), F.col("text")
+    for k, (before, behind) in enumerate((("Error: ", ""), ('\n"', '"'), ("  '\"", ""), ("'", "'"))):
+        reply = F.when(F.col("doc_id") % 5 == k, F.concat(F.lit(before), "text", F.lit(behind))).otherwise(reply)
+    return x.hook_validity(rows.withColumn("reply", reply), "reply", "subject").select("doc_id", "hook_text", "from_reply", "phrase", "phrase_ok")
+
 
+def _speech_sql() -> str:
+    """The dictionaries one after the other, as replacements over the whole text; then marks and long sentences."""
+    t = r"trim(regexp_replace(concat(text, ' You''re ', doc_id % 7, ', not 75-150; 150-300 or 5!! Vigorous cardio, METABOLISM... it''s 6-7 World  Health Organization bands??'), '\s+', ' ', 'g'))"
+    for term, spoken in x.SPOKEN_TERMS:
+        t = f"regexp_replace({t}, '\\b{term.replace(chr(39), 2 * chr(39))}\\b', '{spoken}', 'gi')"
+    t = rf"regexp_replace(regexp_replace(regexp_replace({t}, '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g')"
+    cut = "case when length(b) > 120 and m <> '' and contains(b, ', ') then concat(array_to_string(list_transform(string_split(b, ', ')[1:len(string_split(b, ', ')) - 1], lambda p: concat(trim(p), '.')), ' '), ' ', string_split(b, ', ')[-1], m) else s end"
+    return rf"""with t as (select doc_id, {t} as t from {{documents}}), s as (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as s from (select doc_id, regexp_extract_all(t, '[^.!?]*[.!?]|[^.!?]+') as l from t)),
+        b as (select doc_id, i, s, regexp_replace(s, '[.!?]$', '') as b, regexp_extract(s, '[.!?]$') as m from s)
+        select doc_id, trim(regexp_replace(string_agg({cut}, ' ' order by i), '\s+', ' ', 'g')) as spoken from b group by doc_id"""
 
-@query("normalise_for_speech", r"""select doc_id, array_to_string(flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''),
-    lambda s: case when length(s) > 120 then string_split(s, ', ') else [s] end)), chr(10)) as spoken from (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\bvs\.?(\s|$)', 'versus\1', 'g'), '&', ' and '), '\s+', ' ', 'g'),
-    '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g'), ',,+', ',', 'g') as t from {documents})""")
+
+@query("normalise_for_speech", _speech_sql())
 def _(get):
-    return x.normalise_for_speech(_docs(get)).select("doc_id", "spoken")
+    tail = F.concat(F.lit(" You're "), F.col("doc_id") % 7, F.lit(", not 75-150; 150-300 or 5!! Vigorous cardio, METABOLISM... it's 6-7 World  Health Organization bands??"))
+    return x.normalise_for_speech(_docs(get).withColumn("text", F.concat("text", tail))).select("doc_id", "spoken")
 
 
 def _spoken(n: str) -> str:
@@ -133,9 +157,14 @@ def _spoken(n: str) -> str:
     return f"case when {n} < 100 then {below} else concat({x.SMALL_NUMBERS}[{n} // 100 + 1], ' hundred', case when {n} % 100 > 0 then concat(' ', {below}) else '' end) end"
 
 
-@query("spell_numbers", f"select event_id, concat('play ', case when n < 1000 then {_spoken('n')} else cast(n as string) end, ' now, ', user_id, '.') as spelled from (select event_id, user_id, event_id * 7 % 1200 as n from {{events}})")
+_NUMBER = "case when {n} < 1000 then {s} else cast({n} as string) end"
+
+
+@query("spell_numbers", f"""select event_id, concat('play ', {_NUMBER.format(n='n', s=_spoken('n'))}, ' now, ', {_NUMBER.format(n='user_id', s=_spoken('user_id'))}, '. v', n, ' ', {_NUMBER.format(n='n', s=_spoken('n'))}, '-', {_spoken('(n % 10)')}, 'x') as spelled
+    from (select event_id, user_id, event_id * 7 % 1200 as n from {{events}})""".replace(", 'x')", ", ' 4x')"))
 def _(get):
-    return x.spell_numbers(get("events").selectExpr("event_id", "concat('play ', event_id * 7 % 1200, ' now, ', user_id, '.') as text")).select("event_id", "spelled")
+    text = "concat('play ', event_id * 7 % 1200, ' now, ', user_id, '. v', event_id * 7 % 1200, ' 00', event_id * 7 % 1200, '-', event_id * 7 % 1200 % 10, ' 4x') as text"
+    return x.spell_numbers(get("events").selectExpr("event_id", text)).select("event_id", "spelled")
 
 
 @query("wrap_lines")
@@ -274,7 +303,13 @@ def _(get):
     return readers.normalize_short_clip_hits(_hits(get, body)).select("term", "url", "width")
 
 
-@query("normalize_footage_hits", "select page_id as pool, concat('h264-', page_id) as url, cast(60 + page_id % 30 as double) as duration from {pages} union all select page_id, concat('b', page_id), cast(100 as double) from {pages}")
+@query("normalize_footage_hits", """select cast(page_id // 10 as bigint) as pool, concat('t', page_id) as term, concat('low-', page_id) as url, cast(60 + page_id % 30 as double) as duration, 5 as clips from {pages} where page_id % 10 < 3
+    union all select page_id // 10, concat('t', page_id), case page_id % 3 when 0 then concat('only-', page_id) when 1 then concat('vp-', page_id) else concat('loud-', page_id) end, cast(100 as double), case when page_id % 10 = 2 then 3 else 5 end from {pages} where page_id % 10 < 3""")
 def _(get):
-    body = """concat('{"entries":[{"url":"a","duration":', 60 + page_id % 30, ',"formats":[{"height":1080,"codec":"vp9","url":"vp"},{"height":1080,"codec":"avc1","url":"h264-', page_id, '"},{"height":2160,"codec":"avc1","url":"big"}]},{"url":"c","duration":5,"formats":[]},{"url":"b","duration":100,"formats":[{"height":720,"codec":"av01","url":"b', page_id, '"}]},{"url":"d","duration":100,"formats":[{"height":720,"codec":"av01","url":"third"}]}]}')"""
-    return readers.normalize_footage_hits(_hits(get, body), "pool").select("pool", "url", "duration")
+    """Ten queries a script: 720 avc1 beside 1080 vp9, only 2160, only vp9, only with sound; a third hit and long and short ones go."""
+    first = """'{"url":"a","duration":', 60 + page_id % 30, ',"formats":[{"height":720,"codec":"avc1.64","url":"low-', page_id, '"},{"height":1080,"codec":"vp9","url":"vp"},{"height":2160,"codec":"avc1.64","url":"big"}]}'"""
+    second = """'{"url":"b","duration":100,"formats":[', case page_id % 3 when 0 then concat('{"height":2160,"codec":"avc1","url":"only-', page_id, '"}') when 1 then concat('{"height":480,"codec":"vp9","url":"less"},{"height":720,"codec":"vp9","url":"vp-', page_id, '"}')
+        else concat('{"height":1440,"codec":"avc1","url":"quiet","muxed":false},{"height":360,"codec":"avc1","url":"loud-', page_id, '","muxed":true}') end, ']}'"""
+    body = f"""concat('{{"entries":[', {first}, ',{{"url":"c","duration":5,"formats":[]}},{{"url":"e","duration":1200,"formats":[]}},', {second}, ',{{"url":"d","duration":100,"formats":[{{"height":720,"codec":"avc1","url":"third"}}]}}]}}')"""
+    hits = get("pages").selectExpr("cast(floor(page_id / 10) as bigint) as pool", "concat('t', page_id) as term", "cast(page_id % 10 as int) as term_ord", f"{body} as body")
+    return readers.normalize_footage_hits(hits, "pool", clips_per_video=5, max_clips=28).select("pool", "term", "url", "duration", "clips")

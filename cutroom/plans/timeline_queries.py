@@ -61,8 +61,8 @@ def _(get):
     return timeline.onset_peaks(get("series"), "track", onset="v", min_gap=0.25)
 
 
-@query("dominant_period", """with c as (select track, idx, v - avg(v) over (partition by track) as x from {series}), s as (select a.track, b.idx - a.idx as lag, round(sum(a.x * b.x), 6) as s from c a join c b on a.track = b.track and b.idx - a.idx between 3 and 10 group by 1, 2)
-    select track, round(600.0 / arg_max(lag, (s, -lag)), 1) as bpm from s group by track""")
+@query("dominant_period", """with c as (select track, idx, v - avg(v) over (partition by track) as x from {series}), s as (select a.track, b.idx - a.idx as lag, round(sum(a.x * b.x), 6) as s from c a join c b on a.track = b.track and b.idx - a.idx between 3 and 9 group by 1, 2), b as (select track, arg_max(lag, (s, -lag)) as lag from s group by track), n as (select track, count(*) as n from {series} group by track)
+    select n.track, case when n > 10 then round(600.0 / lag, 1) end as bpm from n left join b on b.track = n.track""")
 def _(get):
     return timeline.dominant_period(get("series"), "track", onset="v", fps=10.0)
 
@@ -98,11 +98,11 @@ def _(get):
     return timeline.nearest_event_snap(s.select("track", (F.col("t") + 0.13).alias("t")), s.where("idx % 7 = 0").select("track", F.col("t").alias("beat")), "track")
 
 
-@query("loop_fill_to_duration", """with c as (select k.pool, page_id, duration, audio_s * 8 as audio_s, sum(duration) over (partition by k.pool) as total from {candidates} k join {pools} p on p.pool = k.pool),
-    r as (select *, unnest(range(1, cast(greatest(1, case when total >= audio_s then 1 else least(ceil(audio_s / total), 100) end) as bigint) + 1)) as n from c)
+@query("loop_fill_to_duration", """with c as (select k.pool, page_id, duration, audio_s * 60 as audio_s, sum(duration) over (partition by k.pool) as total from {candidates} k join {pools} p on p.pool = k.pool),
+    r as (select *, unnest(range(1, cast(greatest(1, case when total >= audio_s then 1 else ceil(audio_s / total) end) as bigint) + 1)) as n from c)
     select pool, cast(n as int) as "loop", page_id, duration, round(b, 6) as start from (select *, coalesce(sum(duration) over (partition by pool order by n, page_id rows between unbounded preceding and 1 preceding), 0) as b from r) where n = 1 or round(b, 6) < audio_s""")
 def _(get):
-    targets = get("pools").select("pool", (F.col("audio_s") * 8).alias("audio_s")).withColumn("speech_s", F.col("audio_s"))
+    targets = get("pools").select("pool", (F.col("audio_s") * 60).alias("audio_s")).withColumn("speech_s", F.col("audio_s"))
     return timeline.loop_fill_to_duration(_clips(get), targets, "pool", "page_id")
 
 
@@ -123,13 +123,18 @@ def _(get):
     return timestamp_validity(get("words").withColumn("end", F.expr("case when word_idx % 10 = 0 then null else `end` end")), "script_id")
 
 
-@query("highlight_spans", """with w as (select script_id, seg_idx, word_idx, word, round(start, 3) as w0, least(round("end", 3), c1) as w1, c1 from {words} join (select script_id, seg_idx, round(max("end"), 3) - 0.1 as c1 from {words} group by 1, 2) using (script_id, seg_idx) where trim(word) <> ''),
-    v as (select *, coalesce(lag(w1) over (partition by script_id, seg_idx order by word_idx), 0) as p, lead(word_idx) over (partition by script_id, seg_idx order by word_idx) is null as l from w where w1 > w0)
-    select script_id, seg_idx, 'plain' as kind, round(p, 3) as "from", round(w0, 3) as "to", null as token from v where w0 > p union all select script_id, seg_idx, 'highlight', round(w0, 3), round(w1, 3), word from v union all select script_id, seg_idx, 'plain', round(w1, 3), round(c1, 3), null from v where l and c1 > w1""")
+@query("highlight_spans", r"""with c as (select script_id, seg_idx, cast(0 as double) as c0, round(max("end"), 3) - 0.1 as c1, regexp_split_to_array(lower(string_agg(word, ' ' order by word_idx) filter (word_idx % 3 <> 1)), '\s+') as t from {words} group by 1, 2 union all select distinct script_id, 1000, cast(1 as double), cast(2 as double), ['alone'] from {words}),
+    w as (select w.script_id, w.seg_idx, word_idx, trim(lower(word)) as word, start, greatest(round(start, 3), c0) as w0, least(round("end", 3), c1) as w1, c1, t from {words} w join c on c.script_id = w.script_id and c.seg_idx = w.seg_idx),
+    v as (select *, lag(w1) over (partition by script_id, seg_idx order by start, word_idx) as p, lead(word_idx) over (partition by script_id, seg_idx order by start, word_idx) is null as l from w where w1 > w0)
+    select script_id, seg_idx, 'plain' as kind, round(coalesce(p, 0), 3) as "from", round(w0, 3) as "to", null as token from v where w0 > coalesce(p, 0) union all select script_id, seg_idx, 'highlight', round(w0, 3), round(w1, 3), word from v where word <> '' and list_contains(t, lower(word))
+    union all select script_id, seg_idx, 'plain', round(w1, 3), round(c1, 3), null from v where l and c1 > w1 union all select c.script_id, c.seg_idx, 'plain', round(c0, 3), round(c1, 3), null from c where c1 > c0 and not exists (select 1 from v where v.script_id = c.script_id and v.seg_idx = c.seg_idx)""")
 def _(get):
+    """Captions whose text lacks each third word, words in small letters, and one caption of each script without words."""
     w = get("words")
-    captions = w.groupBy("script_id", "seg_idx").agg(F.lit(0.0).alias("start"), (F.round(F.max("end"), 3) - 0.1).alias("end"), F.array_join(F.collect_list("word"), " ").alias("text"))
-    return timeline.highlight_spans(captions, w, "script_id", "seg_idx")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word_idx") % 3 != 1, F.struct("word_idx", "word")))), lambda x: x["word"]), " ")
+    captions = w.groupBy("script_id", "seg_idx").agg(F.lit(0.0).alias("start"), (F.round(F.max("end"), 3) - 0.1).alias("end"), text.alias("text"))
+    alone = w.select("script_id").distinct().withColumns({"seg_idx": F.lit(1000), "start": F.lit(1.0), "end": F.lit(2.0), "text": F.lit("alone")})
+    return timeline.highlight_spans(captions.unionByName(alone), w.withColumn("word", F.lower("word")), "script_id", "seg_idx")
 
 
 @query("sticker_spacing", """with recursive w as materialized (select concat(script_id, '-', seg_idx) as script, start as t, row_number() over (partition by script_id, seg_idx order by start) as i from {words}),

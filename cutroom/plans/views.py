@@ -52,7 +52,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         case o.o_orderkey % 19 when 3 then false when 4 then null else true end as enable_hook_card, o.o_orderkey % 16 <> 4 as enable_cta, case o.o_orderkey % 18 when 6 then '/pins/a.jpg' when 12 then ' ' end as hook_image_path,
         cast(case o.o_orderkey % 5 when 1 then 60 when 2 then 0 when 3 then null else 150 end as int) as max_words, cast(case o.o_orderkey % 7 when 1 then 30 when 2 then 0 when 3 then null else 70 end as double) as max_seconds,
         case o.o_orderkey % 3 when 0 then 'semantic' when 1 then 'sequential' else 'random' end as order_mode, o.o_totalprice / 5000 as audio_s
-        from {orders} o join {customer} c on c.c_custkey = o.o_custkey join {documents} d on d.doc_id = o.o_orderkey""",
+        from {orders} o join {customer} c on c.c_custkey = o.o_custkey join {documents} d on d.doc_id = o.o_orderkey % (select count(*) from {documents})""",
 }
 
 

@@ -358,11 +358,7 @@ def test_reports_replace_their_own_partition(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "srt")).count() >= 3
 
 
-def test_sidecars_and_manifests(spark, tmp_path):
-    (tmp_path / "m").mkdir()
-    (tmp_path / "m" / "a_metadata.json").write_text(json.dumps({"video_path": "/x/a.mp4", "search_term": "goal", "file_size": 5}))
-    media = spark.createDataFrame([("/x/a.mp4",), ("/x/b.name.mp4",)], "path string")
-    assert rows(readers.read_media_sidecars(spark, media, str(tmp_path / "m" / "*.json")), "path", "search_term") == [("/x/a.mp4", "goal"), ("/x/b.name.mp4", "b.name")]
+def test_manifests(spark, tmp_path):
     (tmp_path / "t1").mkdir()
     (tmp_path / "t1" / "script.json").write_text(json.dumps({"script": "s", "search_terms": "a, b", "params": {"k": 1}}))
     got = readers.read_task_manifests(spark, str(tmp_path / "t1" / "script.json")).collect()[0]
