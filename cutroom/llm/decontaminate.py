@@ -3,7 +3,9 @@
 Every passage of every training text is a query (its different words); items whose score reaches a share of their own
 score (the item as its own query) are retrieved and then verified: enough word 3-grams of the item's question part and
 of its answer part must stand in the passage. Impacts are divided by the item's own score, so one threshold holds for
-all items. Passages are two segments long and overlap by one, so an item no longer than a segment lies whole in one.
+all items. Passages are two segments long and overlap by one, so an item no longer than a segment lies whole in one. A
+segment is as long as the item's own class of length, 64 words or twice, four times, ... as many, each class with an
+index of its own: how long other items are says nothing about an item.
 
 Most passages are dismissed many at a time by a bound on the items: an item's common terms, whose impacts sum to less than a
 part of the threshold, count as present, only the others are looked up and summed. Where no item's bound reaches the
@@ -26,6 +28,8 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: Items per index that is broadcast; a larger benchmark is searched in several such blocks, with the statistics of all items.
 ITEMS_PER_INDEX = 20_000
+#: Words of a segment of the shortest items.
+LEAST_SEGMENT = 64
 POSTINGS_PER_BLOCK = 16
 GRAM = 3
 
@@ -96,7 +100,6 @@ class Statistics:
 
     items: int
     mean: float  # words of an item
-    longest: int
     holders: dict[int, int]  # items that hold a word, for the words of one index at least
 
 
@@ -105,11 +108,25 @@ def statistics_of(items: list[tuple]) -> Statistics:
     words = [w for _, t in items if t for w in [_hashed(t)] if len(w)]
     terms, counts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True) if words else ((), ())
     lengths = [len(w) for w in words]
-    return Statistics(len(words), float(np.mean(lengths)) if lengths else 0.0, max(lengths, default=0), {int(t): int(n) for t, n in zip(terms, counts, strict=True)})
+    return Statistics(len(words), float(np.mean(lengths)) if lengths else 0.0, {int(t): int(n) for t, n in zip(terms, counts, strict=True)})
 
 
-def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: float = 0.75, least_segment: int = 64, statistics: Statistics | None = None) -> Index:
-    """Index of (id, text) rows; items without a word are left out. ``least`` is the threshold it will be searched with."""
+def segment_of(words: int, least_segment: int = LEAST_SEGMENT) -> int:
+    """Words of a segment of an item's class of length: the least segment doubled until the item fits."""
+    return least_segment << max(0, -(-words // least_segment) - 1).bit_length()
+
+
+def build_indexes(items: list[tuple], least: float = 0.5, statistics: Statistics | None = None) -> list[Index]:
+    """Indexes of (id, text) rows, one for each class of length."""
+    of, classes = statistics or statistics_of(items), {}
+    for i, t in items:
+        if t:
+            classes.setdefault(segment_of(len(_hashed(t))), []).append((i, t))
+    return [build_index(classes[segment], least, segment=segment, statistics=of) for segment in sorted(classes)]
+
+
+def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: float = 0.75, segment: int = LEAST_SEGMENT, statistics: Statistics | None = None) -> Index:
+    """Index of (id, text) rows of one class of length; items without a word are left out. ``least`` is the threshold it will be searched with."""
     of = statistics or statistics_of(items)
     kept = [(i, t, w) for i, t in items if t for w in [_hashed(t)] if len(w)]
     ids = [i for i, _, _ in kept]
@@ -144,7 +161,7 @@ def build_index(items: list[tuple], least: float = 0.5, k1: float = 1.2, b: floa
     rare = ~is_common
     rare_from = np.searchsorted(term[rare], np.arange(len(postings) + 1))
     parts = [tuple(_grams(_hashed(x)) for x in question_and_answer(t)) for _, t, _ in kept]
-    return Index(ids, vocabulary, postings, rare_from, item[rare], impact[rare], common, parts, max(least_segment, of.longest))
+    return Index(ids, vocabulary, postings, rare_from, item[rare], impact[rare], common, parts, segment)
 
 
 def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -194,11 +211,11 @@ def _overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(part, passage).mean()) if len(part) else 1.0
 
 
-def search(index: Index, data: np.ndarray, offs: np.ndarray, least: float, verify: float):
-    """(row, item, score, question overlap, answer overlap) of every verified passage; a pair may come twice."""
+def search(index: Index, data: np.ndarray, offs: np.ndarray, least: float, verify: float, hashed: tuple[np.ndarray, np.ndarray] | None = None):
+    """(row, item, score, question overlap, answer overlap) of every verified passage; a pair may come twice. ``hashed``: ``words_of`` the texts."""
     if not len(index.vocabulary):
         return
-    words, row = words_of(data, offs)
+    words, row = hashed or words_of(data, offs)
     if not len(words):
         return
     first = np.searchsorted(row, np.arange(len(offs) - 1))
@@ -241,15 +258,10 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least: float, verif
                 yield r, item, score, q, a
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = 0.5, verify: float = 0.5) -> DataFrame:
-    """(key, item, score, question_overlap, answer_overlap): the best passage of each document and leaked item.
-
-    Null and empty texts and items without a word leak nothing; a text shorter than a passage is one passage; texts are
-    searched whole, in passages of the longest item's length at least. Scores don't depend on how many indexes the items
-    are dealt over. Ties give one row. Repeated documents give one row per key and item. Empty tables give no rows.
-    """
-    names = [key, "__item", "score", "question_overlap", "answer_overlap"]
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("__item", benchmark.schema[item].dataType), *(T.StructField(x, T.DoubleType()) for x in names[2:])])
+def leaking_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = 0.5, verify: float = 0.5) -> DataFrame:
+    """(key, text_hash, item, score, question_overlap, answer_overlap) of every verified passage; key and text_hash (xxhash64) name a row."""
+    names = [key, "text_hash", "__item", "score", "question_overlap", "answer_overlap"]
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("__item", benchmark.schema[item].dataType), *(T.StructField(x, T.DoubleType()) for x in names[3:])])
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     parts = max(1, -(-items.count() // ITEMS_PER_INDEX))
     items = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
@@ -261,29 +273,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), terms], names=["part", "n", "terms"])
 
     counted = settle(items.select("part", "t").mapInArrow(terms_of, "part int, n long, terms array<long>").where("n > 0"))
-    n_items, mean, longest = counted.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n_items, mean = counted.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     term_parts = counted.select("part", F.explode("terms").alias("term"))
     holders = term_parts.groupBy("term").agg(F.count("*").alias("holders"))
     per_part = settle(term_parts.distinct().join(holders, "term"))
     found = None
     for n in range(parts):  # at most ITEMS_PER_INDEX items or so at a time on the driver, with the counts of their words
-        of = Statistics(n_items, mean, longest, {int(np.int64(r["term"]).view(np.uint64)): r["holders"] for r in per_part.where(F.col("part") == n).collect()})
-        index = build_index([(r["i"], r["t"]) for r in items.where(F.col("part") == n).collect()], least, statistics=of)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        of = Statistics(n_items, mean, {int(np.int64(r["term"]).view(np.uint64)): r["holders"] for r in per_part.where(F.col("part") == n).collect()})
+        indexes = build_indexes([(r["i"], r["t"]) for r in items.where(F.col("part") == n).collect()], least, statistics=of)
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def scan(batches, shared=shared):
-            ids = pa.array(shared.value.ids)
             for batch in batches:
-                data, offs = utf8(batch.column(1))
+                data, offs = utf8(batch.column(2))
                 for a, z in blocks(offs):
-                    rows = list(search(shared.value, data[offs[a] : offs[z]], offs[a : z + 1] - offs[a], least, verify))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + r[0] for r in rows])), ids.take(pa.array([r[1] for r in rows])), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], names=names)
-
-        part = small_batches(docs).select(key, text).mapInArrow(scan, schema)
+                    part, at = data[offs[a] : offs[z]], offs[a : z + 1] - offs[a]
+                    hashed = words_of(part, at)
+                    for index in shared.value:
+                        rows = list(search(index, part, at, least, verify, hashed))
+                        if rows:
+                            own = pa.array([a + r[0] for r in rows])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([index.ids[r[1]] for r in rows]), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], names=names)
+
+        part = small_batches(docs).select(key, F.xxhash64(F.col(text)).alias("text_hash"), text).mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy(key, "__item").orderBy(F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap"))
-    return found.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(key, F.col("__item").alias(item), *(F.round(x, 6).alias(x) for x in names[2:]))
+    return found.withColumnRenamed("__item", item)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = 0.5, verify: float = 0.5) -> DataFrame:
+    """(key, item, score, question_overlap, answer_overlap): the best passage of each key and leaked item.
+
+    Null and empty texts and items without a word leak nothing; a text shorter than a passage is one passage; texts are
+    searched whole, in passages of the item's own class of length. Scores don't depend on how many indexes the items
+    are dealt over. Ties give one row. Rows that repeat a key, or have none, give one row for the key (null counts as one) and item;
+    ``leaking_rows`` tells them apart. Items that repeat an id are one item of it. Other columns are not read. Empty tables give no rows.
+    """
+    found = leaking_passages(docs, benchmark, key, text, item, item_text, least, verify)
+    best = Window.partitionBy(key, item).orderBy(F.desc("score"), F.desc("question_overlap"), F.desc("answer_overlap"))
+    return found.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(key, item, *(F.round(x, 6).alias(x) for x in ("score", "question_overlap", "answer_overlap")))
+
+
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """(key, text_hash) of the rows that hold an item, once each: of rows that share a key, or have none, only those whose own text leaks."""
+    return leaking_passages(docs, benchmark, key, text, **more).select(key, "text_hash").distinct()
 
 
 def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
