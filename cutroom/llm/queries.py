@@ -79,16 +79,16 @@ _PHRASES = r"""with t as (select coalesce(lang, 'und') as lang, unnest(regexp_sp
     d as (select s.lang, array_to_string(s.p, ' ') as phrase, a, l, r, n, score from s left join b on b.lang = s.lang and b.p = s.p where coalesce(longer, 0) < a qualify row_number() over (partition by s.lang, s.p order by score, k) = 1)
     select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from d qualify rank <= 2000"""
 
-#: Strings of 400 (and 250) bytes as pieces of hexadecimal text; starts of those that come twice, runs that they cover, what is left.
+#: Strings of 400 bytes as pieces of hexadecimal text; starts of those that come twice, runs that they cover, what is left.
 _REPEATS = """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-    w as materialized (select doc_id, i, md5(h[2 * i + 1:2 * (i + size)]) as m, size from (select doc_id, h, size, unnest(range(0, len(h) // 2 - size + 1)) as i from d, (values (400), (250)) as z(size))),
-    a as (select doc_id, i, w.size from w join (select m, size from w group by m, size having count(*) > 1) as c on c.m = w.m and c.size = w.size),
-    b as (select *, sum(fresh) over (partition by doc_id, size order by i) as run from (select *, case when i - lag(i) over (partition by doc_id, size order by i) <= size then 0 else 1 end as fresh from a)),
-    r as materialized (select doc_id, size, run, min(i) as lo, max(i) + size as hi from b group by doc_id, size, run),
-    t as (select doc_id, cast(sum(hi - lo) filter (size = 400) as bigint) as n_removed, count(*) filter (size = 400) as n_spans, cast(sum(hi - lo) filter (size = 250) as bigint) as n_passage from r group by doc_id),
-    g as (select doc_id, lag(hi, 1, 0) over (partition by doc_id order by lo) as f, lo as z from r where size = 400 union all select d.doc_id, coalesce(max(hi), 0), max(len(h)) // 2 from d left join r on r.doc_id = d.doc_id and r.size = 400 group by d.doc_id),
+    w as materialized (select doc_id, i, md5(h[2 * i + 1:2 * (i + 400)]) as m from (select doc_id, h, unnest(range(0, len(h) // 2 - 399)) as i from d)),
+    a as (select doc_id, i from w join (select m from w group by m having count(*) > 1) as c on c.m = w.m),
+    b as (select *, sum(fresh) over (partition by doc_id order by i) as run from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 400 then 0 else 1 end as fresh from a)),
+    r as materialized (select doc_id, run, min(i) as lo, max(i) + 400 as hi from b group by doc_id, run),
+    t as (select doc_id, cast(sum(hi - lo) as bigint) as n_removed, count(*) as n_spans from r group by doc_id),
+    g as (select doc_id, lag(hi, 1, 0) over (partition by doc_id order by lo) as f, lo as z from r union all select d.doc_id, coalesce(max(hi), 0), max(len(h)) // 2 from d left join r on r.doc_id = d.doc_id group by d.doc_id),
     x as (select g.doc_id, string_agg(h[2 * f + 1:2 * z], '' order by f) as h from g join d on d.doc_id = g.doc_id group by g.doc_id)
-    select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x.h)) as kept_sha256, coalesce(n_passage, 0) as n_passage from d join x on x.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
+    select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x.h)) as kept_sha256 from d join x on x.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
 
 #: The others need a trained model, a tokenizer, an index or a parser; tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {"op4_repeats": _REPEATS, "op5_shard": _SHARDS, "op8_chat": _CHAT, "op9_jaccard": _LINKS, "op11_codes": _CODES, "op12_near_duplicates": _NEAR, "op13_collocations": _PHRASES}
