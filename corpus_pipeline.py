@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutroom.llm import decontaminate, jaccard, langid, packing, suffixes
@@ -21,8 +21,16 @@ PASSAGE_BYTES = suffixes.PASSAGE
 NO_ID = -(1 << 63)
 
 
+def _name(doc_id: str) -> Column:
+    """A plain key of a row's id, so that a join by it shuffles the texts once; a null id is the smallest number, which a text's hash beside it tells from that."""
+    return F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("__id")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose most likely language is likelier than not; a null text has none and goes."""
+    """Documents with letters whose most likely language is likelier than not; a null, empty or letterless text has none and goes.
+
+    Rows are judged by their texts alone: those that share an id, have none or repeat each other stay as often as they come.
+    """
     found = langid.identify(docs, langid.fit(docs.where(~langid.held_out())), lang_out="lang_pred", score_out="lang_score")
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
@@ -32,9 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = F.col("component").isNull()
     rows = jaccard.link_rows(docs).groupBy("component", F.when(alone, F.col("doc_id")).alias("__i"), F.when(alone, F.col("text_hash")).alias("__h"))
     stay = rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("l"))
-    name = lambda c: F.coalesce(F.col(c), F.lit(NO_ID)).alias("__id")  # noqa: E731  # plain keys, so that the texts are shuffled once
-    stay = stay.select(name("l.doc_id"), F.col("l.text_hash").alias("__text"))
-    kept = docs.select("*", name("doc_id"), F.xxhash64("text").alias("__text")).join(stay, ["__id", "__text"], "left_semi")
+    stay = stay.select(_name("l.doc_id"), F.col("l.text_hash").alias("__text"))
+    kept = docs.select("*", _name("doc_id"), F.xxhash64("text").alias("__text")).join(stay, ["__id", "__text"], "left_semi")
     first = Window.partitionBy("__id", "__text").orderBy(F.xxhash64(*COLUMNS))
     return kept.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*COLUMNS)
 
@@ -48,12 +55,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    """Rows whose own text holds no benchmark item. Rows that share an id, or have none, are judged one by one; a null text stays.
+
+    Equal rows share their fate and stay as often as they come. Without items all rows stay.
+    """
+    leaks = decontaminate.leaking_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(_name("doc_id"), F.col("text_hash").alias("__text"))
+    return docs.select("*", _name("doc_id"), F.xxhash64("text").alias("__text")).join(leaks, ["__id", "__text"], "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null text is empty and has one token. Rows that repeat an id are documents of their own."""
     return packing.pack_documents(docs)
 
 
