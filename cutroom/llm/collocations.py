@@ -161,7 +161,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
                     texts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(_gather(tight, begin[at], long))]).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(a + row[at])), pa.array(np.full(len(at), k, np.int32)), texts, pa.array(size, pa.int64())], names=["lang", "k", "phrase", "f"])
                 rows, size = np.unique(row, return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(a + rows)), pa.array(np.zeros(len(rows), np.int32)), pa.array([""] * len(rows)), pa.array(size, pa.int64())], names=["lang", "k", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(a + rows)), pa.array(np.zeros(len(rows), np.int32)), pa.array([""] * len(rows), pa.string()), pa.array(size, pa.int64())], names=["lang", "k", "phrase", "f"])
 
     counts = rows.mapInArrow(written, "lang string, k int, phrase string, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return settle(counts.where((F.col("f") >= least) | (F.col("k") == 0)))
