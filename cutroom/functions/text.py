@@ -383,17 +383,23 @@ def lexicon_tag_words(words: DataFrame, lexicon: DataFrame, shock_words: list[st
 def fragment_to_sentence(fragments: DataFrame, sentences: DataFrame, by: str) -> DataFrame:
     """J-2. Each fragment's middle word lies in the first sentence that ends there or later, else in the last one.
 
-    Both sides carry running word counts per script; a fragment meets only its own script's sentences.
+    Both sides carry running word counts per script and are one ordered stream, as in J-3: two windows, no join. A script
+    without sentences has no rows.
     """
     count = lambda c: F.size(F.filter(F.split(F.trim(F.col(c)), r"\s+"), lambda w: w != ""))
     upto = lambda order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = fragments.withColumn("__n", count("fragment")).withColumn("__mid", F.sum("__n").over(upto("frag_idx")) - F.col("__n") / 2)
-    s = sentences.withColumn("__end", F.sum(count("sentence")).over(upto("sent_idx")))
-    s = s.withColumn("__from", F.coalesce(F.lag("__end").over(Window.partitionBy(by).orderBy("sent_idx")), F.lit(-1)))
-    s = s.withColumn("__last", F.lead("sent_idx").over(Window.partitionBy(by).orderBy("sent_idx")).isNull())
-    hit = f.join(s, (f[by] == s[by]) & (f["__mid"] > s["__from"]) & ((f["__mid"] <= s["__end"]) | s["__last"])).drop(s[by])
-    evidence = F.coalesce(F.nullif(F.trim("prompt"), F.lit("")), F.col("sentence"))
-    return hit.select(by, "frag_idx", "fragment", "sent_idx", evidence.alias("evidence"))
+    f = fragments.withColumn("__n", count("fragment")).withColumn("__at", (F.sum("__n").over(upto("frag_idx")) - F.col("__n") / 2).cast("double"))
+    s = sentences.withColumn("__at", F.sum(count("sentence")).over(upto("sent_idx")).cast("double"))
+    # one ordered stream of fragments, at their middles, and sentences, at their ends
+    said = F.struct("sent_idx", "sentence", "prompt")
+    f = f.select(by, "__at", F.lit(0).alias("__kind"), F.col("frag_idx").alias("__order"), F.struct("frag_idx", "fragment").alias("__f"), F.lit(None).cast(s.select(said.alias("x")).schema["x"].dataType).alias("__s"))
+    s = s.select(by, "__at", F.lit(1).alias("__kind"), F.col("sent_idx").alias("__order"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f"), said.alias("__s"))
+    w = Window.partitionBy(by).orderBy("__at", "__kind", "__order")
+    here = F.first("__s", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    last = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = f.unionByName(s).withColumn("__s", F.coalesce(here, last)).where("__kind = 0 and __s is not null")
+    evidence = F.coalesce(F.nullif(F.trim("__s.prompt"), F.lit("")), F.col("__s.sentence"))
+    return hit.select(by, "__f.frag_idx", "__f.fragment", "__s.sent_idx", evidence.alias("evidence"))
 
 
 def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame:
@@ -410,10 +416,13 @@ def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame
     l = l.withColumn("__nth", nth("__end", "line_idx"))  # noqa: E741  # a line without words ends where the one before it does
     marks = u.select(by, F.col("__len").alias("__end"), nth("__len", "unit_idx").alias("__nth"), F.col("unit_idx").alias("last_unit"), "end")
     met = l.join(marks, [by, "__end", "__nth"])
-    w = Window.partitionBy(by).orderBy("line_idx")
-    met = met.withColumn("first_unit", F.coalesce(F.lag("last_unit").over(w) + 1, F.lit(0)))
-    inside = u.select(by, "unit_idx", F.col("__b").alias("__ub"), "unit", F.col("start").alias("us"), (F.col("__len") - F.char_length("__b")).alias("__at"))
-    parts = met.join(inside, by).where("unit_idx between first_unit and last_unit")
+    # units and ends of lines as one ordered stream: a unit belongs to the first line that ends with it or later
+    line = F.struct("line_idx", "line", "__b", "end")
+    ends = met.select(by, F.col("last_unit").alias("__at"), F.lit(1).alias("__kind"), line.alias("__l"), *(F.lit(None).cast(u.schema[c].dataType).alias(c) for c in ("unit", "start")), F.lit(None).cast("string").alias("__ub"))
+    inside = u.select(by, F.col("unit_idx").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(ends.schema["__l"].dataType).alias("__l"), "unit", "start", F.col("__b").alias("__ub"))
+    ahead = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    parts = inside.unionByName(ends).withColumn("__l", F.first("__l", ignorenulls=True).over(ahead)).where("__kind = 0 and __l is not null")
+    parts = parts.select(by, "__l.*", F.col("__at").alias("unit_idx"), "unit", "__ub", F.col("start").alias("us"))
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", c))), lambda x: x[c]), "")
     got = parts.groupBy(by, "line_idx", "line", "__b", "end").agg(text("__ub").alias("__said"), text("unit").alias("said"), F.min("us").alias("start")).where("__said = __b")
     plain = lambda c: F.regexp_replace(F.col(c), r"\p{Punct}", "")
