@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,100 @@ def segment_media_similarity(segments: DataFrame, media: DataFrame, by: str, vec
     return left.join(right, by).select(by, "seg_idx", "media_idx", F.round(dot("__a", "__b"), 6).alias("sim"))
 
 
+#: Media and segments of one pool that a task multiplies at once, about.
+MEDIA_AT_ONCE, SEGMENTS_AT_ONCE = 4096, 1024
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.compute.list_flatten(column.combine_chunks())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _kept_of_blocks(segments: DataFrame, media: DataFrame, by: str, vec: str, block: Column, keep: Callable, carried: tuple[str, ...]) -> DataFrame:
+    """(by, seg_idx, media_idx, sim): what ``keep`` leaves of each block of a pool's matrix of cosines.
+
+    A pool's media are dealt over blocks, its segments over parts, by their number; each part meets each block in a task as two Arrow
+    tables, whose vectors are multiplied at once. ``keep(sims, segments, media)`` marks the pairs of a block that may count.
+    ``media`` has __blocks, the number of its pool's blocks, for ``block``.
+    """
+    dealt = media.withColumn("__block", block.cast("long")).select(by, "__block", "media_idx", F.col(vec).alias("__b"), *carried)
+    sizes = segments.groupBy(by).agg(F.ceil(F.count("*") / SEGMENTS_AT_ONCE).alias("__parts"))
+    pools = media.groupBy(by).agg(F.max("__blocks").alias("__blocks"))
+    rows = segments.join(sizes, by).join(pools, by).withColumn("__part", F.pmod(F.xxhash64("seg_idx"), F.col("__parts")))
+    own = [c for c in segments.columns if c.startswith("__")]
+    left = rows.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"), "__part", "seg_idx", F.col(vec).alias("__a"), *own)
+    right = dealt.join(sizes, by).select(*dealt.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
+    kind = T.StructType([media.schema[by], segments.schema["seg_idx"], media.schema["media_idx"], T.StructField("sim", T.DoubleType())])
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], f.type) for n, f in zip(kind.names, (b.schema.field(by), a.schema.field("seg_idx"), b.schema.field("media_idx"), pa.field("sim", pa.float64())), strict=True)})
+        b = b.sort_by("media_idx")
+        sims = np.round(_vectors(a.column("__a")) @ _vectors(b.column("__b")).T, 6) + 0.0
+        i, j = np.nonzero(keep(sims, a, b))
+        return pa.table([b.column(by).take(j), a.column("seg_idx").take(i), b.column("media_idx").take(j), pa.array(sims[i, j])], names=kind.names)
+
+    keys = [by, "__block", "__part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, kind)
+
+
+def _first_of_rows(values: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k greatest of each row, of equal ones those further left."""
+    if values.shape[1] <= k:
+        return np.ones(values.shape, bool)
+    order = np.argsort(-values, axis=1, kind="stable")[:, :k]
+    out = np.zeros(values.shape, bool)
+    np.put_along_axis(out, order, True, axis=1)
+    return out
+
+
+def _blocks_of(media: DataFrame, by: str) -> DataFrame:
+    return media.join(media.groupBy(by).agg(F.ceil(F.count("*") / MEDIA_AT_ONCE).alias("__blocks")), by)
+
+
+def top_media(segments: DataFrame, media: DataFrame, by: str, k: int = 1, vec: str = "embedding") -> DataFrame:
+    """T-3 for large pools: (by, seg_idx, media_idx, sim) of the k best items of each segment, the lower index of equal scores.
+
+    Each block of a pool gives its k best, so no row is made for each pair; ``segment_media_similarity`` has the same scores.
+    """
+    rows = _kept_of_blocks(segments, _blocks_of(media, by), by, vec, F.pmod(F.xxhash64("media_idx"), F.col("__blocks")), lambda sims, a, b: _first_of_rows(sims, k), ())
+    best = Window.partitionBy(by, "seg_idx").orderBy(F.desc("sim"), "media_idx")
+    return rows.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k).drop("__rn")
+
+
+def assignment_similarity(segments: DataFrame, media: DataFrame, by: str, video_bonus: float = 0.0, vec: str = "embedding") -> DataFrame:
+    """J-4 for G-1: of each segment and kind the items that ``assign_media_to_segments`` can reach, without a row for each pair.
+
+    That is what ``prune_for_assignment`` keeps: the best n sources and in each the best n cuts, n segments. A source lies in
+    one block whole, which leaves out its worse sources; one with more items than a block holds is dealt over several,
+    where only its worse cuts go.
+    """
+    sources = media.groupBy(by, "source").agg(F.count("*").alias("__of"))
+    rows = _blocks_of(media, by).join(sources, [by, "source"]).withColumn("__wide", F.col("__of") > MEDIA_AT_ONCE)
+    block = F.pmod(F.when(F.col("__wide"), F.xxhash64("source", "media_idx")).otherwise(F.xxhash64("source")), F.col("__blocks"))
+    n = segments.groupBy(by).agg((F.max("seg_idx") + 1).alias("__n"))
+
+    def keep(sims: np.ndarray, a: pa.Table, b: pa.Table) -> np.ndarray:
+        most = a.column("__n")[0].as_py()
+        source, kind = b.column("source").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), b.column("is_video").to_numpy(zero_copy_only=False).astype(bool)
+        wide = b.column("__wide").to_numpy(zero_copy_only=False).astype(bool)
+        out = np.zeros(sims.shape, bool)
+        for video in (False, True):
+            tops, groups = [], []
+            for x in np.unique(source[kind == video]).tolist():
+                at = np.flatnonzero((source == x) & (kind == video))
+                out[:, at] = _first_of_rows(sims[:, at], most)
+                groups.append(at)
+                tops.append(np.where(wide[at[0]], np.inf, sims[:, at].max(axis=1)))
+            if len(groups) > most:  # a source among the best n of all is among the best n here
+                level = np.sort(np.stack(tops, axis=1), axis=1)[:, -most]
+                for at, top in zip(groups, tops, strict=True):
+                    out[:, at] &= (top >= level)[:, None]
+        return out
+
+    return _kept_of_blocks(segments.join(n, by), rows, by, vec, block, keep, ("source", "is_video", "__wide"))
+
+
 def best_media(sims: DataFrame, by: str) -> DataFrame:
     """T-3. The best item of each segment; the lower index of equal scores."""
     best = sims.groupBy(by, "seg_idx").agg(F.max(F.struct("sim", (-F.col("media_idx")).alias("m"))).alias("b"))
@@ -91,11 +187,12 @@ def modality_blend(text_sims: DataFrame, image_sims: DataFrame, by: str, w_text:
     return rows.select(by, "seg_idx", "media_idx", F.round(F.when(F.col("__img").isNull(), F.col("sim")).otherwise(w_text * F.col("sim") + w_image * (F.col("__img") + 1) / 2), 9).alias("blend"))
 
 
-def representative_images(n: int, most: int) -> list[int]:
-    """The first of n images, then evenly spaced ones, at most so many."""
-    if n <= most:
-        return list(range(n))
-    return sorted({int(i * n / most) for i in range(most)})
+def representative_images(images: DataFrame, keys: list[str], order: str, most: int = 1) -> DataFrame:
+    """T-9. The first image of each item and evenly spaced ones behind it, at most so many."""
+    w = Window.partitionBy(*keys)
+    rows = images.withColumns({"__n": F.count("*").over(w), "__at": F.row_number().over(w.orderBy(order)) - 1})
+    taken = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * F.col("__n") / most).cast("int"))
+    return rows.where((F.col("__n") <= most) | F.array_contains(taken, F.col("__at"))).drop("__n", "__at")
 
 
 def prune_for_assignment(sims: DataFrame, media: DataFrame, by: str, video_bonus: float = 0.0) -> DataFrame:
