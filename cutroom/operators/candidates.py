@@ -195,12 +195,32 @@ def pin_restore(pool: DataFrame, pins: DataFrame, keys: list[str]) -> DataFrame:
     return pool_union(pins.join(pool.select(*keys), keys, "left_anti"), pool)
 
 
-def subclip_windows(clips: DataFrame, max_clip: float, mode: str = "random") -> DataFrame:
-    """E-1. Windows of max_clip seconds of each clip: full ones and always the first; sequential keeps the first only."""
+def seeded_order(df: DataFrame, by: list[str], keys: list[str], seed: int, out: str = "ord") -> DataFrame:
+    """A random order of each group's rows, numbered from 0, by a hash of the seed and the keys.
+
+    It depends on the seed and the rows alone: the same at any number of partitions and in any run, another one for another
+    seed. Rows with equal keys come in the order of their hash of all columns.
+    """
+    draw = F.xxhash64(F.lit(seed), *keys)
+    w = Window.partitionBy(*by).orderBy(draw, *keys, F.xxhash64(*df.columns))
+    return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
+
+
+def shuffled(df: DataFrame, by: list[str], keys: list[str], seed: int, order: str) -> DataFrame:
+    """``df`` with its order column replaced by a seeded one, so that caps, quotas and budgets behind it (W-2, W-3, W-4) take a random choice."""
+    return seeded_order(df.drop(order), by, keys, seed, order)
+
+
+def subclip_windows(clips: DataFrame, max_clip: float, mode: str = "random", by: list[str] = (), keys: list[str] = (), seed: int | None = None) -> DataFrame:
+    """E-1. Windows of max_clip seconds of each clip: full ones and always the first; sequential keeps the first only.
+
+    With a ``seed``, random windows have an order (ord) of their own in each group ``by``, by the clips' ``keys`` and the window.
+    """
     starts = F.when(F.col("duration") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("duration") / max_clip).cast("int") - 1))) if mode != "sequential" else F.array(F.lit(0))
     rows = clips.select("*", F.explode(starts).alias("window"))
     rows = rows.withColumns({"start": F.col("window") * F.lit(float(max_clip)), "end": F.least(F.col("duration"), (F.col("window") + 1) * F.lit(float(max_clip)))})
-    return rows.where((F.col("window") == 0) | (F.col("end") - F.col("start") >= max_clip))
+    rows = rows.where((F.col("window") == 0) | (F.col("end") - F.col("start") >= max_clip))
+    return rows if seed is None or mode == "sequential" else seeded_order(rows, list(by), [*keys, "window"], seed)
 
 
 def even_cut_offsets(sources: DataFrame, clip_len: float, n: int, head_skip: float = 6, tail_skip: float = 4) -> DataFrame:

@@ -55,6 +55,27 @@ def channel_summary(content: DataFrame, by: str = "channel") -> DataFrame:
     )
 
 
+def summary_sketches(content: DataFrame, by: list[str], key: str = "content_id", k: int = 1024) -> DataFrame:
+    """A-1 as mergeable sketches: by, videos, views, subscribers, __views (quantiles) and __ids (distinct keys).
+
+    A sketch has a bounded size whatever it has seen, so sketches of days can be stored, and those of a month are merged
+    from them (``merged_summary``) without reading the content again.
+    """
+    views = F.col("views").cast("bigint")
+    return content.groupBy(*by).agg(F.count("*").alias("videos"), F.sum("views").alias("views"), F.sum("subscribers").alias("subscribers"), F.kll_sketch_agg_bigint(views, k).alias("__views"), F.hll_sketch_agg(key, 14).alias("__ids"))
+
+
+def merged_summary(sketches: DataFrame, by: list[str], k: int = 1024) -> DataFrame:
+    """A-1 of the groups ``by`` from sketches of finer ones: sums are exact, median_views and different_videos are estimates.
+
+    The median's rank is off by less than 0.5 % of the rows at k = 1024 (99 % of the time), the number of different videos
+    by less than 2 %.
+    """
+    rows = sketches.groupBy(*by).agg(F.sum("videos").alias("videos"), F.sum("views").alias("views"), F.sum("subscribers").alias("subscribers"), F.kll_merge_agg_bigint("__views", k).alias("__views"), F.hll_sketch_estimate(F.hll_union_agg("__ids")).alias("different_videos"))
+    rows = rows.withColumns({"median_views": F.kll_sketch_get_quantile_bigint("__views", F.lit(0.5)), "baseline_per_1k": F.round(F.col("subscribers") * 1000.0 / F.col("views"), 3)})
+    return rows.drop("__views")
+
+
 def reach_conversion_role(content: DataFrame, by: str = "channel", strong: float = 1.5) -> DataFrame:
     """P-4. Reach and conversion against the channel, and the role by which of the two rounded indices is strong.
 
