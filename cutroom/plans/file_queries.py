@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cutroom.operators import tasks
 from cutroom.sources import readers, writers
 from cutroom.sources.folders import shared_folder
+from cutroom.streaming import tasks as streams
 
 from .catalog import query
 
@@ -67,3 +69,16 @@ def _(get):
     writers.write_quality_reports(reports.withColumn("run", F.lit("first")), "pool", where)
     writers.write_quality_reports(reports.where("pool % 2 = 0").withColumn("run", F.lit("second")), "pool", where)
     return reports.sparkSession.read.schema("clips bigint, run string, pool bigint").json(where).select("pool", "run", "clips")
+
+
+@query("upserted_states", "select task_id, state, least(100, cast(floor(coalesce(progress, 0)) as int)) as progress, event_id from (select *, row_number() over (partition by task_id order by ts desc, event_id desc) as rn from {tasks}) where rn = 1")
+def _(get):
+    """All updates in four batches that aren't in order of time, one of which is repeated, through the stream's sink."""
+    updates = get("tasks").select("task_id", "ts", "event_id", "state", "progress")
+    where = shared_folder(updates.sparkSession, "states")
+    write = streams.upsert_states(where)
+    for number, part in enumerate((2, 0, 3, 1)):
+        for _ in range(1 + (number == 2)):
+            write(updates.where(F.col("event_id") % 4 == part), number)
+    table = streams.states(updates.sparkSession, where)
+    return tasks.latest_task_state(table).join(table.select("task_id", "event_id"), "task_id")

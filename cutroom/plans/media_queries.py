@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from cutroom.operators import candidates as c
 from cutroom.operators import match, timeline
 
+from cutroom.operators import cache
+from cutroom.sources.folders import shared_folder
+
 from .catalog import query
 
 _SOURCE = "concat('video', page_id % 40)"
@@ -201,7 +204,7 @@ def _(get):
 
 @query("best_media", f"select script_id, seg_idx, media_idx, sim from (select *, row_number() over (partition by script_id, seg_idx order by sim desc, media_idx) as rn from ({_SIM})) where rn = 1")
 def _(get):
-    return match.best_media(_sims(get), "script_id")
+    return match.top_media(get("segments"), get("media"), "script_id")
 
 
 @query("relevance_filter", f"""select script_id, media_idx from (select *, score >= 0.3 or is_video as g, count(*) filter (score >= 0.3 or is_video) over (partition by script_id) as n,
@@ -229,11 +232,16 @@ def _(get):
     return match.subject_presence_gate(media, labels, "script_id", 0.3, 0.2, min_keep=3).select("script_id", "media_idx", "p_pos", "p_neg")
 
 
-@query("modality_blend", f"select script_id, seg_idx, media_idx, round(case when is_video then cast(0.3 as double) * sim + cast(0.7 as double) * (sim + 1) / 2 else sim end, 9) as blend from ({_SIM})")
+@query("modality_blend", f"""with s as materialized ({_SIM}), r as (select script_id, media_idx, media_idx // 8 as item, row_number() over (partition by script_id, media_idx // 8 order by media_idx) - 1 as nth, count(*) over (partition by script_id, media_idx // 8) as n from {{media}}),
+    i as (select s.script_id, seg_idx, item, max(sim) as img from s join r on r.script_id = s.script_id and r.media_idx = s.media_idx where item % 4 > 0 and (n <= 3 or nth in (0, n // 3, 2 * n // 3)) group by all)
+    select s.script_id, s.seg_idx, cast(s.media_idx // 8 as bigint) as media_idx, round(case when img is null then sim else cast(0.3 as double) * sim + cast(0.7 as double) * (img + 1) / 2 end, 9) as blend from s left join i on i.script_id = s.script_id and i.seg_idx = s.seg_idx and i.item = s.media_idx // 8 where s.media_idx % 8 = 0""")
 def _(get):
-    s = _sims(get)
-    images = s.join(get("media").where("is_video").select("script_id", "media_idx"), ["script_id", "media_idx"])
-    return match.modality_blend(s, images, "script_id")
+    """Items of up to eight images, three of which stand for an item; each fourth item has no images."""
+    s, item = _sims(get), F.floor(F.col("media_idx") / 8)
+    images = get("media").select("script_id", "media_idx", item.alias("item")).where("item % 4 > 0")
+    images = match.representative_images(images, ["script_id", "item"], "media_idx", 3)
+    images = s.join(images, ["script_id", "media_idx"]).select("script_id", "seg_idx", F.col("item").alias("media_idx"), "sim")
+    return match.modality_blend(s.where("media_idx % 8 = 0").withColumn("media_idx", item), images, "script_id")
 
 
 @query("min_max_normalise", f"select script_id, media_idx, round((score - min(score) over (partition by script_id)) / (max(score) over (partition by script_id) - min(score) over (partition by script_id) + 1e-6), 6) as normal from ({_SCORES})")
@@ -246,9 +254,21 @@ def _(get):
     return match.embed_distinct(get("candidates").select("page_id", "term"), "term", "term", lambda t: F.md5(t.cast("binary"))).select("page_id", "embedding")
 
 
+@query("cached_results", "select page_id, md5(concat(page_id % 40, ':', term)) as embedding, case when page_id % 40 < 30 then 'known' else 'new' end as made from {candidates}")
+def _(get):
+    """A first run over some files, then one over all: what the first one made is not made again."""
+    rows = get("candidates").select("page_id", F.concat(F.col("page_id") % 40, F.lit(":"), "term").alias("key"), (F.col("page_id") % 40).alias("file"), F.lit(7).alias("size"))
+    where = shared_folder(rows.sparkSession, "cache")
+    made = lambda run: lambda c: F.concat_ws("|", F.md5(c.cast("binary")), F.lit(run))
+    cache.cached(rows.where("file < 30"), ["key", "size"], "key", made("known"), where)
+    out = cache.cached(rows, ["key", "size"], "key", made("new"), where)
+    return out.select("page_id", F.split_part("result", F.lit("|"), F.lit(1)).alias("embedding"), F.split_part("result", F.lit("|"), F.lit(2)).alias("made"))
+
+
 @query("assign_media_to_segments")
 def _(get):
-    return match.assign_media_to_segments(_sims(get), get("media"), "script_id", max_media_reuse=1, max_source_reuse=2, video_bonus=0.05, min_video_fraction=0.4)
+    sims = match.assignment_similarity(get("segments"), get("media"), "script_id", 0.05)
+    return match.assign_media_to_segments(sims, get("media"), "script_id", max_media_reuse=1, max_source_reuse=2, video_bonus=0.05, min_video_fraction=0.4)
 
 
 @query("rank_media_for_script")
