@@ -433,41 +433,78 @@ def caption_line_match(units: DataFrame, lines: DataFrame, by: str) -> DataFrame
     return got.select(by, "line_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.trim(chosen).alias("text"))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as bits of one whole number.
+class Distances:
+    """Levenshtein distances of one text to others that grow: what was read of another text is kept as bits of two whole numbers.
 
-    If the shorter text is the longer one without some characters, the difference in length is the distance.
+    Each step reads a character more, whatever was read before, so a text that grows by a cue costs that cue alone.
     """
-    if len(a) < len(b):
-        a, b = b, a
-    rest = iter(a)
-    if all(x in rest for x in b):
-        return len(a) - len(b)
-    at: dict[str, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    for y in b:
-        same = at.get(y, 0) | down
-        diagonal = (((same & up) + up) ^ up) | same
-        right_up, right_down = down | (~(diagonal | up) & full), up & diagonal
-        distance += bool(right_up & top) - bool(right_down & top)
-        right_up = (right_up << 1 | 1) & full
-        up = (right_down << 1 & full) | (~(diagonal | right_up) & full)
-        down = right_up & diagonal
-    return distance
-
-
-def _similarity(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    return 1 - edit_distance(a, b) / max(len(a), len(b)) if a or b else 1.0
-
-
-def _reach(a: str, b: str) -> float:
-    """What the similarity of two texts of these lengths is at most."""
-    n, m = len(a.lower()), len(b.lower())
-    return 1 - abs(n - m) / max(n, m) if n or m else 1.0
+
+    def __init__(self, text: str):
+        self.size, self.at = len(text), {}
+        for i, x in enumerate(text):
+            self.at[x] = self.at.get(x, 0) | 1 << i
+        self.full, self.top = (1 << self.size) - 1, 1 << max(0, self.size - 1)
+
+    def start(self) -> tuple[int, int, int]:
+        """What is known of the empty text; the last part is the distance."""
+        return self.full, 0, self.size
+
+    def read(self, known: tuple[int, int, int], more: str) -> tuple[int, int, int]:
+        """What is known of a text with more characters behind it."""
+        up, down, distance = known
+        if not self.size:
+            return up, down, distance + len(more)
+        at, full, top = self.at, self.full, self.top
+        for y in more:
+            same = at.get(y, 0) | down
+            diagonal = (((same & up) + up) ^ up) | same
+            right_up, right_down = down | (~(diagonal | up) & full), up & diagonal
+            distance += bool(right_up & top) - bool(right_down & top)
+            right_up = (right_up << 1 | 1) & full
+            up = (right_down << 1 & full) | (~(diagonal | right_up) & full)
+            down = right_up & diagonal
+        return up, down, distance
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of two texts."""
+    d = Distances(a)
+    return d.read(d.start(), b)[2]
+
+
+def _share(distance: int, n: int, m: int) -> float:
+    return 1 - distance / max(n, m) if n or m else 1.0
+
+
+def _followed(line: str, cues: list[str], threshold: float) -> tuple[int, str]:
+    """How many cues a line takes, and its verdict: following cues are merged while that brings them closer to the line."""
+    target = line.lower()
+    d, text, used = Distances(target), cues[0], 1
+    whole = "Σ" in "".join(cues[:1])  # the one letter whose small form depends on what follows
+    read = text.lower()
+    known, size = d.read(d.start(), read), len(read)
+    score = _share(known[2], size, d.size)
+    while text != line and used < len(cues):
+        more = f" {cues[used]}"
+        whole = whole or "Σ" in more
+        added = more.lower()
+        if whole:
+            read = (text + more).lower()
+            longer = len(read)
+        else:
+            longer = size + len(added)
+        if _share(abs(longer - d.size), longer, d.size) <= score:  # what the lengths allow at most
+            break
+        trial = d.read(d.start(), read) if whole else d.read(known, added)
+        better = _share(trial[2], longer, d.size)
+        if better <= score:
+            break
+        text, known, size, score, used = text + more, trial, longer, better, used + 1
+    return used, "exact" if text == line else "corrected" if score > threshold else "mismatch"
+
+
+#: Cues that are looked at first for one line; a line that takes them all is followed to the end.
+AT_MOST = 64
 
 
 def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
@@ -479,24 +516,17 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
 
     def align(key: tuple, c: pa.Table, s: pa.Table) -> pa.Table:
         heard, script = c.sort_by("cue_idx").to_pylist(), s.sort_by("line_idx").to_pylist()
+        said = [x["text"] for x in heard]
         i, out = 0, []
         for n, line in enumerate(script):
             if i >= len(heard):
                 out.append((key[0].as_py(), n, 0.0, 0.0, line["line"], "extra"))
                 continue
-            first, text = heard[i], heard[i]["text"]
-            score = _similarity(text, line["line"])
-            while text != line["line"] and i + 1 < len(heard):
-                joined = f"{text} {heard[i + 1]['text']}"
-                if _reach(joined, line["line"]) <= score:
-                    break
-                better = _similarity(joined, line["line"])
-                if better <= score:
-                    break
-                text, score, i = joined, better, i + 1
-            verdict = "exact" if text == line["line"] else "corrected" if score > threshold else "mismatch"
-            out.append((key[0].as_py(), n, first["start"], heard[i]["end"], line["line"], verdict))
-            i += 1
+            used, verdict = _followed(line["line"], said[i : i + AT_MOST] if len(said) - i > AT_MOST else said[i:], threshold)
+            if used == AT_MOST:  # a line of very many cues
+                used, verdict = _followed(line["line"], said[i:], threshold)
+            out.append((key[0].as_py(), n, heard[i]["start"], heard[i + used - 1]["end"], line["line"], verdict))
+            i += used
         kinds = (s.schema.field(by).type if s.num_columns else pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string())
         return pa.table([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=schema.names)
 
