@@ -261,19 +261,28 @@ def assign_media_to_segments(sims: DataFrame, media: DataFrame, by: str, reuse_p
 
 def rank_media_for_script(sims: DataFrame, by: str) -> DataFrame:
     """G-2. (by, pos, media_idx): for each segment the best unused item (the higher index of equal scores), then the best
-    but the last one once all are used; leftovers follow in their own order."""
+    but the last one once all are used; leftovers follow in their own order.
+
+    Before a segment's turn fewer items are used than there are segments, so the fold sees so many of each segment only;
+    leftovers are numbered behind it by a window.
+    """
+    n = sims.groupBy(by).agg(F.count_distinct("seg_idx").alias("__n"))
+    best = Window.partitionBy(by, "seg_idx").orderBy(F.desc("sim"), F.desc("media_idx"))
+    rows = sims.select(by, "seg_idx", "media_idx", "sim").join(n, by).withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= F.col("__n"))
 
     def fold(pdf: pd.DataFrame) -> list[tuple]:
-        everything, used, order = sorted(pdf["media_idx"].unique().tolist()), set(), []
+        used, order = set(), []
         for _, g in pdf.sort_values("seg_idx").groupby("seg_idx"):
             ranked = sorted(zip(g["sim"], g["media_idx"], strict=True), reverse=True)
             free = [m for _, m in ranked if m not in used] or [m for _, m in ranked if not order or m != order[-1]] or [ranked[0][1]]
             order.append(free[0])
             used.add(free[0])
-        order += [m for m in everything if m not in used]
         return list(enumerate(order))
 
-    return _folded(sims.select(by, "seg_idx", "media_idx", "sim"), by, fold, [("pos", T.IntegerType()), ("media_idx", sims.schema["media_idx"].dataType)])
+    picks = _folded(rows.select(by, "seg_idx", "media_idx", "sim"), by, fold, [("pos", T.IntegerType()), ("media_idx", sims.schema["media_idx"].dataType)])
+    rest = sims.select(by, "media_idx").distinct().join(picks.select(by, "media_idx"), [by, "media_idx"], "left_anti").join(n, by)
+    behind = F.row_number().over(Window.partitionBy(by).orderBy("media_idx")) - 1 + F.col("__n")
+    return picks.unionByName(rest.select(by, behind.cast("int").alias("pos"), "media_idx"))
 
 
 def select_clips_for_script(sims: DataFrame, audio: DataFrame, by: str, max_clip: float, max_reuse: int = 2) -> DataFrame:
@@ -281,15 +290,20 @@ def select_clips_for_script(sims: DataFrame, audio: DataFrame, by: str, max_clip
 
     Uses lower a score by 0, .2, .4, .6 and, at the limit, by 1 (with a limit of one use: by 1 while unused items are
     left, else by .3). A pool of fewer items than clips has a limit of what is needed, or less if more wasn't allowed.
-    A score of -1 or less is never taken.
+    A score of -1 or less is never taken. Before a clip's turn fewer items are used than there are clips, so an unused one is
+    among the best so many of its segment, and the fold sees no others.
     """
+    sizes = sims.groupBy(by).agg(F.count_distinct("media_idx").alias("__size"))
+    best = Window.partitionBy(by, "seg_idx").orderBy(F.desc("sim"), "media_idx")
+    rows = sims.select(by, "seg_idx", "media_idx", "sim").join(audio, by).join(sizes, by).withColumn("__rn", F.row_number().over(best))
+    rows = rows.where(F.col("__rn") <= F.greatest(F.lit(1), F.ceil(F.col("audio_s") / max_clip)))
 
     def fold(pdf: pd.DataFrame) -> list[tuple]:
         seconds = float(pdf["audio_s"].iloc[0])
         need = int(np.ceil(seconds / max_clip))
         segments = sorted(pdf["seg_idx"].unique().tolist())
         pool = {s: list(zip(g["media_idx"], g["sim"], strict=True)) for s, g in pdf.sort_values("media_idx").groupby("seg_idx")}
-        size = pdf["media_idx"].nunique()
+        size = int(pdf["__size"].iloc[0])
         required = -(-need // size)
         limit = max_reuse if need <= size else required if max_reuse == 1 else min(required, max_reuse)
         uses, out = {}, []
@@ -310,4 +324,4 @@ def select_clips_for_script(sims: DataFrame, audio: DataFrame, by: str, max_clip
         return out
 
     kinds = [("clip", T.IntegerType()), ("seg_idx", sims.schema["seg_idx"].dataType), ("media_idx", sims.schema["media_idx"].dataType), ("seconds", T.DoubleType())]
-    return _folded(sims.join(audio, by), by, fold, kinds)
+    return _folded(rows, by, fold, kinds)
