@@ -354,21 +354,29 @@ def levenshtein_similarity(df: DataFrame, a: str, b: str, out: str = "similarity
 def best_fuzzy_match(left: DataFrame, right: DataFrame, by: str, a: str, b: str, band: int = 10) -> DataFrame:
     """J-7. The most similar candidate of each line among those of its key, the larger text of equal ones; null without any.
 
-    Lengths are an equi-join key first: a line meets the candidates of its own length band and of the two beside it. What
-    it finds there bounds the rest: a text of another length can't be more similar than its length allows, so only
-    candidates whose length reaches the bound are compared besides.
+    Lengths are an equi-join key: a line meets the candidates of its own length band and of the two beside it. What it
+    finds there bounds the rest: a text of another length can't be more similar than its length allows, so a line meets the
+    bands that its bound reaches and no others, and distances are only taken up to what the bound leaves.
     """
-    lines = left.select(by, a).distinct().withColumn("__la", F.char_length(a))
-    r = right.select(by, b).distinct().withColumn("__lb", F.char_length(b))
+    lines = left.select(by, a).distinct().withColumns({"__la": F.char_length(a), "__ka": F.char_length(F.lower(F.col(a)))})
+    r = right.select(by, b).distinct().withColumns({"__lb": F.char_length(b), "__kb": F.char_length(F.lower(F.col(b)))})
     best = lambda rows: rows.groupBy(by, a).agg(F.max(F.struct("similarity", b)).alias("m"))
     bands = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__la") / band) + d))
     near = lines.withColumn("__band", bands).join(r.withColumn("__band", F.floor(F.col("__lb") / band)), [by, "__band"])
     near = best(levenshtein_similarity(near, a, b))
     bound = lines.join(near.select(F.col(by).alias("__k"), F.col(a).alias("__a"), F.col("m.similarity").alias("__s")), F.expr(f"{by} <=> __k and {a} <=> __a"), "left").drop("__k", "__a")
-    gap = F.abs(F.char_length(F.lower(F.col(a))) - F.char_length(F.lower(F.col(b))))
-    reach = F.round(1 - gap / F.greatest("__la", "__lb"), 6) >= F.coalesce("__s", F.lit(0.0))
-    far = bound.join(r, by).where(F.abs(F.floor(F.col("__la") / band) - F.floor(F.col("__lb") / band)) > 1).where(reach)
-    found = near.unionByName(best(levenshtein_similarity(far, a, b))).groupBy(by, a).agg(F.max("m").alias("m"))
+    bound = bound.withColumn("__s", F.greatest(F.coalesce("__s", F.lit(0.0)), F.lit(0.0))).join(r.groupBy(by).agg(F.min("__kb").alias("__short"), F.max("__kb").alias("__long")), by)
+    # lengths in small letters that reach the bound, a character to be safe on either side, within the key's own
+    low = F.greatest("__short", F.floor(F.col("__ka") * F.col("__s")) - 1)
+    high = F.least(F.col("__long"), F.when(F.col("__s") > 0, F.ceil(F.col("__ka") / F.col("__s")) + 1).otherwise(F.col("__long")))
+    reached = F.when(low <= high, F.sequence(F.floor(low / band), F.floor(high / band)))
+    far = bound.withColumn("__band", F.explode(reached)).join(r.withColumn("__band", F.floor(F.col("__kb") / band)), [by, "__band"])
+    far = far.where(F.abs(F.floor(F.col("__la") / band) - F.floor(F.col("__lb") / band)) > 1)
+    longer = F.greatest("__la", "__lb")
+    far = far.where(F.round(1 - F.abs(F.col("__ka") - F.col("__kb")) / longer, 6) >= F.col("__s"))
+    far = far.withColumn("__most", (F.floor((1 - F.col("__s")) * longer) + 1).cast("int")).withColumn("__d", F.expr(f"levenshtein(lower({a}), lower({b}), __most)"))
+    far = far.where("__d >= 0").withColumn("similarity", F.when(longer > 0, F.round(1 - F.col("__d") / longer, 6)))
+    found = near.unionByName(best(far)).groupBy(by, a).agg(F.max("m").alias("m"))
     found = found.select(F.col(by).alias("__k"), F.col(a).alias("__a"), "m")
     return lines.join(found, F.expr(f"{by} <=> __k and {a} <=> __a"), "left").select(by, a, F.col(f"m.{b}").alias(b), F.col("m.similarity").alias("similarity"))
 
