@@ -11,10 +11,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
@@ -65,6 +66,35 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tally(df: DataFrame, **counts: Column) -> DataFrame:
+    """``settle``, with the rows, and whatever ``counts`` ask for, counted by the job that writes the checkpoint: see ``counted``.
+
+    A stage that is run again may count rows twice, so a count is no less than the true one, and 0 if that is 0.
+    """
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in counts.items())))
+    _counted[out] = seen.get
+    return out
+
+
+#: What was counted of tallied tables that are still in use.
+_counted: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def counted(df: DataFrame, what: str = "rows") -> int:
+    """A count that ``tally`` took of this very table."""
+    return _counted[df][what]
+
+
+#: Rows of a settled table of a few numbers that is broadcast at most.
+FEW_ROWS = 1 << 16
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A tallied table of narrow rows for a join: broadcast if it has ``FEW_ROWS`` rows at most, else as it is. Results are the same."""
+    return F.broadcast(df) if counted(df) <= FEW_ROWS else df
+
+
 def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

@@ -9,7 +9,9 @@ smaller partners may be on the next level has a sketch of that level too. Six ne
 meet; of 96 bands two linked sets share none with a chance below 3e-13 at a similarity of 0.8 and less above. Pairs whose
 estimate is more than eight standard errors below 0.8 are dropped, all others are verified on whole sets.
 
-Large groups aren't expanded into pairs: see ``jaccard.derived_links``, which compares with leaders first.
+Large groups aren't expanded into pairs: see ``jaccard.derived_links``, which compares with leaders first. The sets that
+lead are those that agree with most others, so a group of copies with edits is compared with its centre; what that leaves
+open around one centre is compared part by part (``jaccard.links_around``).
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, only, settle, small_batches, utf8
-from .jaccard import PAIRS_AT_ONCE, PERCENT, answers, both_sides, derived_links, equal_sets, names_of, shingle_sets, verified
+from .common import blocks, counted, mix, near, only, small_batches, tally, utf8
+from .jaccard import PAIRS_AT_ONCE, PERCENT, answers, both_sides, derived_links, equal_sets, links_around, names_of, shingle_sets, verified
 
 WORDS = 2
 REGISTERS, BAND, MANTISSA = 576, 6, 10
@@ -29,6 +31,8 @@ REGISTERS, BAND, MANTISSA = 576, 6, 10
 LEVELS = ((1, 2304), (2, 1152), (4, 576), (8, 288), (16, 144), (32, 72), (64, 36), (192, 12), (576, 1))
 #: Standard errors of an estimate at the threshold, below which a pair is dropped.
 ERRORS = 8
+#: Least estimate of a pair with a leader that is verified: of nearer ones the exact distance is used to rule other pairs out.
+TELLING = 0.3
 #: Shingles and functions that are hashed at once, about.
 AT_ONCE = 1 << 18
 _U = np.uint64
@@ -110,7 +114,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             found = np.array([(*names_of(own), len(own)) for own in each(batch, "text")], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found.T), pa.array(found[:, 0])], names=schema.names)
 
-    members, classes = equal_sets(settle(rows.mapInArrow(described, schema)), [])
+    members, classes = equal_sets(tally(rows.mapInArrow(described, schema)), [])
 
     def sketched(batches):
         for batch in batches:
@@ -124,20 +128,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # a row of each class is sketched; rows that the bitmap lets through besides give the same sketches again
     one = classes.select(F.col("least.id").alias("id"), F.col("least.h").alias("h"))
     sketches = only(rows, one, ["id", "h"]).select("text").mapInArrow(sketched, sketch_schema)
-    renamed = members.where("cid <> first").select("first", "other", "n", "cid").distinct()
-    if renamed.limit(1).count():
+    renamed = tally(members.where("cid <> first").select("first", "other", "n", "cid").distinct())
+    if counted(renamed):
         sketches = sketches.join(renamed, ["first", "other", "n"], "left").withColumn("cid", F.coalesce("cid", "first"))
     else:
         sketches = sketches.withColumn("cid", F.col("first"))
-    sketches = settle(sketches.select("cid", "n", "level", "sketch"))
+    sketches = tally(sketches.select("cid", "n", "level", "sketch"))
 
     def band(i):
         own = F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)
         return F.when(own != F.lit(bytes(2 * BAND)), F.xxhash64(own, F.col("level"), F.lit(i)))
 
     bands = sketches.select("cid", "n", F.explode(F.array(*map(band, range(REGISTERS // BAND)))).alias("token")).where("token is not null")
-    shared = settle(bands.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("token"))
-    lists = settle(only(bands, shared, ["token"]).distinct().join(shared, "token", "left_semi").select("token", "cid", "n", F.lit(0).alias("pos")))
+    shared = tally(bands.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("top"), F.count("*").alias("rows")).where("low < top").select("token", "rows"))
+    lists = tally(only(bands, shared, ["token"]).distinct().join(near(shared), "token").select("token", "cid", "n", "rows"))
+    # a set that agrees with many others in many bands is central: it leads
+    ranks = tally(lists.groupBy("cid").agg((-F.sum("rows")).alias("rank")))
+    lists = tally(lists.join(near(ranks), "cid").select("token", "cid", "n", F.lit(0).alias("pos"), "rank"))
     least_estimate = PERCENT / 100 - ERRORS * (PERCENT * (100 - PERCENT) / 1e4 / REGISTERS) ** 0.5
 
     def estimated(batches):
@@ -147,18 +154,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             found = estimate(*(_registers(sides[s].field("sketch")) for s in "ab"), n, m, np.array([f for f, _ in LEVELS])[level])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "estimate"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts"))
-        named = settle(wanted)
-        own = only(sketches, named, ["cid"]).join(named, "cid").groupBy("cid", "level", "parts").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    def verify(pairs: DataFrame, least: float = least_estimate) -> DataFrame:
+        named = tally(pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts")))
+        own = only(sketches, named, ["cid"]).join(near(named), "cid").groupBy("cid", "level", "parts").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         held = own.select("cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.struct("level", "n", "sketch").alias("own"))
         met = both_sides(pairs, held, named, ["own"]).where("own_a.level = own_b.level").select("a", "b", "own_a", "own_b")
-        best = settle(met.mapInArrow(estimated, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
-        far = best.where(F.col("estimate") < least_estimate).select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked"))
-        return verified(best.where(F.col("estimate") >= least_estimate).select("a", "b"), classes, rows, k).unionByName(far)
+        best = tally(met.mapInArrow(estimated, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
+        far = best.where(F.col("estimate") < least).select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked"))
+        return verified(best.where(F.col("estimate") >= least).select("a", "b"), classes, rows, k).unionByName(far)
 
-    edges = derived_links(lists, verify)
-    return answers(key, members, classes, edges).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    links = derived_links(lists, verify, lambda pairs: verify(pairs, TELLING), lambda homes: links_around(homes, classes, rows, k))
+    return answers(key, members, classes, *links).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

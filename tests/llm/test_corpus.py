@@ -433,11 +433,11 @@ def test_chains_of_turns(spark):
 # --- near duplicates
 
 
-def brute_links(texts):
+def brute_links(texts, size=5):
     sets = []
     for key, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append((key, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+        sets.append((key, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()))
     up = {}
 
     def find(x):
