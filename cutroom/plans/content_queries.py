@@ -45,10 +45,11 @@ def _(get):
     """Sketches of parts of each channel, merged; the estimates are held against the exact values."""
     rows = get("content").withColumn("part", F.col("content_id") % 7)
     merged = content.merged_summary(content.summary_sketches(rows, ["channel", "part"]), ["channel"])
-    below = F.count_if(F.col("views") <= F.col("median_views")) / F.count("*")
-    exact = rows.select("channel", "content_id", "views").join(merged.select("channel", "median_views"), "channel").groupBy("channel").agg(below.alias("rank"), F.count_distinct("content_id").alias("ids"), (F.count("*") + 0.0).alias("n"))
+    share = lambda c: F.count_if(c) / F.count("*")
+    close = (share(F.col("views") < F.col("median_views")) <= 0.52) & (share(F.col("views") <= F.col("median_views")) >= 0.48)
+    exact = rows.select("channel", "content_id", "views").join(merged.select("channel", "median_views"), "channel").groupBy("channel").agg(close.alias("median_close"), F.count_distinct("content_id").alias("ids"))
     out = merged.join(exact, "channel")
-    return out.select("channel", "videos", "views", "subscribers", "baseline_per_1k", (F.abs(F.col("rank") - 0.5) <= 0.02 + 1 / F.col("n")).alias("median_close"), (F.abs(F.col("different_videos") - F.col("ids")) <= 0.02 * F.col("ids") + 1).alias("count_close"))
+    return out.select("channel", "videos", "views", "subscribers", "baseline_per_1k", "median_close", (F.abs(F.col("different_videos") - F.col("ids")) <= 0.02 * F.col("ids") + 1).alias("count_close"))
 
 
 @query("reach_conversion_role", f"""select content_id, channel, views, subs_per_1k, reach_index, conversion_index, case when reach_index >= 1.5 and conversion_index >= 1.5 then 'hybrid_winner' when reach_index >= 1.5 then 'reach_winner'
