@@ -37,7 +37,7 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df, found = queries.QUERIES[name](spark, DATA), con.execute(sql)
