@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, counted, mix, near, only, small_batches, tally, utf8
+from .common import blocks, counted, mix, near, only, small_batches, tally, tidy, utf8
 from .jaccard import PAIRS_AT_ONCE, PERCENT, answers, both_sides, derived_links, equal_sets, links_around, names_of, shingle_sets, verified
 
 WORDS = 2
@@ -90,6 +90,7 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links), class_id (the smallest key of an equal set) and kept of every row.
 

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -162,6 +164,25 @@ def test_near_duplicates_in_many_parts(spark):
             setattr(jaccard, x, v)
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """Files of the steps go as each one ends, not when the driver happens to collect its garbage; the session's setting stays as it was."""
+    rng = random.Random(14)
+    star = words(rng, 120, VOCABULARY)
+    df = table(spark, [(i, edited(rng, star, i % 40)) for i in range(80)] + [(500 + i, words(rng, 40, VOCABULARY)) for i in range(20)])
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {str(f) for d in folders for f in Path(d).rglob("shuffle_*")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(name)
+    found = hyperminhash.near_duplicates(df)
+    for _ in range(100):  # they are removed beside the work
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left, len(left)
+    assert spark.conf.get(name) == was
+    assert found.count() == 100
+
+
 def test_no_documents_have_no_duplicates(spark):
     assert hyperminhash.near_duplicates(table(spark, [])).count() == 0
     got = hyperminhash.near_duplicates(table(spark, [(1, None), (2, ""), (None, "a")])).collect()
