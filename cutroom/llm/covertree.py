@@ -31,6 +31,8 @@ LARGEST = float(1 << 40)
 IN_64_BITS = 1 << 26
 #: Labels that are broadcast at most; with more, they are joined.
 BROADCAST_LABELS = 1 << 16
+#: Bytes of a batch of vectors, which is a block, at most: as Spark has it.
+VECTOR_BYTES = 1 << 26
 
 
 def build_tree(points: np.ndarray, scale: float = SCALE, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -171,7 +173,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     if entries > 256:
         raise ValueError("an entry's index has two hex digits")
     spark = vectors.sparkSession
-    rows = small_batches(vectors).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = small_batches(vectors, VECTOR_BYTES).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < LARGEST) & ~F.isnan(x)))
     order = [F.col("id").asc_nulls_last(), F.col("vector")]
     first = rows.orderBy(*order).limit(1).select(F.size("vector")).first()

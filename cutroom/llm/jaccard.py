@@ -390,9 +390,10 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, rare: int | None) -> t
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64))], names=["token"])
 
     def frequent(tokens, room: int) -> np.ndarray:
-        found = rows.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") > LONG_LIST)
-        found = found.orderBy(F.desc("count"), "token").limit(room).select("token").toArrow()
-        return found.column("token").to_numpy().view(np.uint64)
+        found = tally(rows.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") > LONG_LIST))
+        if counted(found) > room:  # else each task would hold a list of so many for nothing
+            found = found.orderBy(F.desc("count"), "token").limit(room)
+        return found.select("token").toArrow().column("token").to_numpy().view(np.uint64)
 
     often = np.sort(frequent(first_tokens, FREQUENT_TOKENS // 2))
     seen = spark.sparkContext.broadcast(often)

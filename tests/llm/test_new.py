@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_corpus import LONG, ODD, VOCABULARY, brute_links, table, words
 
 import corpus_pipeline
-from cutroom.llm import collocations, covertree, decontaminate, html, hyperminhash, jaccard
+from cutroom.llm import collocations, common, covertree, decontaminate, html, hyperminhash, jaccard
 
 # --- vector codes
 
@@ -339,3 +340,31 @@ def test_counts_make_the_given_pages(spark):
     counted = [k for k, (u, _) in both.items() if many[host(u)] >= html.TEMPLATE_PAGES]
     assert len(counted) > 200 and all(counts[k] == both[k] for k in counted)
     assert sum(none[k] != both[k] for k in counted) >= 0.9 * len(counted)
+
+
+# --- batches
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts in batches of so many rows would fill an executor's memory; smaller settings stay."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    was = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        docs = common.small_batches(spark.range(1500, numPartitions=1).select(F.repeat(F.lit("a"), 20_000).alias("text")))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 1500
+        assert max(r["bytes"] for r in got) <= 2 << 20
+        assert int(spark.conf.get(names[2])) <= 1000
+        spark.conf.set(names[1], "300k")
+        common.small_batches(docs)
+        assert spark.conf.get(names[1]) == "300k"
+    finally:
+        for n, value in zip(names, was, strict=True):
+            spark.conf.set(n, value)
