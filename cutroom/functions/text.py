@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+from operator import contains
 
 import pandas as pd
 import pyarrow as pa
@@ -484,14 +488,39 @@ def _share(distance: int, n: int, m: int) -> float:
     return 1 - distance / max(n, m) if n or m else 1.0
 
 
+def _in_order(few: str, many: str) -> bool:
+    """Whether all characters of one text stand in the other, in their order."""
+    rest = iter(many)
+    return all(map(partial(contains, rest), few))
+
+
+def _least_distance(a: str, b: str) -> int:
+    """Edits that two texts need at least, by the characters that one has more often than the other."""
+    a, b = Counter(a), Counter(b)
+    return max((a - b).total(), (b - a).total())
+
+
 def _followed(line: str, cues: list[str], threshold: float) -> tuple[int, str]:
-    """How many cues a line takes, and its verdict: following cues are merged while that brings them closer to the line."""
+    """How many cues a line takes, and its verdict: following cues are merged while that brings them closer to the line.
+
+    A cue that only lacks characters of the line (marks, mostly), or has some more, is as far from it as their lengths are.
+    Character by character it is read where that isn't so, and where neither lengths nor characters rule a merge out.
+    """
+    if cues[0] == line:
+        return 1, "exact"
     target = line.lower()
-    d, text, used = Distances(target), cues[0], 1
-    whole = "Σ" in "".join(cues[:1])  # the one letter whose small form depends on what follows
+    known, text, used = None, cues[0], 1
+    whole = "Σ" in text  # the one letter whose small form depends on what follows
     read = text.lower()
-    known, size = d.read(d.start(), read), len(read)
-    score = _share(known[2], size, d.size)
+    size, wanted = len(read), len(target)
+    few, many = (read, target) if size < wanted else (target, read)
+    if read == target or (size != wanted and _in_order(few, many)):
+        distance = abs(size - wanted)
+    else:
+        d = Distances(target)
+        known = d.read(d.start(), read)
+        distance = known[2]
+    score = _share(distance, size, wanted)
     while text != line and used < len(cues):
         more = f" {cues[used]}"
         whole = whole or "Σ" in more
@@ -501,10 +530,15 @@ def _followed(line: str, cues: list[str], threshold: float) -> tuple[int, str]:
             longer = len(read)
         else:
             longer = size + len(added)
-        if _share(abs(longer - d.size), longer, d.size) <= score:  # what the lengths allow at most
+        if _share(abs(longer - wanted), longer, wanted) <= score:  # what the lengths allow at most
             break
+        if known is None:
+            if _share(_least_distance(read if whole else read + added, target), longer, wanted) <= score:
+                break
+            d = Distances(target)
+            known = d.read(d.start(), text.lower())
         trial = d.read(d.start(), read) if whole else d.read(known, added)
-        better = _share(trial[2], longer, d.size)
+        better = _share(trial[2], longer, wanted)
         if better <= score:
             break
         text, known, size, score, used = text + more, trial, longer, better, used + 1
@@ -519,26 +553,39 @@ def caption_correction(cues: DataFrame, lines: DataFrame, by: str, threshold: fl
     """J-6. Cues rewritten as script lines: equal, or following cues are merged while that brings them closer.
 
     A line's span is that of its merged cues. Lines left over take the next cue's time or 0; cues left over are dropped.
+    Cues and lines of a script are one ordered stream, cues first: a task holds the cues of one script at a time, and scripts
+    cost no group of their own.
     """
-    schema = T.StructType([cues.schema[by], T.StructField("line_idx", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("verdict", T.StringType())])
-
-    def align(key: tuple, c: pa.Table, s: pa.Table) -> pa.Table:
-        heard, script = c.sort_by("cue_idx").to_pylist(), s.sort_by("line_idx").to_pylist()
-        said = [x["text"] for x in heard]
-        i, out = 0, []
-        for n, line in enumerate(script):
-            if i >= len(heard):
-                out.append((key[0].as_py(), n, 0.0, 0.0, line["line"], "extra"))
-                continue
-            used, verdict = _followed(line["line"], said[i : i + AT_MOST] if len(said) - i > AT_MOST else said[i:], threshold)
-            if used == AT_MOST:  # a line of very many cues
-                used, verdict = _followed(line["line"], said[i:], threshold)
-            out.append((key[0].as_py(), n, heard[i]["start"], heard[i + used - 1]["end"], line["line"], verdict))
-            i += used
-        kinds = (s.schema.field(by).type if s.num_columns else pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string())
-        return pa.table([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=schema.names)
-
-    return cues.select(by, "cue_idx", "start", "end", "text").groupBy(by).cogroup(lines.select(by, "line_idx", "line").groupBy(by)).applyInArrow(align, schema)
+    no = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    heard = cues.select(by, F.lit(False).alias("is_line"), "cue_idx", no(lines, "line_idx"), F.col("start").cast("double"), F.col("end").cast("double"), "text")
+    script = lines.select(by, F.lit(True), no(cues, "cue_idx"), "line_idx", F.lit(None).cast("double"), F.lit(None).cast("double"), "line")
+    rows = heard.union(script).repartition(by).sortWithinPartitions(by, "is_line", F.col("cue_idx").asc_nulls_last(), F.col("line_idx").asc_nulls_last()).drop("cue_idx", "line_idx")
+    schema = T.StructType([rows.schema[by], T.StructField("line_idx", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("verdict", T.StringType())])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, texts, spans, i, n = object(), [], [], 0, 0
+        for batch in batches:
+            out = []
+            for key, is_line, start, end, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, texts, spans, i, n = key, [], [], 0, 0
+                if not is_line:
+                    texts.append(text)
+                    spans.append((start, end))
+                    continue
+                if i >= len(texts):
+                    out.append((key, n, 0.0, 0.0, text, "extra"))
+                else:
+                    used, verdict = _followed(text, texts[i : i + AT_MOST], threshold)
+                    if used == AT_MOST:  # a line of very many cues
+                        used, verdict = _followed(text, texts[i:], threshold)
+                    out.append((key, n, spans[i][0], spans[i + used - 1][1], text, verdict))
+                    i += used
+                n += 1
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=schema.names)
+
+    return rows.mapInArrow(align, schema)
 
 
 def layout_list(words: list[str], lines: list[str]) -> list[tuple[int, int, int]]:

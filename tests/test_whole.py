@@ -99,3 +99,36 @@ def test_caption_correction_of_one_sided_scripts(spark):
     lines = spark.createDataFrame([(1, 0, "said"), (3, 0, "silent"), (3, 1, "too")], "k int, line_idx int, line string")
     got = {tuple(r) for r in x.caption_correction(cues, lines, "k").collect()}
     assert got == {(1, 0, 0.0, 1.0, "said", "exact"), (3, 0, 0.0, 0.0, "silent", "extra"), (3, 1, 0.0, 0.0, "too", "extra")}
+
+
+def test_cues_that_lack_marks_are_not_read_by_character(monkeypatch):
+    """Neither where lengths rule the next cue out, nor where its characters do; verdicts are those of a plain replay."""
+    from cutroom.functions import text as x
+
+    read, count = x.Distances.read, []
+    monkeypatch.setattr(x.Distances, "read", lambda self, known, more: count.append(len(more)) or read(self, known, more))
+    rng = random.Random(6)
+    line = prose(rng, 700).upper()
+    bare = line.replace(".", "").replace(",", "")
+    assert x._followed(line, [bare, "xyz", "more"], 0.8) == (1, "corrected") and x._followed(bare, [line, line], 0.8) == (1, "corrected")
+    assert x._followed("a, b.", ["a, b.", "c"], 0.8) == (1, "exact") and not count
+    for _ in range(2000):
+        line, *cues = ("".join(rng.choice("abΣ .,AİÉ") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(2, 6)))
+        cues[0] = rng.choice([cues[0], line.replace(".", "").replace(",", ""), line[: rng.randrange(9)]])
+        used, said = 1, cues[0]
+        while said != line and used < len(cues) and plain_similarity(f"{said} {cues[used]}", line) > plain_similarity(said, line):
+            said, used = f"{said} {cues[used]}", used + 1
+        assert x._followed(line, cues, 0.8) == (used, "exact" if said == line else "corrected" if plain_similarity(said, line) > 0.8 else "mismatch")
+
+
+def test_captions_of_many_scripts_are_one_stream(spark):
+    """Scripts in any order over all partitions, one of them without a key, more scripts than an Arrow batch has rows."""
+    from cutroom.functions import text as x
+
+    n = 12_000
+    cues = spark.range(3 * n).selectExpr("nullif(id % 12000, 7) as k", "cast(2 - id div 12000 as int) as cue_idx", "concat('cue ', 2 - id div 12000, case when id % 2 = 0 then '' else '!' end) as text", "double(id) as start", "id + 0.5D as end")
+    lines = spark.range(2 * n).selectExpr("nullif(id % 12000, 7) as k", "id div 12000 as line_idx", "concat('cue ', id div 12000) as line").repartition(5)
+    df = x.caption_correction(cues, lines, "k")
+    assert "CoGroups" not in df._jdf.queryExecution().toString()
+    want = {(None if k == 7 else k, i, k + (2 - i) * n * 1.0, k + (2 - i) * n + 0.5, f"cue {i}", "corrected" if k % 2 else "exact") for k in range(n) for i in range(2)}
+    assert {tuple(r) for r in df.collect()} == want
