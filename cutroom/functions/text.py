@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import partial
 from operator import contains
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -355,34 +356,93 @@ def levenshtein_similarity(df: DataFrame, a: str, b: str, out: str = "similarity
     return df.withColumn(out, F.when(longer > 0, F.round(1 - F.levenshtein(F.lower(F.col(a)), F.lower(F.col(b))) / longer, 6)))
 
 
-def best_fuzzy_match(left: DataFrame, right: DataFrame, by: str, a: str, b: str, band: int = 10) -> DataFrame:
+#: Characters of candidates that one pass compares a line with; a longer candidate is a pass of its own.
+AT_ONCE = 1 << 14
+
+
+class Lanes:
+    """Levenshtein distances of a text to many others in one pass: these stand side by side in one whole number, a bit apart.
+
+    The steps are those of ``Distances``, each for all of the others together. What an addition carries out of a text ends in the
+    bit behind it, and what a shift brings from there into the next text is set in its first bit anyway; that bit is cleared
+    in ``up``, from which alone carries come. The last column's differences add up to the distance.
+    """
+
+    def __init__(self, others: list[str]):
+        sizes = np.array([len(x) for x in others])
+        self.codes = np.frombuffer("".join(f"{x}\0" for x in others).encode("utf-32-le"), np.uint32)
+        self.ends = np.cumsum(sizes + 1) - 1
+        inside, first = np.ones(len(self.codes), bool), np.zeros(len(self.codes), bool)
+        inside[self.ends], first[self.ends - sizes] = False, True
+        self.full, self.first, self.at = self._whole(inside), self._whole(first & inside), {}
+
+    @staticmethod
+    def _whole(bits: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def _bits(self, whole: int) -> np.ndarray:
+        n = len(self.codes)
+        return np.unpackbits(np.frombuffer(whole.to_bytes(n + 7 >> 3, "little"), np.uint8), count=n, bitorder="little").astype(np.int64)
+
+    def distances(self, text: str) -> np.ndarray:
+        at, full, first = self.at, self.full, self.first
+        for y in set(text) - at.keys():
+            at[y] = self._whole(self.codes == ord(y))
+        up, down = full, 0
+        for y in text:
+            same = at[y] | down
+            diagonal = (((same & up) + up) ^ up) | same
+            right_up, right_down = (down | (full ^ (diagonal | up))) << 1 | first, (diagonal & up) << 1
+            up = (right_down | (full ^ (diagonal | right_up))) & full
+            down = diagonal & right_up
+        upto = np.cumsum(self._bits(up) - self._bits(down & full))[self.ends]
+        return len(text) + np.diff(upto, prepend=0)
+
+
+def best_fuzzy_match(left: DataFrame, right: DataFrame, by: str, a: str, b: str, at_once: int = AT_ONCE) -> DataFrame:
     """J-7. The most similar candidate of each line among those of its key, the larger text of equal ones; null without any.
 
-    Lengths are an equi-join key: a line meets the candidates of its own length band and of the two beside it. What it
-    finds there bounds the rest: a text of another length can't be more similar than its length allows, so a line meets the
-    bands that its bound reaches and no others, and distances are only taken up to what the bound leaves.
+    Every line is compared with every candidate. A key's candidates are dealt over blocks of about ``at_once`` characters, by
+    a running sum of their lengths, and its lines go to each of them: a task holds one block at a time, and a line's distances
+    to it are one pass. A block gives its best only.
     """
-    lines = left.select(by, a).distinct().withColumns({"__la": F.char_length(a), "__ka": F.char_length(F.lower(F.col(a)))})
-    r = right.select(by, b).distinct().withColumns({"__lb": F.char_length(b), "__kb": F.char_length(F.lower(F.col(b)))})
-    best = lambda rows: rows.groupBy(by, a).agg(F.max(F.struct("similarity", b)).alias("m"))
-    bands = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__la") / band) + d))
-    near = lines.withColumn("__band", bands).join(r.withColumn("__band", F.floor(F.col("__lb") / band)), [by, "__band"])
-    near = best(levenshtein_similarity(near, a, b))
-    bound = lines.join(near.select(F.col(by).alias("__k"), F.col(a).alias("__a"), F.col("m.similarity").alias("__s")), F.expr(f"{by} <=> __k and {a} <=> __a"), "left").drop("__k", "__a")
-    bound = bound.withColumn("__s", F.greatest(F.coalesce("__s", F.lit(0.0)), F.lit(0.0))).join(r.groupBy(by).agg(F.min("__kb").alias("__short"), F.max("__kb").alias("__long")), by)
-    # lengths in small letters that reach the bound, a character to be safe on either side, within the key's own
-    low = F.greatest("__short", F.floor(F.col("__ka") * F.col("__s")) - 1)
-    high = F.least(F.col("__long"), F.when(F.col("__s") > 0, F.ceil(F.col("__ka") / F.col("__s")) + 1).otherwise(F.col("__long")))
-    reached = F.when(low <= high, F.sequence(F.floor(low / band), F.floor(high / band)))
-    far = bound.withColumn("__band", F.explode(reached)).join(r.withColumn("__band", F.floor(F.col("__kb") / band)), [by, "__band"])
-    far = far.where(F.abs(F.floor(F.col("__la") / band) - F.floor(F.col("__lb") / band)) > 1)
-    longer = F.greatest("__la", "__lb")
-    far = far.where(F.round(1 - F.abs(F.col("__ka") - F.col("__kb")) / longer, 6) >= F.col("__s"))
-    far = far.withColumn("__most", (F.floor((1 - F.col("__s")) * longer) + 1).cast("int")).withColumn("__d", F.expr(f"levenshtein(lower({a}), lower({b}), __most)"))
-    far = far.where("__d >= 0").withColumn("similarity", F.when(longer > 0, F.round(1 - F.col("__d") / longer, 6)))
-    found = near.unionByName(best(far)).groupBy(by, a).agg(F.max("m").alias("m"))
-    found = found.select(F.col(by).alias("__k"), F.col(a).alias("__a"), "m")
-    return lines.join(found, F.expr(f"{by} <=> __k and {a} <=> __a"), "left").select(by, a, F.col(f"m.{b}").alias(b), F.col("m.similarity").alias("similarity"))
+    row = lambda df, c, is_line: df.where(f"`{by}` is not null and `{c}` is not null").select(by, F.lit(is_line).alias("is_line"), F.col(c).alias("text"), F.lit(0).alias("n") if is_line else (F.char_length(F.lower(c)) + 1).alias("n"))
+    # lines stand behind all candidates, so the sum there is that of all
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy("is_line", "n", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    block = lambda n: F.floor((upto - n) / at_once)
+    rows = row(right, b, False).union(row(left, a, True).distinct()).withColumn("block", F.when(F.col("is_line"), F.sequence(F.lit(0).cast("bigint"), block(F.lit(0)))).otherwise(F.array(block(F.col("n")))))
+    rows = rows.select(by, F.explode("block").alias("block"), "is_line", "text").repartition(by, "block").sortWithinPartitions(by, "block", "is_line")
+    rows = rows.select(by, "block", "is_line", "text", F.lower("text").alias("low"))
+    schema = T.StructType([rows.schema[by], T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("distance", T.IntegerType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, texts, lanes, sizes = None, [], None, None
+        for batch in batches:
+            out = []
+            for key, n, is_line, text, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, n) != last:
+                    last, texts, lanes = (key, n), {}, None
+                if not is_line:
+                    texts[text] = low
+                    continue
+                if not texts:
+                    continue
+                if lanes is None:
+                    lanes, sizes = Lanes(list(texts.values())), np.array([len(x) for x in texts])
+                distances, longer, others = lanes.distances(low), np.maximum(sizes, len(text)), list(texts)
+                share = np.where(longer > 0, 1 - distances / np.maximum(longer, 1), -np.inf)
+                # the figure is rounded to six places later: what could then be equal to the best stays
+                best: dict = {}
+                for j in np.flatnonzero(share >= share.max() - 2e-6):
+                    best[share[j]] = max(best.get(share[j], (others[j], distances[j])), (others[j], distances[j]))
+                out += [(key, text, other, int(distance)) for other, distance in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((batch.schema.field(0).type, pa.string(), pa.string(), pa.int32()))], names=schema.names)
+
+    longer = F.greatest(F.char_length("a"), F.char_length("b"))
+    similarity = F.when(longer > 0, F.round(1 - F.col("distance") / longer, 6))
+    found = rows.mapInArrow(compare, schema).select(by, F.col("a").alias(a), F.struct(similarity.alias("similarity"), F.col("b").alias(b)).alias("m"))
+    found = left.select(by, a, F.lit(None).cast(found.schema["m"].dataType).alias("m")).unionByName(found).groupBy(by, a).agg(F.max("m").alias("m"))
+    return found.select(by, a, F.col(f"m.{b}").alias(b), F.col("m.similarity").alias("similarity"))
 
 
 def lexicon_tag_words(words: DataFrame, lexicon: DataFrame, shock_words: list[str], word: str = "word") -> DataFrame:

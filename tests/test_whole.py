@@ -132,3 +132,34 @@ def test_captions_of_many_scripts_are_one_stream(spark):
     assert "CoGroups" not in df._jdf.queryExecution().toString()
     want = {(None if k == 7 else k, i, k + (2 - i) * n * 1.0, k + (2 - i) * n + 0.5, f"cue {i}", "corrected" if k % 2 else "exact") for k in range(n) for i in range(2)}
     assert {tuple(r) for r in df.collect()} == want
+
+
+def test_lanes_give_the_distances_of_all_at_once():
+    from cutroom.functions import text as x
+
+    rng = random.Random(12)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abc é\0", "abcdefgh 日本語😀"])
+        word = lambda n, al=letters: "".join(rng.choice(al) for _ in range(rng.randrange(n)))
+        others = [word(rng.choice([1, 3, 70])) for _ in range(rng.randrange(1, 12))]
+        lanes = x.Lanes(others)
+        for text in (word(40), others[0] + word(9), ""):
+            assert list(lanes.distances(text)) == [plain_distance(text, o) for o in others]
+
+
+def test_best_match_over_blocks_of_any_size(spark):
+    """A key's candidates in one block, in many, and longer than a block; letters that grow in lower case are below zero."""
+    from cutroom.functions import text as x
+
+    rng = random.Random(13)
+    left = [(d, prose(rng, rng.randrange(1, 12))) for d in range(5) for _ in range(4)] + [(6, "x"), (7, "m" * 1600), (8, ""), (9, "none"), (None, "x")]
+    right = [(d, prose(rng, rng.randrange(1, 30))) for d in range(5) for _ in range(9)] + [(6, "İ" * 30), (7, "z" + "m" * 1599), (7, "a" + "m" * 1600), (8, ""), (9, None), (None, "x")]
+    want = set()
+    for k, a in set(left):
+        found = [(round(1 - plain_distance(a.lower(), b.lower()) / max(len(a), len(b)), 6) if a or b else None, b) for k2, b in right if k2 == k and None not in (k, b)]
+        s, b = max(found, default=(None, None), key=lambda f: (f[0] if f[0] is not None else -9, f[1] or ""))
+        want.add((k, a, b, s))
+    assert (6, "x", "İ" * 30, -1.0) in want and (7, "m" * 1600, "z" + "m" * 1599, 0.999375) in want and (9, "none", None, None) in want
+    run = lambda **kw: {tuple(r) for r in x.best_fuzzy_match(spark.createDataFrame(left, "k long, a string"), spark.createDataFrame(right, "k long, b string"), "k", "a", "b", **kw).collect()}
+    assert run() == want
+    assert all(run(at_once=n) == want for n in (1, 20, 150))
